@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op1_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprint import op7_document_fingerprints
+from .jaccard import op3_ngram_jaccard
+from .quality import op4_quality_classifier
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_document_fingerprints, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op4_quality_classifier, op7_document_fingerprints, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
