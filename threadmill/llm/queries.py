@@ -10,12 +10,21 @@ from .bpe import op1_byte_bpe
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .fingerprint import op7_document_fingerprints
 from .jaccard import op3_ngram_jaccard
+from .lattice import op8_lattice_lm
+from .lines import op2_line_dedup
+from .mixing import OP6_SQL, op6_mixing
+from .pii import op5_pii
 from .quality import op4_quality_classifier
+from .shards import op9_kd_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard, op4_quality_classifier, op7_document_fingerprints, op10_exact_dedup)}
+    every = (
+        op1_byte_bpe, op2_line_dedup, op3_ngram_jaccard, op4_quality_classifier, op5_pii,
+        op6_mixing, op7_document_fingerprints, op8_lattice_lm, op9_kd_shards, op10_exact_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op6_mixing": OP6_SQL, "op10_exact_dedup": OP10_SQL}
