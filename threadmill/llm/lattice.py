@@ -14,7 +14,7 @@ from .common import ship, stored, table, utf8
 
 #: A token with at least this share of all training tokens goes to every task: there are at most 1 / HEAD_SHARE.
 HEAD_SHARE = 1 / 150_000
-ROUNDS = 1  # of expectation maximisation over the pieces
+ROUNDS = 2  # of expectation maximisation over the pieces
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD_START = "▁"
 
