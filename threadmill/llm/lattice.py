@@ -61,6 +61,7 @@ class Lattice:
                     extra[word[j]] = none + 1 + len(extra)
                     spelled[extra[word[j]]] = [int(self.as_byte[b]) for b in word[j].encode()]
                 ids[w, j + 1, 0] = extra[word[j]]
+        ids = ids[:, :, : 1 + int(np.flatnonzero((ids != none).any((0, 1))).max())]  # as long as the longest piece that occurs
         table = np.concatenate([self.logp, [-np.inf], [self.logp[v].sum() for v in spelled.values()]])
         return ids, table, spelled
 
@@ -96,20 +97,16 @@ class Lattice:
             ids, table, spelled = self._arcs([words[i] for i in part])
             arc = table[ids]
             f = self._forward(arc)
-            count, n1, reach = arc.shape
-            b = np.full((count, n1), -np.inf)
-            b[:, -1] = 0
-            with np.errstate(invalid="ignore"):
-                for i in range(n1 - 2, -1, -1):
-                    k = np.arange(min(reach, n1 - 1 - i))
-                    b[:, i] = np.logaddexp.reduce(b[:, i + 1 + k] + arc[:, i + 1 + k, k], 1)
-                share = np.zeros_like(arc)
-                for k in range(reach):
-                    share[:, k + 1 :, k] = np.exp(f[:, : n1 - k - 1] + arc[:, k + 1 :, k] + b[:, k + 1 :] - f[:, -1:])
-            flat = np.bincount(ids.ravel(), np.nan_to_num(share).ravel(), len(table))
+            w, j, k = np.nonzero(ids != self.none)  # few of the places hold a piece
+            i, weight = j - k - 1, arc[w, j, k]
+            turned = np.full_like(arc, -np.inf)
+            turned[w, arc.shape[1] - 1 - i, k] = weight
+            b = self._forward(turned)[:, ::-1]
+            share = np.exp(f[w, i] + weight + b[w, j] - f[w, -1])
+            flat = np.bincount(ids[w, j, k], share, len(table))
             counts += flat[: len(counts)]
-            for i, spelling in spelled.items():
-                np.add.at(counts, spelling, flat[i])
+            for x, spelling in spelled.items():
+                np.add.at(counts, spelling, flat[x])
         counts[-1] += len(words)
         return counts
 
