@@ -42,26 +42,67 @@ class Lattice:
     """All segmentations of words into pieces, many words of one length at a time, in log space."""
 
     def __init__(self, pieces: dict[str, int], as_byte: np.ndarray, logp: np.ndarray):
-        self.pieces, self.as_byte, self.logp = pieces, as_byte, logp
+        self.as_byte, self.logp, self.none = as_byte, logp, len(logp)
         self.reach = max(map(len, pieces))
-        self.none = len(logp)
+        names, number = list(pieces), np.array(list(pieces.values()), np.int32)
+        size, h = np.array(list(map(len, names))), np.zeros(len(names), np.uint64)
+        for n in np.unique(size):
+            own = np.flatnonzero(size == n)
+            h[own] = self._hash(self._codes([names[i] for i in own]))
+        # a table of slots by the hash's high bits; pieces whose slot is taken go to a second table
+        self.slots = []
+        for turn in self.TURNS:
+            slot = ((h * turn) >> np.uint64(43)).astype(np.int64)
+            here = np.unique(slot, return_index=True)[1]
+            key, value = np.zeros(1 << 21, np.uint64), np.full(1 << 21, self.none, np.int32)
+            key[slot[here]], value[slot[here]] = h[here], number[here]
+            self.slots.append((turn, key, value))
+            rest = np.ones(len(h), bool)
+            rest[here] = False
+            h, number = h[rest], number[rest]
+        assert not len(h), "pieces without a slot"
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+    TURNS = tuple(map(np.uint64, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
+
+    @staticmethod
+    def _codes(texts: list[str]) -> np.ndarray:
+        """Code points of texts of one length."""
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1).astype(np.uint64)
+
+    @classmethod
+    def _hash(cls, codes: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(codes), np.uint64)
+        for k in range(codes.shape[1]):
+            h = (h + codes[:, k] + np.uint64(1)) * cls.STEP
+            h ^= h >> np.uint64(29)
+        return h
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The pieces with these hashes, or none."""
+        out = np.full(h.shape, self.none, np.int32)
+        for turn, key, value in self.slots:
+            slot = (h * turn) >> np.uint64(43)
+            hit = key[slot] == h
+            out[hit] = value[slot[hit]]
+        return out
 
     def _arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
         """ids[w, j, k]: the piece that ends before j and has k + 1 characters, or none; the log probability of each
         id; and what the ids past the vocabulary stand for: characters without a piece, spelled in bytes."""
-        n, reach, none = len(words[0]) + 1, min(self.reach, len(words[0]) + 1), self.none
-        get, spelled, extra = self.pieces.get, {}, {}
-        ids = np.full((len(words), n + 1, reach), none, np.int32)
-        for w, word in enumerate(words):
-            word = WORD_START + word
-            for k in range(reach):
-                ids[w, k + 1 :, k] = [get(word[j : j + k + 1], none) for j in range(n - k)]
-            for j in np.flatnonzero(ids[w, 1:, 0] == none):
-                if word[j] not in extra:
-                    extra[word[j]] = none + 1 + len(extra)
-                    spelled[extra[word[j]]] = [int(self.as_byte[b]) for b in word[j].encode()]
-                ids[w, j + 1, 0] = extra[word[j]]
-        ids = ids[:, :, : 1 + int(np.flatnonzero((ids != none).any((0, 1))).max())]  # as long as the longest piece that occurs
+        n = len(words[0]) + 1
+        codes = self._codes([WORD_START + w for w in words])
+        ids = np.full((len(words), n + 1, min(self.reach, n)), self.none, np.int32)
+        h = np.zeros((len(words), n), np.uint64)
+        for k in range(ids.shape[2]):
+            h = (h[:, : n - k] + codes[:, k:] + np.uint64(1)) * self.STEP
+            h ^= h >> np.uint64(29)
+            ids[:, k + 1 :, k] = self._find(h)
+        w, j = np.nonzero(ids[:, 1:, 0] == self.none)
+        extra, at = np.unique(codes[w, j], return_inverse=True)
+        ids[w, j + 1, 0] = self.none + 1 + at
+        spelled = {self.none + 1 + x: [int(self.as_byte[b]) for b in chr(int(c)).encode()] for x, c in enumerate(extra)}
+        ids = ids[:, :, : 1 + int(np.flatnonzero((ids != self.none).any((0, 1))).max())]  # as long as the longest piece that occurs
         table = np.concatenate([self.logp, [-np.inf], [self.logp[v].sum() for v in spelled.values()]])
         return ids, table, spelled
 
