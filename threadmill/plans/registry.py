@@ -1,15 +1,368 @@
-"""All queries over the driver's tables, with DuckDB SQL of the same meaning."""
+"""All queries over the driver's tables, with DuckDB SQL of the same meaning.
+
+The property graph is read off the star tables: customers are LOCATED_IN nations, nations PART_OF regions, orders
+PLACED_BY customers and CONTAINS parts, parts SUPPLIED_BY suppliers. Nations are the blocked hubs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import text as T
+from ..operators import evaluate, facts, graph, retrieve
+
+SPINE, BUDGET, DEFAULT, CAP = ["CONTAINS"], {"PLACED_BY": 4, "CONTAINS": 6}, 3, 18
+DECLARED = ["LOCATED_IN", "PART_OF", "PLACED_BY", "CONTAINS", "SUPPLIED_BY", "EXEMPT_FROM"]
+FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in FOUND.items() if sql}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def star_edges(spark: SparkSession, sf_dir: str, supplied: bool = False) -> DataFrame:
+    t = lambda n: read(spark, sf_dir, n)
+    edge = lambda df, a, src, r, b, dst: df.select(F.concat(F.lit(a), F.col(src)).alias("src"), F.lit(r).alias("relation"), F.concat(F.lit(b), F.col(dst)).alias("dst"))
+    out = edge(t("customer"), "C-", "c_custkey", "LOCATED_IN", "N-", "c_nationkey").unionByName(edge(t("nation"), "N-", "n_nationkey", "PART_OF", "R-", "n_regionkey"))
+    out = out.unionByName(edge(t("orders"), "O-", "o_orderkey", "PLACED_BY", "C-", "o_custkey"))
+    out = out.unionByName(edge(t("lineitem"), "O-", "l_orderkey", "CONTAINS", "P-", "l_partkey").distinct())
+    return out.unionByName(edge(t("lineitem"), "P-", "l_partkey", "SUPPLIED_BY", "S-", "l_suppkey").distinct()) if supplied else out
+
+
+EDGES = """edges AS MATERIALIZED (SELECT 'C-' || c_custkey AS src, 'LOCATED_IN' AS relation, 'N-' || c_nationkey AS dst FROM customer
+UNION ALL SELECT 'N-' || n_nationkey, 'PART_OF', 'R-' || n_regionkey FROM nation
+UNION ALL SELECT 'O-' || o_orderkey, 'PLACED_BY', 'C-' || o_custkey FROM orders
+UNION ALL SELECT DISTINCT 'O-' || l_orderkey, 'CONTAINS', 'P-' || l_partkey FROM lineitem)"""
+MORE = EDGES[:-1] + "\nUNION ALL SELECT DISTINCT 'P-' || l_partkey, 'SUPPLIED_BY', 'S-' || l_suppkey FROM lineitem)"
+DEGREE = "degree AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)"
+
+
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("C-"), F.col("c_custkey")).alias("node"))
+
+
+def walked(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
+    edges = star_edges(spark, sf_dir)
+    return graph.walk(edges, seeds(spark, sf_dir), graph.hubs(edges, F.col("node").startswith("N-")), hops)
+
+
+def walk_sql(hops: int) -> str:
+    q = [EDGES, DEGREE, "hub AS (SELECT node FROM degree WHERE node LIKE 'N-%' OR degree >= 12)"]
+    q.append("near AS MATERIALIZED (SELECT src AS node, src, relation, dst, dst AS other FROM edges UNION ALL SELECT dst, src, relation, dst, src FROM edges)")
+    q.append("f0 AS MATERIALIZED (SELECT c_custkey AS qid, 'C-' || c_custkey AS node FROM customer)")
+    for h in range(1, hops + 1):
+        seen = " UNION ALL ".join(f"SELECT qid, node FROM f{i}" for i in range(h))
+        q.append(f"s{h} AS MATERIALIZED (SELECT DISTINCT qid, src, relation, dst, other FROM f{h - 1} JOIN near USING (node))")
+        q.append(f"f{h} AS MATERIALIZED (SELECT DISTINCT qid, other AS node FROM s{h} WHERE other NOT IN (SELECT node FROM hub) AND (qid, other) NOT IN ({seen}))")
+    rows = " UNION ALL ".join(f"SELECT qid, src, relation, dst, {h} AS hop FROM s{h}" for h in range(1, hops + 1))
+    q.append(f"walk AS MATERIALIZED (SELECT qid, src, relation, dst, min(hop)::INT AS hop FROM ({rows}) GROUP BY ALL)")
+    return "WITH " + ", ".join(q)
+
+
+@query(f"WITH {EDGES} SELECT d.relation, count(e.relation) AS n FROM (SELECT unnest({DECLARED}) AS relation) d LEFT JOIN edges e USING (relation) GROUP BY 1")
+def relation_counts(spark, sf_dir):
+    """Edges by relation, with zero rows for declared relations."""
+    return graph.relation_counts(star_edges(spark, sf_dir), DECLARED)
+
+
+@query(f"WITH {EDGES}, {DEGREE} SELECT node, degree, node LIKE 'N-%' OR degree >= 12 AS hub FROM degree")
+def node_degrees(spark, sf_dir):
+    """Degree and hub flag."""
+    return graph.degrees(star_edges(spark, sf_dir)).withColumn("hub", F.col("node").startswith("N-") | (F.col("degree") >= 12))
+
+
+@query(f"WITH {EDGES} SELECT node, count(*) AS n, count(*) FILTER (way = 'out') AS n_out, min(other) AS first_other FROM (SELECT src AS node, 'out' AS way, dst AS other FROM edges UNION ALL SELECT dst, 'in', src FROM edges) GROUP BY 1")
+def neighbours(spark, sf_dir):
+    """Both directions of every edge, counted by node."""
+    both = graph.endpoints(star_edges(spark, sf_dir))
+    return both.groupBy("node").agg(F.count("*").alias("n"), F.count_if(F.col("node") == F.col("src")).alias("n_out"), F.min("other").alias("first_other"))
+
+
+@query(walk_sql(2) + " SELECT * FROM walk")
+def bounded_walk(spark, sf_dir):
+    """Two hops from every customer, hubs reached and not passed."""
+    return walked(spark, sf_dir, 2)
+
+
+@query(walk_sql(3) + " SELECT qid, hop, count(*) AS n FROM walk GROUP BY ALL")
+def bounded_walk_3(spark, sf_dir):
+    """Three hops, facts counted by hop."""
+    return walked(spark, sf_dir, 3).groupBy("qid", "hop").agg(F.count("*").alias("n"))
+
+
+SCORE = "3.0 / hop + CASE WHEN relation = 'CONTAINS' THEN 2.0 ELSE 0.0 END + CASE WHEN src = 'C-' || qid OR dst = 'C-' || qid THEN 1.0 ELSE 0.0 END + CASE WHEN contains(src, '7') OR contains(dst, '7') THEN 1.5 ELSE 0.0 END"
+ORDER = "ORDER BY score DESC, src, relation, dst"
+EVIDENCE = f"""scored AS (SELECT *, ({SCORE})::DOUBLE AS score FROM walk), kept AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY qid, relation {ORDER}) <= CASE relation WHEN 'PLACED_BY' THEN 4 WHEN 'CONTAINS' THEN 6 ELSE 3 END),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid {ORDER})::INT AS place FROM kept)"""
+
+
+def scored(spark, sf_dir, hops: int = 2) -> DataFrame:
+    seed = F.concat(F.lit("C-"), F.col("qid"))
+    said = F.contains("src", F.lit("7")) | F.contains("dst", F.lit("7"))  # the question's word
+    return walked(spark, sf_dir, hops).withColumn("score", graph.relevance(F.col("hop"), F.col("relation"), (F.col("src") == seed) | (F.col("dst") == seed), said, SPINE))
+
+
+@query(f"{walk_sql(2)}, {EVIDENCE} SELECT * FROM placed WHERE place <= {CAP}")
+def evidence_selection(spark, sf_dir):
+    """The best facts of every question within relation budgets and a cap."""
+    return graph.within_budget(scored(spark, sf_dir), BUDGET, DEFAULT, CAP)
+
+
+EXPECTED = "expected AS (SELECT o_custkey AS qid, 'O-' || o_orderkey AS src, 'PLACED_BY' AS relation, 'C-' || o_custkey AS dst FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT c_custkey, 'C-' || c_custkey, 'LOCATED_IN', 'N-' || c_nationkey FROM customer)"
+SCORES = """n AS (SELECT qid, cap, count(*) AS n, count(p.qid) AS found FROM (SELECT * FROM expected, caps) e LEFT JOIN (SELECT DISTINCT qid, src, relation, dst, place FROM placed) p USING (qid, src, relation, dst) GROUP BY ALL),
+"""
+
+
+def expected_facts(spark, sf_dir) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1"))
+    a = orders.select(F.col("o_custkey").alias("qid"), F.concat(F.lit("O-"), F.col("o_orderkey")).alias("src"), F.lit("PLACED_BY").alias("relation"), F.concat(F.lit("C-"), F.col("o_custkey")).alias("dst"))
+    c = read(spark, sf_dir, "customer")
+    return a.unionByName(c.select(F.col("c_custkey").alias("qid"), F.concat(F.lit("C-"), F.col("c_custkey")).alias("src"), F.lit("LOCATED_IN").alias("relation"), F.concat(F.lit("N-"), F.col("c_nationkey")).alias("dst")))
+
+
+def score_sql(cap: int) -> str:
+    return f"""{walk_sql(2)}, {EVIDENCE}, evidence AS (SELECT * FROM placed WHERE place <= {cap}), {EXPECTED},
+    n AS (SELECT e.qid, count(*) AS n, count(p.qid) AS found FROM expected e LEFT JOIN evidence p USING (qid, src, relation, dst) GROUP BY 1),
+    r AS (SELECT n.qid, found / n AS recall, coalesce(found / nullif(m, 0), 0.0) AS precision, n - found AS missing FROM n LEFT JOIN (SELECT qid, count(*) AS m FROM evidence GROUP BY 1) USING (qid)),
+    scores AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0.0 END AS f1 FROM r)"""
+
+
+@query(score_sql(CAP) + " SELECT qid, round(recall, 6) AS recall, round(precision, 6) AS precision, missing, round(f1, 6) AS f1 FROM scores")
+def path_scores(spark, sf_dir):
+    """Recall, precision and F1 of evidence against expected facts."""
+    s = evaluate.path_scores(expected_facts(spark, sf_dir), evidence_selection(spark, sf_dir))
+    return s.select("qid", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")), "missing")
+
+
+@query(score_sql(6) + " SELECT CASE WHEN recall < 1 THEN 'traversal' ELSE 'generation' END AS layer, count(*) AS n, min(qid) AS first_qid, max(qid) AS last_qid FROM scores GROUP BY 1")
+def failure_layers(spark, sf_dir):
+    """The layer that lost an expected fact, counted."""
+    exp = expected_facts(spark, sf_dir)
+    there = exp.join(star_edges(spark, sf_dir).distinct().withColumn("hit", F.lit(True)), graph.FACT, "left").groupBy("qid").agg(F.every(F.coalesce("hit", F.lit(False))).alias("all_indexed"))
+    s = evaluate.path_scores(exp, graph.within_budget(scored(spark, sf_dir), BUDGET, DEFAULT, 6))
+    return evaluate.failure_layers(s, there).groupBy("layer").agg(F.count("*").alias("n"), F.min("qid").alias("first_qid"), F.max("qid").alias("last_qid"))
+
+
+CAPS = [4, 8, 12, 18, 30]
+
+
+@query(f"""{walk_sql(2)}, {EVIDENCE}, {EXPECTED}, caps AS (SELECT unnest({CAPS})::INT AS cap),
+    n AS (SELECT cap, e.qid, count(*) AS n, count(p.qid) AS found FROM expected e CROSS JOIN caps LEFT JOIN placed p ON p.qid = e.qid AND p.src = e.src AND p.relation = e.relation AND p.dst = e.dst AND p.place <= cap GROUP BY ALL),
+    m AS (SELECT cap, qid, count(*) AS m FROM placed JOIN caps ON place <= cap GROUP BY ALL),
+    r AS (SELECT cap, found / n AS recall, coalesce(found / m, 0.0) AS precision FROM n LEFT JOIN m USING (cap, qid)),
+    f AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0.0 END AS f1 FROM r),
+    g AS (SELECT cap, count(*) AS n, round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, round(avg(f1), 6) AS mean_f1 FROM f GROUP BY 1)
+    SELECT *, cap = (SELECT cap FROM g ORDER BY mean_f1 DESC, cap LIMIT 1) AS best FROM g""")
+def cap_sweep(spark, sf_dir):
+    """One plan for every evidence cap; the best by mean F1, the smaller on ties."""
+    placed = graph.within_budget(scored(spark, sf_dir), BUDGET, DEFAULT, max(CAPS))
+    caps = F.broadcast(spark.createDataFrame([(c,) for c in CAPS], "cap int"))
+    exp = expected_facts(spark, sf_dir)
+    key = F.struct("cap", "qid")
+    at = lambda df: df.select(key.alias("qid"), *graph.FACT)
+    s = evaluate.path_scores(at(exp.crossJoin(caps)), at(placed.join(caps, F.col("place") <= F.col("cap"))))
+    g = s.select("qid.cap", "recall", "precision", "f1").groupBy("cap").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("recall", "precision", "f1")))
+    best = F.min_by("cap", F.struct(-F.col("mean_f1"), "cap")).over(Window.partitionBy(F.lit(1)))  # a row per cap
+    return g.withColumn("best", F.col("cap") == best)
+
+
+@query("""WITH j AS (SELECT lang, quality, toxic, n_chars::DOUBLE AS x FROM labels JOIN documents USING (doc_id))
+    SELECT lang, count(*) AS n, sum(quality)::BIGINT AS n_ok, round(avg(x), 6) AS mean_n_chars, round(avg(toxic), 6) AS mean_toxic FROM j GROUP BY ROLLUP (lang)""")
+def scoreboard(spark, sf_dir):
+    """Successes and means by group, with a grand total."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
+    return evaluate.scoreboard(rows, "lang", "quality", ["n_chars", "toxic"])
+
+
+TRIPLES = """t AS (SELECT l_orderkey * 10 + l_linenumber AS ord, 'S-' || l_suppkey AS h, 'SUPPLIES' AS r, 'P-' || (l_partkey % 50) AS t, CASE WHEN l_returnflag = 'R' THEN 'rule' ELSE 'llm' END AS origin, 'O-' || (l_orderkey % 97) AS src FROM lineitem)"""
+
+
+@query(f"""WITH {TRIPLES}, f AS (SELECT h, r, t, src, min(ord) AS ord FROM t GROUP BY ALL),
+    o AS (SELECT h, r, t, CASE WHEN bool_or(origin = 'rule') THEN 'rule' ELSE arg_min(origin, ord) END AS origin FROM t GROUP BY ALL)
+    SELECT h, r, t, origin, string_agg(src, '; ' ORDER BY ord, src) AS sources, count(*)::INT AS n_sources FROM f JOIN o USING (h, r, t) GROUP BY ALL""")
+def fact_aggregation(spark, sf_dir):
+    """Triples to facts with their sources in order."""
+    part = F.concat(F.lit("P-"), F.col("l_partkey") % 50)
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("S-"), F.col("l_suppkey")).alias("h"), F.lit("SUPPLIES").alias("r"), part.alias("t"),
+        F.when(F.col("l_returnflag") == "R", "rule").otherwise("llm").alias("origin"), F.concat(F.lit("O-"), F.col("l_orderkey") % 97).alias("src"))
+    return facts.aggregate_facts(rows)
+
+
+@query("""WITH c AS (SELECT n_name AS code, n_nationkey AS pos FROM nation), r AS (SELECT s_suppkey AS id, s_nationkey AS a, (s_suppkey * 7 % 25)::INT AS b FROM supplier)
+    SELECT id, code FROM r JOIN c ON pos BETWEEN a AND b""")
+def range_expansion(spark, sf_dir):
+    """Every code between two codes of an ordered table."""
+    order = read(spark, sf_dir, "nation").select(F.col("n_name").alias("code"), F.col("n_nationkey").alias("pos"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("pa"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("pb"))
+    named = s.join(order.select(F.col("code").alias("a"), F.col("pos").alias("pa")), "pa").join(order.select(F.col("code").alias("b"), F.col("pos").alias("pb")), "pb")
+    return facts.expand_ranges(named.select("id", "a", "b"), order)
+
+
+def _sides(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.unix_timestamp("ts").alias("at"), "event_type")
+    return e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase'").select("user_id", "at", F.col("event_type").alias("what"))
+
+
+def nearest_sql(ahead: bool) -> str:
+    side, pick, tie = ("r.at > l.at", "arg_min", "r.at") if ahead else ("r.at < l.at", "arg_max", "r.at")
+    what = "first(what ORDER BY at, what DESC)" if ahead else "last(what ORDER BY at, what)"
+    return f"""WITH e AS (SELECT event_id AS id, user_id, epoch_us(ts) // 1000000 AS at, event_type AS what FROM events), l AS (SELECT * FROM e WHERE what = 'purchase'), r AS (SELECT * FROM e WHERE what <> 'purchase'),
+    h AS (SELECT l.id, abs(r.at - l.at) AS d, r.what, row_number() OVER (PARTITION BY l.id ORDER BY abs(r.at - l.at), r.what DESC) AS k FROM l JOIN r ON l.user_id = r.user_id AND {side} AND abs(r.at - l.at) <= 86400)
+    SELECT l.id, h.what, h.d AS distance FROM l LEFT JOIN h ON l.id = h.id AND k = 1"""
+
+
+@query(nearest_sql(False))
+def nearest_before(spark, sf_dir):
+    """The last other event of a user before a purchase, within a day."""
+    left, right = _sides(spark, sf_dir)
+    return facts.nearest(left, right, "user_id", 86400, ahead=False)
+
+
+@query(nearest_sql(True))
+def nearest_after(spark, sf_dir):
+    """The first other event of a user after a purchase, within a day."""
+    left, right = _sides(spark, sf_dir)
+    return facts.nearest(left, right, "user_id", 86400, ahead=True)
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, rn FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_returnflag = 'R') DESC, l_orderkey, l_linenumber)::INT AS rn FROM lineitem) WHERE rn <= 3")
+def subject_cap(spark, sf_dir):
+    """Three rows per subject, its own first."""
+    rows = facts.capped(read(spark, sf_dir, "lineitem"), ["l_suppkey"], [F.desc(F.col("l_returnflag") == "R"), "l_orderkey", "l_linenumber"], 3)
+    return rows.select("l_suppkey", "l_orderkey", "l_linenumber", "rn")
+
+
+@query("""WITH h AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) = 'R' AS heading, min(l_returnflag) <> 'R' AS member FROM lineitem GROUP BY ALL),
+    w AS (SELECT *, min(CASE WHEN NOT member THEN n END) OVER x AS stop, max(n) OVER x AS last FROM h WINDOW x AS (PARTITION BY k ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))
+    SELECT k, n, (coalesce(stop - 1, last, n) - n)::INT AS length FROM w WHERE heading AND coalesce(stop - 1, last, n) > n""")
+def block_scan(spark, sf_dir):
+    """After each heading line the members that follow at once, seven at most."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("l_returnflag"))
+    return facts.blocks(rows, "k", F.col("l_returnflag") == "R", F.col("l_returnflag") != "R")
+
+
+TERMS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_-]+'), lambda x: x <> '')"
+GRAMS = f"list_concat({TERMS}, flatten(list_transform({TERMS}, lambda w: CASE WHEN length(w) = 1 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) END)))"
+
+
+@query(f"SELECT item_id, len({GRAMS})::INT AS n_terms, array_to_string({GRAMS}, ' ') AS terms FROM benchmark")
+def words_and_grams(spark, sf_dir):
+    """Words and their 2-grams."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", T.tokens_with_grams(F.col("text")).alias("t"))
+    return b.select("item_id", F.size("t").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+@query(f"""WITH d AS (SELECT doc_id AS doc, {TERMS} AS terms FROM documents), q AS (SELECT item_id AS qid, {TERMS} AS terms FROM benchmark),
+    p AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM d),
+    i AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, n GROUP BY term, n), i2 AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i) ELSE idf END AS idf FROM i),
+    a AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest(terms) AS term FROM q) GROUP BY ALL),
+    s AS (SELECT qid, doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(terms) / avgdl))), 6) AS score FROM a JOIN p USING (term) JOIN i2 USING (term) JOIN d USING (doc), n GROUP BY ALL)
+    SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc)::INT AS place FROM s QUALIFY place <= 3""")
+def bm25_top3(spark, sf_dir):
+    """The three best documents for every benchmark item."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\w-]+"), lambda w: w != "")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("terms"))
+    return retrieve.bm25(d, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("terms")))
+
+
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', chr(10), 'g') AS x FROM pages),
+    b AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM a)
+    SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS body FROM b""")
+def html_text(spark, sf_dir):
+    """Visible text of pages."""
+    return read(spark, sf_dir, "pages").select("page_id", T.clean_html(F.col("html")).alias("body"))
+
+
+@query("""WITH c AS (SELECT n_chars, n_chars >= 400 AS long, regexp_matches(text, '[0-9]') AS coded FROM documents)
+    SELECT count(*) AS n, count(*) FILTER (long) AS n_long, round(avg(coded::INT), 6) AS ratio, count(*) FILTER (long) >= 50 AND avg(coded::INT) >= 0.6 AS passes,
+    (SELECT n_chars FROM (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS k FROM c) WHERE k = (SELECT count(*) // 2 FROM c)) AS median FROM c""")
+def corpus_gate(spark, sf_dir):
+    """Size and overlap gate, with the upper-middle median."""
+    d = read(spark, sf_dir, "documents")
+    coded = F.col("text").rlike("[0-9]").cast("int")
+    long = F.count_if(F.col("n_chars") >= 400)
+    g = d.agg(F.count("*").alias("n"), long.alias("n_long"), F.round(F.avg(coded), 6).alias("ratio"), ((long >= 50) & (F.avg(coded) >= 0.6)).alias("passes"))
+    return g.crossJoin(evaluate.upper_median(d, "n_chars"))  # two rows of one
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[0-9]+'))), ',') AS digits, len(list_distinct(regexp_extract_all(text, '[0-9]+')))::INT AS n FROM documents""")
+def digit_keys(spark, sf_dir):
+    """The distinct digit runs of a text, sorted."""
+    k = T.digit_key(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", k.alias("digits"), F.when(k == "", 0).otherwise(F.size(F.split(k, ","))).alias("n"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> '') AS words FROM conversations WHERE role = 'user'),
+    n AS (SELECT DISTINCT word AS node FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: length(x) >= 6)) AS word FROM benchmark)),
+    h AS (SELECT DISTINCT conv_id, turn, node FROM (SELECT conv_id, turn, unnest(words) AS node FROM w) JOIN n USING (node))
+    SELECT conv_id, turn, node, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(node) DESC, node DESC)::INT AS place FROM h QUALIFY place <= 5""")
+def entity_links(spark, sf_dir):
+    """Names that occur in questions, longer first, five at most."""
+    words = lambda c: F.filter(F.split(c, "[^A-Za-z]+"), lambda w: w != "")
+    q = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), words("text").alias("words"))
+    names = read(spark, sf_dir, "benchmark").select(F.explode(F.filter(words("text"), lambda w: F.char_length(w) >= 6)).alias("node")).distinct().select("node", F.col("node").alias("name"))
+    return retrieve.link_names(q, names).select("qid.conv_id", "qid.turn", "node", "place")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN contains(text, 'global') THEN 'global' WHEN contains(text, 'path') THEN 'path' ELSE 'local' END AS route, contains(text, 'sorry') OR contains(text, 'cannot') AS refused,
+    len(list_filter(regexp_extract_all(text, '[0-9]+ ?(year|month|day|%)'), lambda x: NOT contains(regexp_replace(before, '\\s+', '', 'g'), regexp_replace(x, '\\s+', '', 'g'))))::INT AS n_unsupported
+    FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations)""")
+def answer_checks(spark, sf_dir):
+    """Route, refusal and unsupported numbers of each turn, held against the one before."""
+    c = read(spark, sf_dir, "conversations")
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    return c.withColumn("before", before).select("conv_id", "turn", T.route(F.col("text")).alias("route"), (F.contains("text", F.lit("sorry")) | F.contains("text", F.lit("cannot"))).alias("refused"),
+        F.size(T.unsupported_numbers(F.col("text"), F.col("before"))).alias("n_unsupported"))
+
+
+@query(f"""WITH {MORE}, h AS (SELECT node, list(DISTINCT has) AS has FROM (SELECT src AS node, 'out ' || relation AS has FROM edges UNION ALL SELECT dst, 'in ' || relation FROM edges) GROUP BY 1), {DEGREE}
+    SELECT node, CASE WHEN list_contains(has, 'out PLACED_BY') THEN 'Order' WHEN list_contains(has, 'in CONTAINS') THEN 'Part' WHEN list_contains(has, 'out LOCATED_IN') THEN 'Customer'
+    WHEN list_contains(has, 'in SUPPLIED_BY') THEN 'Supplier' WHEN list_contains(has, 'in PART_OF') THEN 'Region' WHEN list_contains(has, 'out PART_OF') THEN 'Nation' ELSE 'Other' END AS type, (11 + least(degree, 14))::BIGINT AS size FROM h JOIN degree USING (node)""")
+def node_view(spark, sf_dir):
+    """A type for each node from its relations, and its size in a drawing."""
+    edges = star_edges(spark, sf_dir, supplied=True)
+    rules = [("Order", "out", "PLACED_BY"), ("Part", "in", "CONTAINS"), ("Customer", "out", "LOCATED_IN"), ("Supplier", "in", "SUPPLIED_BY"), ("Region", "in", "PART_OF"), ("Nation", "out", "PART_OF")]
+    return graph.node_types(edges, rules).join(graph.degrees(edges), "node").select("node", "type", (11 + F.least("degree", F.lit(14))).alias("size"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'N-' || n_nationkey AS a, 'R-' || n_regionkey AS b FROM nation), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r(node, reach) AS (SELECT a, a FROM x UNION SELECT r.node, x.b FROM r JOIN x ON r.reach = x.a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+def graph_components(spark, sf_dir):
+    """Connected components of nations and regions."""
+    n = read(spark, sf_dir, "nation")
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
+    return graph.components(n.select(F.concat(F.lit("N-"), F.col("n_nationkey")).alias("src"), F.lit("PART_OF").alias("relation"), F.concat(F.lit("R-"), F.col("n_regionkey")).alias("dst")))
+
+
+@query("""WITH t AS (SELECT p_partkey AS ord, split_part(p_name, ' ', 1) AS h, 'NAMED' AS r, p_brand AS t, 'rule' AS origin, p_type AS src FROM part)
+    SELECT ord, h, r, t, src, CASE WHEN contains(lower(src), lower(h)) AND contains(lower(src), lower(t)) THEN origin ELSE origin || '-inferred' END AS origin FROM t""")
+def grounding(spark, sf_dir):
+    """Triples marked where an end doesn't occur in their document."""
+    p = read(spark, sf_dir, "part")
+    t = p.select(F.col("p_partkey").alias("ord"), F.split("p_name", " ")[0].alias("h"), F.lit("NAMED").alias("r"), F.col("p_brand").alias("t"), F.lit("rule").alias("origin"), F.col("p_type").alias("src"))
+    return facts.grounded(t, p.select(F.col("p_type").alias("src"), F.col("p_type").alias("body")).distinct())
+
+
+@query("""SELECT doc_id, instr(text, ' the ')::INT AS at, CASE WHEN instr(text, ' the ') > 0 THEN trim(regexp_replace(substr(text, greatest(1, instr(text, ' the ') - 120), instr(text, ' the ') + 200 - greatest(1, instr(text, ' the ') - 120)), '\\s+', ' ', 'g')) END AS quote FROM documents""")
+def quotes(spark, sf_dir):
+    """The text around the first occurrence of a term."""
+    at = F.instr("text", " the ")
+    return read(spark, sf_dir, "documents").select("doc_id", at.alias("at"), F.when(at > 0, T.snippet(F.col("text"), at)).alias("quote"))
