@@ -80,33 +80,20 @@ def pieces_of(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> D
             found = [(at, [at + p for p in boundaries(w, last)]) for at, last, w in zip(pdf["at"], pdf["last"], pdf["window"])]
             yield pdf.assign(head=[[p for p in b if p < at + overlap] for at, b in found], tail=[[p for p in b if p >= at + chunk] for at, b in found])
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "text": [glued(parts) for parts in pdf["parts"]]})
-
-    def glued(parts) -> str:
-        """The text of overlapping windows from the first one's start to the last one's end."""
-        out, end = [], None
-        for p in sorted(parts, key=lambda p: p["from"]):
-            end = p["from"] if end is None else end
-            out.append(p["text"][max(0, end - p["from"]) :])
-            end = max(end, p["from"] + len(p["text"]))
-        return "".join(out)
-
     shape = "row long, doc_id long, k int, at long, last boolean, window string"
     windows = texts.select("row", "doc_id", "text").mapInPandas(cut, shape).repartition("row", "k")
     windows = windows.mapInPandas(split, f"{shape}, head array<long>, tail array<long>")
     order = Window.partitionBy("row").orderBy("k")
     meet = F.array_min(F.array_intersect(F.col("head"), F.lag("tail").over(order)))
     windows = windows.select("row", "doc_id", "k", "at", "window", F.when(F.col("k") == 0, 0).otherwise(meet).alias("meet"))
-    # a window without a meeting point goes on with the piece before it
-    ends = F.first("meet", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    windows = windows.withColumn("piece", F.max("meet").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("until", ends)
-    start = F.greatest("piece", "at")
-    stop = F.least(F.coalesce("until", F.lit(1 << 62)), F.col("at") + F.char_length("window"))
-    kept = F.substring(F.col("window"), (start - F.col("at") + 1).cast("int"), F.greatest(F.lit(0), stop - start).cast("int"))
-    parts = windows.select("row", "doc_id", "piece", F.struct(start.alias("from"), kept.alias("text")).alias("part")).groupBy("row", "doc_id", "piece").agg(F.collect_list("part").alias("parts"))
-    return parts.repartition("row", "piece").mapInPandas(join, "row long, doc_id long, piece long, text string")
+    # a window without a meeting point goes on with the piece before it, which then ends where the window starts
+    windows = windows.withColumn("piece", F.max("meet").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.coalesce("meet", "at")
+    stop = F.coalesce(F.lead("meet").over(order), F.lead("at").over(order), F.col("at") + F.char_length("window"))
+    windows = windows.select("row", "doc_id", "piece", "at", "window", start.alias("start"), stop.alias("stop"))
+    kept = F.substring(F.col("window"), (F.col("start") - F.col("at") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
+    parts = windows.select("row", "doc_id", "piece", F.struct("start", kept.alias("text")).alias("part")).groupBy("row", "doc_id", "piece").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return parts.repartition("row", "piece").select("row", "doc_id", "piece", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
