@@ -18,12 +18,18 @@ BROADCAST_ROWS = 200_000
 _own_dir: dict[str, str] = {}
 
 
+#: Rows of text that a Python worker gets at once; Spark's own default would hold ten times as many texts in memory.
+TEXTS_PER_BATCH = 1000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per application, so that no executor needs it installed."""
+    """Sends this package to the Python workers once per application, so that no executor needs it installed, and
+    bounds the batches of texts they get."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
@@ -95,7 +101,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def spans(at: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def spans(at: np.ndarray, size: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Row ranges of about size bytes, one row at least: they bound the memory of the arrays made from a batch."""
     lo, n = 0, len(at) - 1
     while lo < n:
