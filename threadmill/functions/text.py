@@ -40,7 +40,7 @@ def label(node: Column, name: Column) -> Column:
 
 
 def split_sources(joined: Column) -> Column:
-    return F.filter(F.transform(F.split(joined, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(joined, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def snippet(text: Column, at: Column, before: int = 120, after: int = 200) -> Column:

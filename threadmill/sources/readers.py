@@ -13,7 +13,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     title = F.regexp_replace(F.split("raw", "\n")[0], "^# ", "")
     body = F.element_at("parts", -1)
     tags = F.regexp_extract("raw", r"(?m)^분류:[ \t]*(.+)$", 1)  # the tag line's fixed word
-    out = parts.select("path", title.alias("title"), F.when(tags != "", F.transform(F.split(tags, ","), F.trim)).otherwise(F.array().cast("array<string>")).alias("tags"), body.alias("body"), "raw")
+    out = parts.select("path", title.alias("title"), F.when(tags != "", F.transform(F.split(tags, ","), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>")).alias("tags"), body.alias("body"), "raw")
     return out.groupBy("title").agg(F.max_by(F.struct("path", "tags", "body", "raw"), "path").alias("d")).select("d.path", "title", "d.tags", "d.body", "d.raw")
 
 
