@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, facts, graph, retrieve
+from ..operators import evaluate, facts, graph, paths, retrieve, rules
 
 SPINE, BUDGET, DEFAULT, CAP = ["CONTAINS"], {"PLACED_BY": 4, "CONTAINS": 6}, 3, 18
 DECLARED = ["LOCATED_IN", "PART_OF", "PLACED_BY", "CONTAINS", "SUPPLIED_BY", "EXEMPT_FROM"]
@@ -54,6 +54,12 @@ MORE = EDGES[:-1] + "\nUNION ALL SELECT DISTINCT 'P-' || l_partkey, 'SUPPLIED_BY
 DEGREE = "degree AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)"
 
 
+def own_checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints where the session names none, as in tests."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("C-"), F.col("c_custkey")).alias("node"))
 
@@ -347,8 +353,7 @@ def node_view(spark, sf_dir):
 def graph_components(spark, sf_dir):
     """Connected components of nations and regions."""
     n = read(spark, sf_dir, "nation")
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
+    own_checkpoints(spark)
     return graph.components(n.select(F.concat(F.lit("N-"), F.col("n_nationkey")).alias("src"), F.lit("PART_OF").alias("relation"), F.concat(F.lit("R-"), F.col("n_regionkey")).alias("dst")))
 
 
@@ -366,3 +371,70 @@ def quotes(spark, sf_dir):
     """The text around the first occurrence of a term."""
     at = F.instr("text", " the ")
     return read(spark, sf_dir, "documents").select("doc_id", at.alias("at"), F.when(at > 0, T.snippet(F.col("text"), at)).alias("quote"))
+
+
+@query()
+def key_paths(spark, sf_dir):
+    """The facts on shortest ways from each customer to the parts in its evidence."""
+    e = evidence_selection(spark, sf_dir)
+    parts = e.select("qid", F.explode(F.array("src", "dst")).alias("node")).where(F.startswith("node", F.lit("P-"))).distinct()
+    return paths.key_paths(e, seeds(spark, sf_dir), parts)
+
+
+ROUNDS = 3
+PLACES = """e AS MATERIALIZED (SELECT 'C-' || c_custkey AS a, 'N-' || c_nationkey AS b FROM customer UNION ALL SELECT 'N-' || n_nationkey, 'R-' || n_regionkey FROM nation),
+    x AS MATERIALIZED (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e), l0 AS MATERIALIZED (SELECT DISTINCT node, node AS community FROM x)"""
+LABELS = "WITH " + PLACES + "".join(
+    f""", l{i} AS MATERIALIZED (SELECT node, community FROM (SELECT x.node, l.community, row_number() OVER (PARTITION BY x.node ORDER BY count(*) DESC, l.community) AS k FROM x JOIN l{i - 1} l ON l.node = x.other GROUP BY x.node, l.community) WHERE k = 1)"""
+    for i in range(1, ROUNDS + 1)
+)
+
+
+def place_edges(spark, sf_dir) -> DataFrame:
+    return star_edges(spark, sf_dir).where("relation in ('LOCATED_IN', 'PART_OF')")
+
+
+@query(f"{LABELS} SELECT * FROM l{ROUNDS}")
+def graph_communities(spark, sf_dir):
+    """Communities of customers, nations and regions after three rounds of label passing."""
+    own_checkpoints(spark)
+    return paths.communities(place_edges(spark, sf_dir), ROUNDS)
+
+
+@query(f"""{LABELS}, m AS (SELECT count(*)::DOUBLE AS m, count(*) FILTER (s.community = t.community) AS inside FROM e JOIN l{ROUNDS} s ON s.node = a JOIN l{ROUNDS} t ON t.node = b),
+    d AS (SELECT community, count(*)::DOUBLE AS d FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) JOIN l{ROUNDS} USING (node) GROUP BY 1)
+    SELECT round(inside / m - (SELECT sum(d * d) FROM d) / (4 * m * m), 6) AS modularity FROM m""")
+def community_modularity(spark, sf_dir):
+    """How far the communities are from chance."""
+    m = paths.modularity(place_edges(spark, sf_dir), graph_communities(spark, sf_dir))
+    return m.select(F.round("modularity", 6).alias("modularity"))
+
+
+@query(f"""{LABELS} SELECT s.community, row_number() OVER (PARTITION BY s.community ORDER BY e.a, e.b)::INT AS place, e.a AS src, CASE WHEN e.a LIKE 'C-%' THEN 'LOCATED_IN' ELSE 'PART_OF' END AS relation, e.b AS dst
+    FROM e JOIN l{ROUNDS} s ON s.node = e.a JOIN l{ROUNDS} t ON t.node = e.b WHERE s.community = t.community QUALIFY place <= 60""")
+def community_facts(spark, sf_dir):
+    """Sixty facts of each community for its summary."""
+    return paths.community_facts(place_edges(spark, sf_dir), graph_communities(spark, sf_dir))
+
+
+SIGNATURES = [("Customer", "LOCATED_IN", "Nation"), ("Nation", "PART_OF", "Region"), ("Order", "PLACED_BY", "Customer"), ("Order", "CONTAINS", "Part"), ("Part", "SUPPLIED_BY", "Supplier"), ("Part", "EXEMPT_FROM", "Part")]
+
+
+@query(f"""WITH {EDGES}, s AS (SELECT unnest({[list(x) for x in SIGNATURES]}) AS s)
+    SELECT s[2] AS relation, s[1] || CASE WHEN s[2] = 'CONTAINS' THEN ' ==>' ELSE ' -->' END || '|' || s[2] || ' ' || (SELECT count(*) FROM edges e WHERE e.relation = s[2]) || '| ' || s[3] AS line FROM s""")
+def schema_drawing(spark, sf_dir):
+    """The schema with its counts as Mermaid lines."""
+    return paths.schema_drawing(graph.relation_counts(star_edges(spark, sf_dir), DECLARED), SIGNATURES, SPINE)
+
+
+@query("""WITH d AS (SELECT c_custkey AS k, c_nationkey AS n, '절차-' || c_custkey AS title FROM customer)
+    SELECT 'D-' || n AS h, 'ALLOWS' AS r, title AS t, 'rule' AS origin, title AS src FROM d
+    UNION SELECT title, 'REQUIRES', (k % 90 + 1) || '일 이내', 'rule', title FROM d
+    UNION SELECT title, 'HANDLED_BY', '출입국·외국인청', 'rule', title FROM d
+    UNION SELECT 'A-' || unnest([1, n]), 'EXEMPT_FROM', '외국인등록', 'rule', title FROM d""")
+def rule_triples(spark, sf_dir):
+    """The rules over one guide for each customer, written from its row."""
+    c, k, n = read(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    body = F.concat(F.lit("입국 후 "), k % 90 + 1, F.lit("일 이내 신고\n외국인등록 면제 대상은 면제됩니다\n- 외교 (A-1, A-"), n, F.lit(")\n관할 출입국관리사무소에 신청"))
+    docs = c.select(k.alias("doc_ord"), F.concat(F.lit("절차-"), k).alias("title"), body.alias("body"), F.array(F.lit("안내"), F.concat(F.lit("D-"), n)).alias("tags"))
+    return rules.rule_triples(docs).drop("ord")
