@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import ship, small, stored, table
+from .common import ship, stored, table
 
 #: A repeated run of lines counts if it has as many words.
 MIN_WORDS = 50
@@ -61,6 +61,12 @@ def least_windows(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[p
         yield windows(rest)
 
 
+def merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join at every size: neither side has a bound, so none is sent to all tasks while it happens to be
+    small. A line or run with many copies makes its partition large; adaptive execution splits such partitions."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
@@ -81,7 +87,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = stored(some.select(*KEY, "q", "x.i", F.unhex(F.md5("x.line")).alias("h"), F.col("x.w").cast("long").alias("w")), "lines")
     again = stored(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     names = stored(ranked(again, ["h"]), "names")
-    line = stored(lines.join(small(names), "h").select(*KEY, "q", "i", "w", "r").dropDuplicates([*KEY, "q"]), "line")
+    line = stored(merged(lines, names, ["h"]).select(*KEY, "q", "i", "w", "r").dropDuplicates([*KEY, "q"]), "line")
 
     runs = line.select(*KEY, "q", "w").repartition(*KEY).sortWithinPartitions(*KEY, "q")
     runs = stored(runs.mapInPandas(lambda it: least_windows(it, min_words), "doc_id long, th long, q int, len int"), "runs")
@@ -92,13 +98,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         size = 1 << k
         inside = runs.where((F.col("len") >= size) & (F.col("len") < 2 * size))
         shifted = rank.select(*KEY, F.col("q").alias("q2"), F.col("r").alias("r2"))
-        head = inside.join(rank, [*KEY, "q"]).withColumn("q2", F.col("q") + F.col("len") - size)
-        levels.append(head.join(shifted, [*KEY, "q2"]).select(*KEY, "q", "len", "r", "r2"))
+        head = merged(inside, rank, [*KEY, "q"]).withColumn("q2", F.col("q") + F.col("len") - size)
+        levels.append(merged(head, shifted, [*KEY, "q2"]).select(*KEY, "q", "len", "r", "r2"))
         if 2 * size > longest:
             break
-        pair = stored(rank.join(rank.select(*KEY, (F.col("q") - size).alias("q"), F.col("r").alias("r2")), [*KEY, "q"]), "pair")
+        pair = stored(merged(rank, rank.select(*KEY, (F.col("q") - size).alias("q"), F.col("r").alias("r2")), [*KEY, "q"]), "pair")
         both = stored(_ranked_pairs(pair), "both")
-        rank = stored(pair.join(both, ["r", "r2"]).select(*KEY, "q", F.col("name").alias("r")), "rank")
+        rank = stored(merged(pair, both, ["r", "r2"]).select(*KEY, "q", F.col("name").alias("r")), "rank")
         k += 1
     named = levels[0]
     for x in levels[1:]:
@@ -106,9 +112,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = stored(named, "named")
     first = named.groupBy("len", "r", "r2").agg(F.min(F.struct(*KEY, "q")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stored(first.select("len", "r", "r2", "first"), "first")
-    later = named.join(small(first), ["len", "r", "r2"]).where(F.struct(*KEY, "q") > F.col("first"))
+    later = merged(named, first, ["len", "r", "r2"]).where(F.struct(*KEY, "q") > F.col("first"))
     gone = later.select(*KEY, F.explode(F.sequence(F.col("q"), F.col("q") + F.col("len") - 1)).alias("q")).distinct()
-    return line.select(*KEY, "q", "i").join(gone, [*KEY, "q"]).groupBy(*KEY).agg(F.sort_array(F.collect_list("i")).alias("lines"))
+    return merged(line.select(*KEY, "q", "i"), gone, [*KEY, "q"]).groupBy(*KEY).agg(F.sort_array(F.collect_list("i")).alias("lines"))
 
 
 def _ranked_pairs(pair: DataFrame) -> DataFrame:
@@ -128,7 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stored(repeated_lines(docs, id_col, text_col, min_words), "gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text).alias("th"), text.alias("text"))
-    both = rows.join(gone, KEY, "left").select("doc_id", "text", "lines")
+    both = merged(rows, gone, KEY, "left").select("doc_id", "text", "lines")
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, lines: pd.Series) -> pd.Series:
