@@ -5,14 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import stored, table
+from .common import BROADCAST_ROWS, small, stored, table
 
 DIMS = ("source", "lang", "topic")
 #: Exponent that tempers the shares of tokens into target shares; share of all tokens to keep; rounds of raking.
 TEMPER, KEEP, ROUNDS = 0.5, 0.6, 25
-#: Values of a dimension that are raked on their own, the most frequent by tokens; all others form one class together.
-OWN_VALUES = 200
+#: A refit ends when at most this share of all tokens moves in a round; multiples of cells at 1 grow no further than this.
+STILL, MOST_ROUNDS, MOST_MULTIPLE = 1e-9, 500, 1e200
+#: What own_values, if given, leaves of a dimension: all but the most frequent by tokens, as one class.
 OTHER = "(other)"
+CELL = ", ".join(f"{d} string" for d in DIMS) + ", w long, p double, " + ", ".join(f"{d}_target double" for d in DIMS)
 
 
 def described(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -47,47 +49,170 @@ def capped_scale(weights: np.ndarray, multiple: np.ndarray, keep: float) -> floa
     return float(scale[ok[0]]) if len(ok) else 1.0
 
 
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, own_values: int = OWN_VALUES, id_col: str = "doc_id") -> DataFrame:
+def attainable(w: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
+    """total dealt by share, with no part above what there is (w): what is too much goes to the others by their shares."""
+    full, scale = share < 0, 0.0
+    while (rest := share[~full].sum()) > 0:
+        scale = (total - w[full].sum()) / rest
+        more = full | (scale * share >= w)
+        if (more == full).all():
+            break
+        full = more
+    return np.where(full, w, scale * share)
+
+
+def refit(w: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], start: float, rounds: int = MOST_ROUNDS) -> np.ndarray:
+    """Probabilities min(1, multiple) of cells of w tokens, codes[axis] their values, whose kept tokens have the targets
+    (tokens by value). A value's factor is a Newton step of its kept tokens while they fall short, with cells at 1 held
+    fixed, and a ratio while they are too many: neither goes beyond the target. Ends when no tokens move."""
+    m = np.full(len(w), start)
+    for _ in range(rounds):
+        was = np.minimum(1, m)
+        for code, t in zip(codes, targets):
+            kept = np.bincount(code, w * np.minimum(1, m), len(t))
+            free = np.bincount(code, np.where(m < 1, w * m, 0), len(t))
+            up = np.divide(t - kept, free, out=np.zeros_like(t), where=free > 0) + 1
+            down = np.divide(t, kept, out=np.zeros_like(t), where=kept > 0)
+            m = np.minimum(m * np.where(t > kept, up, down)[code], MOST_MULTIPLE)
+        if (w * abs(np.minimum(1, m) - was)).sum() <= STILL * w.sum():
+            break
+    return np.minimum(1, m)
+
+
+def _few(cells: DataFrame, targets, keep: float, temper: float, rounds: int, once: bool) -> DataFrame:
+    """cells with p and, by dimension, target shares; few enough cells for arrays."""
+    rows = cells.orderBy(*DIMS).collect()
+    w, codes, shares, names = np.array([r.w for r in rows], float), [], [], []
+    for k, d in enumerate(DIMS):
+        value, code = np.unique(np.array([r[k] for r in rows], object), return_inverse=True)
+        now = np.bincount(code, w, len(value))
+        share = np.array([targets[d].get(v, 0.0) for v in value]) if targets and d in targets else (now / max(w.sum(), 1)) ** temper
+        codes, shares, names = [*codes, code], [*shares, share / share.sum() if share.sum() else share], [*names, value]
+    if once:
+        f = w.copy()
+        for _ in range(rounds):
+            for code, share in zip(codes, shares):
+                now = np.bincount(code, f, len(share))
+                f = f * np.divide(share * w.sum(), now, out=np.zeros_like(now), where=now > 0)[code]
+        multiple = np.divide(f, w, out=np.zeros_like(f), where=w > 0)
+        p = np.minimum(1, multiple * (capped_scale(w[w > 0], multiple[w > 0], keep) if (w > 0).any() else 1.0))
+    else:
+        there = [np.bincount(code, w, len(share)) for code, share in zip(codes, shares)]
+        p = refit(w, codes, [attainable(n, s, keep * w.sum()) for n, s in zip(there, shares)], keep)
+    aims = [dict(zip(v, map(float, s))) for v, s in zip(names, shares)]
+    out = [(*r[:4], float(x), *(aims[k][r[k]] for k in range(len(DIMS)))) for r, x in zip(rows, p)]
+    return cells.sparkSession.createDataFrame(out, CELL)
+
+
+def _many(cells: DataFrame, targets, keep: float, temper: float, rounds: int, once: bool) -> DataFrame:
+    """_few for any number of cells and values: a round is, by dimension, sums by value and a join. Only totals are
+    collected."""
+    spark, total = cells.sparkSession, float(cells.agg(F.sum("w")).first()[0] or 0)
+    table = {}
+    for d in DIMS:
+        v = cells.groupBy(d).agg(F.sum("w").cast("double").alias("there"))
+        if targets and d in targets:
+            v = v.join(spark.createDataFrame([(k, float(x)) for k, x in targets[d].items()], f"{d} string, share double"), d, "left").select(d, "there", F.coalesce("share", F.lit(0.0)).alias("share"))
+        else:
+            v = v.select(d, "there", F.pow(F.col("there") / max(total, 1), F.lit(temper)).alias("share"))
+        v = stored(v, "values")
+        s = v.agg(F.sum("share")).first()[0] or 1.0
+        v, scale = v.select(d, "there", (F.col("share") / s).alias("share")), 0.0
+        while not once:
+            full = F.col("share") * scale >= F.col("there")
+            held, rest = v.agg(F.sum(F.when(full, F.col("there")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).first() if scale else (0.0, 1.0)
+            now = (keep * total - held) / rest if rest and rest > 1e-15 else scale
+            if now <= scale * (1 + 1e-12):
+                break
+            scale = now
+        table[d] = stored(v.select(d, F.col("share").alias(f"{d}_target"), (F.col("share") * total if once else F.least("there", F.col("share") * scale)).alias("t")), "targets")
+    now = cells.select(*DIMS, "w", F.lit(1.0 if once else keep).alias("m"), F.lit(0.0).alias("was"))
+    p = F.col("m") if once else F.least(F.lit(1.0), "m")
+    for _ in range(rounds if once else MOST_ROUNDS):
+        now = now.withColumn("was", p)
+        for d in DIMS:
+            sums = now.groupBy(d).agg(F.sum(F.col("w") * p).alias("kept"), F.sum(F.when(F.col("m") < 1, F.col("w") * F.col("m")).otherwise(0.0)).alias("free")).join(table[d], d)
+            up = F.lit(1.0) + F.when(F.col("free") > 0, (F.col("t") - F.col("kept")) / F.col("free")).otherwise(0.0)
+            down = F.when(F.col("kept") > 0, F.col("t") / F.col("kept")).otherwise(0.0)
+            f = down if once else F.when(F.col("t") > F.col("kept"), up).otherwise(down)
+            now = now.join(small(stored(sums.select(d, f.alias("f")), "factors")), d)
+            now = stored(now.select(*DIMS, "w", F.least(F.col("m") * F.col("f"), F.lit(MOST_MULTIPLE)).alias("m"), "was"), "cells")
+        if not once and (now.agg(F.sum(F.col("w") * F.abs(p - F.col("was")))).first()[0] or 0.0) <= STILL * total:
+            break
+    scale = 0.0
+    while once:
+        full = F.col("m") * scale >= 1
+        held, rest = now.agg(F.sum(F.when(full, F.col("w")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w") * F.col("m")))).first()
+        new = (keep * total - (held or 0)) / rest if rest else scale
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    now = now.select(*DIMS, "w", F.least(F.lit(1.0), F.col("m") * (scale if once else 1.0)).alias("p"))
+    for d in DIMS:
+        now = now.join(small(table[d].select(d, f"{d}_target")), d)
+    return stored(now.select(*DIMS, "w", "p", *(f"{d}_target" for d in DIMS)), "cells")
+
+
+def cell_table(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, own_values: int | None = None, once: bool = False, few: int = BROADCAST_ROWS) -> DataFrame:
+    """Cells of described rows: source, lang, topic (values past own_values, if given, as one), w tokens, p, and the
+    target share of each of the three values. Beyond few cells, none is collected."""
+    cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("w")), "cells")
+    if own_values is not None:
+        own = {d: [r[0] for r in cells.groupBy(d).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), d).limit(own_values).collect()] for d in DIMS}
+        named = lambda d: F.when(F.col(d).isin(own[d]), F.col(d)).otherwise(OTHER)
+        classes = stored(cells.select(*DIMS, *(named(d).alias(f"{d}_class") for d in DIMS), "w"), "classes")
+        merged = stored(classes.groupBy(*(F.col(f"{d}_class").alias(d) for d in DIMS)).agg(F.sum("w").alias("w")), "cells")
+        found = (_few if merged.limit(few + 1).count() <= few else _many)(merged, targets, keep, temper, rounds, once)
+        found = found.select(*(F.col(d).alias(f"{d}_class") for d in DIMS), "p", *(f"{d}_target" for d in DIMS))
+        return classes.join(found, [f"{d}_class" for d in DIMS]).select(*DIMS, "w", "p", *(f"{d}_target" for d in DIMS))
+    return (_few if cells.limit(few + 1).count() <= few else _many)(cells, targets, keep, temper, rounds, once)
+
+
+def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, own_values: int | None = None, id_col: str = "doc_id", once: bool = False, few: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, tokens, source, lang, topic, probability, kept.
 
     targets: shares by value for some dimensions (values left out get none); where it has none, the observed shares are
-    raised to temper and normalised. Tokens of the cells are raked to the three marginals; a cell's probability is its
-    raked over its observed tokens, scaled so that the share keep of all tokens is expected to stay, 1 at most. A row
-    is kept if a hash of its id, uniform in [0, 1), is below: repeated ids fare alike, and a null id counts as an empty
-    one. Texts without words have no weight and share their cell's probability. An empty table gives an empty result.
-
-    Only the table of cells is collected: at most own_values + 1 values a dimension. Texts are not moved."""
+    raised to temper and normalised. A value that has fewer tokens than its share of the kept ones is kept whole, and
+    the others share the rest. Probabilities of cells, 1 at most, are raked until the tokens expected to stay have these
+    marginals and are the share keep of all; where all dimensions can't be met together, residuals() tells by how much.
+    With once, cells are raked for so many rounds without the limit of 1, which then cuts: marginals are missed.
+    A row is kept if a hash of its id, uniform in [0, 1), is below: repeated ids fare alike, and a null id counts as an
+    empty one. Texts without words have no weight and share their cell's probability. An empty table gives an empty
+    result. Texts are not moved."""
     rows = described(docs, id_col)
-    spark = docs.sparkSession
-    cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("w")), "cells")
-    own = {d: [r[0] for r in cells.groupBy(d).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), d).limit(own_values).collect()] for d in DIMS}
-    named = lambda d: F.when(F.col(d).isin(own[d]), F.col(d)).otherwise(OTHER).alias(f"{d}_class")
-    classes = cells.groupBy(*map(named, DIMS)).agg(F.sum("w").alias("w")).orderBy(*(f"{d}_class" for d in DIMS)).collect()
-    values = [sorted({r[k] for r in classes}) for k in range(len(DIMS))]
-    grid = np.zeros([len(v) for v in values])
-    for r in classes:
-        grid[tuple(v.index(r[k]) for k, v in enumerate(values))] = r.w
-    shares = []
-    for axis, d in enumerate(DIMS):
-        now = grid.sum(tuple(a for a in range(3) if a != axis))
-        share = np.array([targets[d].get(v, 0.0) for v in values[axis]]) if targets and d in targets else (now / max(now.sum(), 1)) ** temper
-        shares.append(share / share.sum() if share.sum() else share)
-    fitted = rake(grid, shares, rounds)
-    multiple = np.divide(fitted, grid, out=np.zeros_like(grid), where=grid > 0)
-    there = np.argwhere(grid > 0)
-    scale = capped_scale(grid[grid > 0], multiple[grid > 0], keep) if len(there) else 1.0
-    out = [(*(values[k][i] for k, i in enumerate(x)), float(min(1.0, scale * multiple[tuple(x)]))) for x in there]
-    found = spark.createDataFrame(out, ", ".join(f"{d}_class string" for d in DIMS) + ", p double")
-    rows = rows.select("*", *map(named, DIMS)).join(F.broadcast(found), [f"{d}_class" for d in DIMS], "left")
+    found = cell_table(rows, targets, keep, temper, rounds, own_values, once, few)
+    rows = rows.join(small(stored(found.select(*DIMS, "p"), "found")), list(DIMS), "left")
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     p = F.coalesce("p", F.lit(0.0))
     return rows.select("doc_id", "tokens", *DIMS, F.round(p, 6).alias("probability"), (u < p).alias("kept"))
 
 
+def residuals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, once: bool = False, few: int = BROADCAST_ROWS, id_col: str = "doc_id") -> DataFrame:
+    """dimension, value, and the shares of tokens: observed, target, expected of the sample; residual is expected less
+    target, and short says that the value has too few tokens for its target, so that it can't be met."""
+    cells = stored(cell_table(described(docs, id_col), targets, keep, temper, once=once, few=few), "residuals")
+    total = cells.agg(F.sum("w").alias("all"), F.sum(F.col("w") * F.col("p")).alias("stays"))
+    by = [cells.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("p")).alias("kept"), F.first(f"{d}_target").alias("target")) for d in DIMS]
+    got = by[0].unionByName(by[1]).unionByName(by[2]).join(F.broadcast(total))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    got = got.select("dimension", "value", share("w", "all").alias("observed"), "target", share("kept", "stays").alias("expected"), (F.col("target") * keep * F.col("all") > F.col("w") * (1 + 1e-9)).alias("short"))
+    six = lambda c: F.round(c, 6).alias(c)
+    return got.select("dimension", "value", six("observed"), six("target"), six("expected"), F.round(F.col("expected") - F.col("target"), 6).alias("residual"), "short")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probabilities of OP6_SQL: raked once, then cut at 1, so the sample misses its targets."""
+    return probabilities(table(spark, sf_dir, "documents"), once=True)
+
+
+def op6_mixing_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probabilities(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residuals(table(spark, sf_dir, "documents"))
+
+
 def _sql() -> str:
     q = [
         r"""d AS MATERIALIZED (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
