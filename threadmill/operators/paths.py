@@ -71,6 +71,25 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
+def settled_communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, community, settled) by communities' rule until no label changes, or until the labels are those of an
+    earlier round: then they go round for ever, and of those in turn the last are given. settled is false for a node that
+    would still change. Raises an error if neither has happened after most_rounds."""
+    both = endpoints(edges).select("node", "other").distinct()
+    both = both.unionByName(both.select("node", F.col("node").alias("other")).distinct()).checkpoint()
+    labels, seen = both.select("node").distinct().withColumn("community", F.col("node")).checkpoint(), set()
+    for _ in range(most_rounds):
+        said = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
+        new = said.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
+        new = new.join(labels.withColumnRenamed("community", "was"), "node").checkpoint()
+        changed, *mark = new.agg(F.count_if(F.col("community") != F.col("was")), F.bit_xor(F.xxhash64("node", "community")), F.sum(F.xxhash64("community", "node").cast("decimal(38)"))).first()
+        if not changed or tuple(mark) in seen:
+            return new.select("node", F.col("was").alias("community"), (F.col("community") == F.col("was")).alias("settled"))
+        seen.add(tuple(mark))
+        labels = new.select("node", "community")
+    raise RuntimeError(f"{changed} nodes not settled after {most_rounds} rounds")
+
+
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """One row, modularity: the share of edges inside communities less what degrees alone would give."""
     a, b = (membership.select(F.col("node").alias(n), F.col("community").alias(f"c_{n}")) for n in ("src", "dst"))

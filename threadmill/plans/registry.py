@@ -351,7 +351,7 @@ def node_view(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'N-' || n_nationkey AS a, 'R-' || n_regionkey AS b FROM nation), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(node, reach) AS (SELECT a, a FROM x UNION SELECT r.node, x.b FROM r JOIN x ON r.reach = x.a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf_dir):
-    """Connected components of nations and regions."""
+    """G13 over nations and regions only; star_components has all of the graph."""
     n = read(spark, sf_dir, "nation")
     own_checkpoints(spark)
     return graph.components(n.select(F.concat(F.lit("N-"), F.col("n_nationkey")).alias("src"), F.lit("PART_OF").alias("relation"), F.concat(F.lit("R-"), F.col("n_regionkey")).alias("dst")))
@@ -396,7 +396,7 @@ def place_edges(spark, sf_dir) -> DataFrame:
 
 @query(f"{LABELS} SELECT * FROM l{ROUNDS}")
 def graph_communities(spark, sf_dir):
-    """Communities of customers, nations and regions after three rounds of label passing."""
+    """G8 cut to customers, nations and regions and to three rounds of label passing; star_communities has the whole."""
     own_checkpoints(spark)
     return paths.communities(place_edges(spark, sf_dir), ROUNDS)
 
@@ -417,6 +417,32 @@ def community_facts(spark, sf_dir):
     return paths.community_facts(place_edges(spark, sf_dir), graph_communities(spark, sf_dir))
 
 
+@query()
+def star_components(spark, sf_dir):
+    """Connected components of all of the graph."""
+    own_checkpoints(spark)
+    return graph.components(star_edges(spark, sf_dir))
+
+
+@query()
+def star_communities(spark, sf_dir):
+    """Communities of all of the graph by label passing to a fixpoint, with the nodes that never settle."""
+    own_checkpoints(spark)
+    return paths.settled_communities(star_edges(spark, sf_dir))
+
+
+@query()
+def star_modularity(spark, sf_dir):
+    """How far the communities of all of the graph are from chance."""
+    return paths.modularity(star_edges(spark, sf_dir), star_communities(spark, sf_dir).select("node", "community")).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query()
+def star_community_facts(spark, sf_dir):
+    """Sixty facts of each community of all of the graph for its summary."""
+    return paths.community_facts(star_edges(spark, sf_dir), star_communities(spark, sf_dir).select("node", "community"))
+
+
 SIGNATURES = [("Customer", "LOCATED_IN", "Nation"), ("Nation", "PART_OF", "Region"), ("Order", "PLACED_BY", "Customer"), ("Order", "CONTAINS", "Part"), ("Part", "SUPPLIED_BY", "Supplier"), ("Part", "EXEMPT_FROM", "Part")]
 
 
