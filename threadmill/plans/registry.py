@@ -282,12 +282,19 @@ def words_and_grams(spark, sf_dir):
     s AS (SELECT qid, doc, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(terms) / avgdl))), 6) AS score FROM a JOIN p USING (term) JOIN i2 USING (term) JOIN d USING (doc), n GROUP BY ALL)
     SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc)::INT AS place FROM s QUALIFY place <= 3""")
 def bm25_top3(spark, sf_dir):
-    """The three best documents for every benchmark item."""
+    """O1: the three best documents for every benchmark item by words alone; bm25_grams_top3 is E1."""
     words = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\w-]+"), lambda w: w != "")
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("terms"))
     return retrieve.bm25(d, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("terms")))
 
 
+@query(FOUND["bm25_top3"][1].replace(TERMS, GRAMS))
+def bm25_grams_top3(spark, sf_dir):
+    """The three best documents for every benchmark item by words and their 2-grams."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.tokens_with_grams(F.col("text")).alias("terms"))
+    return retrieve.bm25(d, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokens_with_grams(F.col("text")).alias("terms")))
+
+
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', chr(10), 'g') AS x FROM pages),
     b AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM a)
     SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS body FROM b""")
