@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
 from threadmill.llm import jaccard
 
 
@@ -67,3 +68,53 @@ def test_odd_rows(odd, none):
 def test_prefix_reaches_recall():
     k = jaccard.prefix_length(0.8, 20, 6, 0.9999)
     assert 1 - (1 - 0.8**k) ** 20 >= 0.9999 and 1 - (1 - 0.8 ** (k + 1)) ** 20 < 0.9999
+
+
+def test_texts_that_share_an_id(spark):
+    """An id of several texts: each text keeps its own links."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " else"), (4, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_links, r.class_id, r.n_copies) for r in jaccard.jaccard_classes(df).collect())
+    assert out == [(1, 1, 1, 1), (1, 1, 1, 2), (2, 1, 1, 1), (3, 1, 1, 1), (4, 1, 1, 2)]
+
+
+def test_prefix_by_set_size():
+    """The least similarity by trying all sizes, and prefixes that reach the recall for it."""
+    for m in range(1, 30):
+        every = [i / (m + b - i) for i in range(m + 1) for b in range(i, 60) if i / (m + b - i) >= 0.8 - 1e-12]
+        assert abs(jaccard.least_similarity(m) - min(every)) < 1e-12
+    lengths = jaccard.prefix_lengths()
+    assert lengths[1] == jaccard.DEPTH and lengths[-1] == jaccard.prefix_length() == lengths.min()
+
+
+def test_forest_edges_against_enumeration(spark):
+    """Nodes that span ranges, tied labels and mixed depths: the same components as by comparing all prefixes."""
+    import random
+
+    from threadmill.llm.common import components
+
+    rng, bits = random.Random(5), (2, 2, 2)
+    leaves = [(tree << 6 | rng.choice([5, 17, 22, 23, 40, rng.randrange(64)]), n, rng.choice([2, 3])) for n in range(300) for tree in range(2)]
+    df = spark.createDataFrame(leaves, "label long, num long, depth int").withColumn("depth", F.col("depth").cast("byte"))
+    up = {n: n for _, n, _ in leaves}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for d in (2, 3):
+        nodes = defaultdict(list)
+        for label, n, own in leaves:
+            nodes[label >> 2 * (3 - d)].append((n, own))
+        for node in nodes.values():
+            asked = [n for n, own in node if own <= d]
+            for n in asked:
+                x, y = sorted((root(n), root(asked[0])))
+                up[y] = x
+    got = {r.node: r.root for r in components(jaccard.forest_edges(df, 2, bits)).collect()}
+    want = {n: root(n) for n in up}
+    # heads that ask for longer prefixes than the node's may join: classes only grow
+    for n, r in want.items():
+        assert got.get(n, n) == got.get(r, r)
