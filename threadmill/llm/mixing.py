@@ -2,51 +2,77 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import BROADCAST_ROWS, small, stored, table
 
 DIMS = ("source", "lang", "topic")
-#: Exponent that tempers the shares of tokens into target shares; share of all tokens to keep; rounds of raking.
-TEMPER, KEEP, ROUNDS = 0.5, 0.6, 25
-#: A refit ends when at most this share of all tokens moves in a round; multiples of cells at 1 grow no further than this.
+#: Exponent that tempers the shares of tokens into target shares; share of all tokens to keep.
+TEMPER, KEEP = 0.5, 0.6
+#: Raking ends when at most this share of all tokens moves in a round; multiples of cells at 1 grow no further than this.
 STILL, MOST_ROUNDS, MOST_MULTIPLE = 1e-9, 500, 1e200
-#: What own_values, if given, leaves of a dimension: all but the most frequent by tokens, as one class.
-OTHER = "(other)"
+#: Topics of a language are its most widespread words of four and more letters, of those in 1 to 10 % of its documents.
+TOPICS, LEAST_SPREAD, MOST_SPREAD, NO_TOPIC = 8, 0.01, 0.1, "none"
+UPPER, LOWER, WORD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "[a-zà-öø-ÿ]{4,}"
 CELL = ", ".join(f"{d} string" for d in DIMS) + ", w long, p double, " + ", ".join(f"{d}_target double" for d in DIMS)
 
 
-def described(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, tokens (words), source, lang and topic of each row. Topics are forms of text: listing (has a bar),
-    figures (has a digit), brief (under 100 words), prose. Nulls are empty strings."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    topic = F.when(F.contains(text, F.lit("|")), "listing").when(text.rlike("[0-9]"), "figures").when(F.col("tokens") < 100, "brief").otherwise("prose")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), tokens.alias("tokens"))
-    return rows.select("doc_id", "tokens", "source", "lang", topic.alias("topic"))
+def content_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def rake(weights: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """weights (a table of tokens) scaled so that each axis has the target shares of the same total."""
-    fitted, total = weights.astype(float), weights.sum()
-    for _ in range(rounds):
-        for axis, share in enumerate(targets):
-            now = fitted.sum(tuple(a for a in range(fitted.ndim) if a != axis))
-            f = np.divide(share * total, now, out=np.zeros_like(now, dtype=float), where=now > 0)
-            fitted = fitted * f.reshape([-1 if a == axis else 1 for a in range(fitted.ndim)])
-    return fitted
+#: Adds a column topic to rows that have text, source and lang (no nulls).
+Topic = Callable[[DataFrame], DataFrame]
+TOKEN = r"[^\x20\x09-\x0D]+"
+
+
+def themes(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
+    """(lang, themes): for each language the words that make its topics, by place, with their weights: the logarithm of
+    the language's documents by those that have the word. Counted over all documents."""
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.array_distinct(content_words(F.col("text"))).alias("words"))
+    counts = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    of = rows.groupBy("lang").agg(F.count("*").alias("of"))
+    some = counts.join(small(stored(of, "of")), "lang").where(F.col("n").between(LEAST_SPREAD * F.col("of"), MOST_SPREAD * F.col("of")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    some = some.withColumn("place", place).where(F.col("place") <= topics)
+    theme = F.struct("place", "word", F.log(F.col("of") / F.col("n")).alias("weight"))
+    return some.groupBy("lang").agg(F.sort_array(F.collect_list(theme)).alias("themes"))
+
+
+def by_theme(docs: DataFrame, topics: int = TOPICS) -> Topic:
+    """The topic of a text is the place, t1, t2 ..., of the theme of its language that it has most often by weight, the
+    first of equal ones; none if it has none. Places, not words, so that a topic is not a language by another name."""
+    found = stored(themes(docs, topics), "themes")
 
+    def add(rows: DataFrame) -> DataFrame:
+        rows = rows.join(small(found), "lang", "left")
+        own = F.filter(content_words(F.col("text")), lambda w: F.array_contains(F.col("themes.word"), w))
+        count = lambda a, x: F.size(F.filter(a, lambda w: w == x))
+        score = lambda a, x: F.struct((count(a, x["word"]) * x["weight"]).alias("score"), (-x["place"]).alias("place"))
+        best = F.transform(F.array(own), lambda a: F.array_max(F.transform("themes", lambda x: score(a, x))))[0]
+        return rows.withColumn("topic", F.when(best["score"] > 0, F.concat(F.lit("t"), (-best["place"]).cast("string"))).otherwise(NO_TOPIC)).drop("themes")
 
-def capped_scale(weights: np.ndarray, multiple: np.ndarray, keep: float) -> float:
-    """The scale by which min(1, scale * multiple) keeps the share keep of all weights."""
-    order = np.argsort(-multiple, kind="stable")
-    w, m = weights[order].astype(float), multiple[order]
-    full = np.concatenate([[0], np.cumsum(w)[:-1]])  # kept whole before each cell
-    rest = np.cumsum((w * m)[::-1])[::-1]
-    scale = np.divide(keep * w.sum() - full, rest, out=np.zeros_like(rest), where=rest > 0)
-    ok = np.flatnonzero(scale * m <= 1)
-    return float(scale[ok[0]]) if len(ok) else 1.0
+    return add
+
+
+def by_form(rows: DataFrame) -> DataFrame:
+    """Forms of text in place of topics: listing (has a bar), figures (has a digit), brief (under 100 words), prose."""
+    text = F.col("text")
+    brief = F.regexp_count(text, F.lit(TOKEN)) < 100
+    return rows.withColumn("topic", F.when(F.contains(text, F.lit("|")), "listing").when(text.rlike("[0-9]"), "figures").when(brief, "brief").otherwise("prose"))
+
+
+def described(docs: DataFrame, topic_of: Topic, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, tokens (words), source, lang and topic of each row, and as a struct `row` the columns keep. Nulls are
+    empty strings."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "source", "lang")]
+    rest = [F.struct(*keep).alias("row")] if keep else []
+    rows = topic_of(docs.select(F.col(id_col).alias("doc_id"), *own, *rest))
+    return rows.select("doc_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"), *DIMS, *(["row"] if keep else []))
 
 
 def attainable(w: np.ndarray, share: np.ndarray, total: float) -> np.ndarray:
@@ -79,7 +105,7 @@ def refit(w: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], sta
     return np.minimum(1, m)
 
 
-def _few(cells: DataFrame, targets, keep: float, temper: float, rounds: int, once: bool) -> DataFrame:
+def _few(cells: DataFrame, targets, keep: float, temper: float) -> DataFrame:
     """cells with p and, by dimension, target shares; few enough cells for arrays."""
     rows = cells.orderBy(*DIMS).collect()
     w, codes, shares, names = np.array([r.w for r in rows], float), [], [], []
@@ -88,23 +114,14 @@ def _few(cells: DataFrame, targets, keep: float, temper: float, rounds: int, onc
         now = np.bincount(code, w, len(value))
         share = np.array([targets[d].get(v, 0.0) for v in value]) if targets and d in targets else (now / max(w.sum(), 1)) ** temper
         codes, shares, names = [*codes, code], [*shares, share / share.sum() if share.sum() else share], [*names, value]
-    if once:
-        f = w.copy()
-        for _ in range(rounds):
-            for code, share in zip(codes, shares):
-                now = np.bincount(code, f, len(share))
-                f = f * np.divide(share * w.sum(), now, out=np.zeros_like(now), where=now > 0)[code]
-        multiple = np.divide(f, w, out=np.zeros_like(f), where=w > 0)
-        p = np.minimum(1, multiple * (capped_scale(w[w > 0], multiple[w > 0], keep) if (w > 0).any() else 1.0))
-    else:
-        there = [np.bincount(code, w, len(share)) for code, share in zip(codes, shares)]
-        p = refit(w, codes, [attainable(n, s, keep * w.sum()) for n, s in zip(there, shares)], keep)
+    there = [np.bincount(code, w, len(share)) for code, share in zip(codes, shares)]
+    p = refit(w, codes, [attainable(n, s, keep * w.sum()) for n, s in zip(there, shares)], keep)
     aims = [dict(zip(v, map(float, s))) for v, s in zip(names, shares)]
     out = [(*r[:4], float(x), *(aims[k][r[k]] for k in range(len(DIMS)))) for r, x in zip(rows, p)]
     return cells.sparkSession.createDataFrame(out, CELL)
 
 
-def _many(cells: DataFrame, targets, keep: float, temper: float, rounds: int, once: bool) -> DataFrame:
+def _many(cells: DataFrame, targets, keep: float, temper: float) -> DataFrame:
     """_few for any number of cells and values: a round is, by dimension, sums by value and a join. Only totals are
     collected."""
     spark, total = cells.sparkSession, float(cells.agg(F.sum("w")).first()[0] or 0)
@@ -118,79 +135,76 @@ def _many(cells: DataFrame, targets, keep: float, temper: float, rounds: int, on
         v = stored(v, "values")
         s = v.agg(F.sum("share")).first()[0] or 1.0
         v, scale = v.select(d, "there", (F.col("share") / s).alias("share")), 0.0
-        while not once:
+        while True:
             full = F.col("share") * scale >= F.col("there")
             held, rest = v.agg(F.sum(F.when(full, F.col("there")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("share")))).first() if scale else (0.0, 1.0)
             now = (keep * total - held) / rest if rest and rest > 1e-15 else scale
             if now <= scale * (1 + 1e-12):
                 break
             scale = now
-        table[d] = stored(v.select(d, F.col("share").alias(f"{d}_target"), (F.col("share") * total if once else F.least("there", F.col("share") * scale)).alias("t")), "targets")
-    now = cells.select(*DIMS, "w", F.lit(1.0 if once else keep).alias("m"), F.lit(0.0).alias("was"))
-    p = F.col("m") if once else F.least(F.lit(1.0), "m")
-    for _ in range(rounds if once else MOST_ROUNDS):
+        table[d] = stored(v.select(d, F.col("share").alias(f"{d}_target"), F.least("there", F.col("share") * scale).alias("t")), "targets")
+    now = cells.select(*DIMS, "w", F.lit(keep).alias("m"), F.lit(0.0).alias("was"))
+    p = F.least(F.lit(1.0), "m")
+    for _ in range(MOST_ROUNDS):
         now = now.withColumn("was", p)
         for d in DIMS:
             sums = now.groupBy(d).agg(F.sum(F.col("w") * p).alias("kept"), F.sum(F.when(F.col("m") < 1, F.col("w") * F.col("m")).otherwise(0.0)).alias("free")).join(table[d], d)
             up = F.lit(1.0) + F.when(F.col("free") > 0, (F.col("t") - F.col("kept")) / F.col("free")).otherwise(0.0)
             down = F.when(F.col("kept") > 0, F.col("t") / F.col("kept")).otherwise(0.0)
-            f = down if once else F.when(F.col("t") > F.col("kept"), up).otherwise(down)
+            f = F.when(F.col("t") > F.col("kept"), up).otherwise(down)
             now = now.join(small(stored(sums.select(d, f.alias("f")), "factors")), d)
             now = stored(now.select(*DIMS, "w", F.least(F.col("m") * F.col("f"), F.lit(MOST_MULTIPLE)).alias("m"), "was"), "cells")
-        if not once and (now.agg(F.sum(F.col("w") * F.abs(p - F.col("was")))).first()[0] or 0.0) <= STILL * total:
-            break
-    scale = 0.0
-    while once:
-        full = F.col("m") * scale >= 1
-        held, rest = now.agg(F.sum(F.when(full, F.col("w")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w") * F.col("m")))).first()
-        new = (keep * total - (held or 0)) / rest if rest else scale
-        if new <= scale * (1 + 1e-12):
+        if (now.agg(F.sum(F.col("w") * F.abs(p - F.col("was")))).first()[0] or 0.0) <= STILL * total:
             break
-        scale = new
-    now = now.select(*DIMS, "w", F.least(F.lit(1.0), F.col("m") * (scale if once else 1.0)).alias("p"))
+    now = now.select(*DIMS, "w", p.alias("p"))
     for d in DIMS:
         now = now.join(small(table[d].select(d, f"{d}_target")), d)
     return stored(now.select(*DIMS, "w", "p", *(f"{d}_target" for d in DIMS)), "cells")
 
 
-def cell_table(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, own_values: int | None = None, once: bool = False, few: int = BROADCAST_ROWS) -> DataFrame:
-    """Cells of described rows: source, lang, topic (values past own_values, if given, as one), w tokens, p, and the
-    target share of each of the three values. Beyond few cells, none is collected."""
+def cell_table(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, few: int = BROADCAST_ROWS) -> DataFrame:
+    """Cells of described rows: source, lang, topic, w tokens, p, and the target share of each of the three values.
+    Beyond few cells, none is collected."""
     cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("w")), "cells")
-    if own_values is not None:
-        own = {d: [r[0] for r in cells.groupBy(d).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), d).limit(own_values).collect()] for d in DIMS}
-        named = lambda d: F.when(F.col(d).isin(own[d]), F.col(d)).otherwise(OTHER)
-        classes = stored(cells.select(*DIMS, *(named(d).alias(f"{d}_class") for d in DIMS), "w"), "classes")
-        merged = stored(classes.groupBy(*(F.col(f"{d}_class").alias(d) for d in DIMS)).agg(F.sum("w").alias("w")), "cells")
-        found = (_few if merged.limit(few + 1).count() <= few else _many)(merged, targets, keep, temper, rounds, once)
-        found = found.select(*(F.col(d).alias(f"{d}_class") for d in DIMS), "p", *(f"{d}_target" for d in DIMS))
-        return classes.join(found, [f"{d}_class" for d in DIMS]).select(*DIMS, "w", "p", *(f"{d}_target" for d in DIMS))
-    return (_few if cells.limit(few + 1).count() <= few else _many)(cells, targets, keep, temper, rounds, once)
-
-
-def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, own_values: int | None = None, id_col: str = "doc_id", once: bool = False, few: int = BROADCAST_ROWS) -> DataFrame:
+    return (_few if cells.limit(few + 1).count() <= few else _many)(cells, targets, keep, temper)
+
+
+def kept_rows(docs: DataFrame, columns: list[str], targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, id_col: str = "doc_id", few: int = BROADCAST_ROWS, topic_of: Topic | None = None) -> DataFrame:
+    """Described rows of docs with p (the probability of their cell), kept, and as a struct `row` the given columns.
+
+    A row is kept if a hash of its id, uniform in [0, 1), is below p: repeated ids of one cell fare alike, and a null id
+    counts as an empty one. Texts are not moved."""
+    topic_of = topic_of or by_theme(docs)
+    found = cell_table(described(docs, topic_of, id_col), targets, keep, temper, few)
+    rows = described(docs, topic_of, id_col, columns).join(small(stored(found.select(*DIMS, "p"), "found")), list(DIMS), "left")
+    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return rows.withColumn("p", F.coalesce("p", F.lit(0.0))).withColumn("kept", u < F.col("p"))
+
+
+def probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, id_col: str = "doc_id", few: int = BROADCAST_ROWS, topic_of: Topic | None = None) -> DataFrame:
     """One row per row of docs: doc_id, tokens, source, lang, topic, probability, kept.
 
-    targets: shares by value for some dimensions (values left out get none); where it has none, the observed shares are
-    raised to temper and normalised. A value that has fewer tokens than its share of the kept ones is kept whole, and
-    the others share the rest. Probabilities of cells, 1 at most, are raked until the tokens expected to stay have these
+    topic is that of by_theme(), or what topic_of makes of it. targets: shares by value for some dimensions (values left
+    out get none); where it has none, the observed shares are raised to temper and normalised. All values of a dimension
+    count, however many there are. A value that has fewer tokens than its share of the kept ones is kept whole, and the
+    others share the rest. Probabilities of cells, 1 at most, are raked until the tokens expected to stay have these
     marginals and are the share keep of all; where all dimensions can't be met together, residuals() tells by how much.
-    With once, cells are raked for so many rounds without the limit of 1, which then cuts: marginals are missed.
-    A row is kept if a hash of its id, uniform in [0, 1), is below: repeated ids fare alike, and a null id counts as an
-    empty one. Texts without words have no weight and share their cell's probability. An empty table gives an empty
-    result. Texts are not moved."""
-    rows = described(docs, id_col)
-    found = cell_table(rows, targets, keep, temper, rounds, own_values, once, few)
-    rows = rows.join(small(stored(found.select(*DIMS, "p"), "found")), list(DIMS), "left")
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    p = F.coalesce("p", F.lit(0.0))
-    return rows.select("doc_id", "tokens", *DIMS, F.round(p, 6).alias("probability"), (u < p).alias("kept"))
+    kept is kept_rows'. Texts without words have no weight and share their cell's probability. Nulls count as empty
+    strings; other columns are ignored; an empty table gives an empty result."""
+    out = kept_rows(docs, [], targets, keep, temper, id_col, few, topic_of)
+    return out.select("doc_id", "tokens", *DIMS, F.round("p", 6).alias("probability"), "kept")
 
 
-def residuals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, once: bool = False, few: int = BROADCAST_ROWS, id_col: str = "doc_id") -> DataFrame:
+def sampled(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that are kept."""
+    return kept_rows(docs, docs.columns, **options).where("kept").select("row.*")
+
+
+def residuals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, few: int = BROADCAST_ROWS, id_col: str = "doc_id", topic_of: Topic | None = None) -> DataFrame:
     """dimension, value, and the shares of tokens: observed, target, expected of the sample; residual is expected less
     target, and short says that the value has too few tokens for its target, so that it can't be met."""
-    cells = stored(cell_table(described(docs, id_col), targets, keep, temper, once=once, few=few), "residuals")
+    topic_of = topic_of or by_theme(docs)
+    cells = stored(cell_table(described(docs, topic_of, id_col), targets, keep, temper, few), "residuals")
     total = cells.agg(F.sum("w").alias("all"), F.sum(F.col("w") * F.col("p")).alias("stays"))
     by = [cells.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("p")).alias("kept"), F.first(f"{d}_target").alias("target")) for d in DIMS]
     got = by[0].unionByName(by[1]).unionByName(by[2]).join(F.broadcast(total))
@@ -201,11 +215,6 @@ def residuals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = Non
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The probabilities of OP6_SQL: raked once, then cut at 1, so the sample misses its targets."""
-    return probabilities(table(spark, sf_dir, "documents"), once=True)
-
-
-def op6_mixing_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probabilities(table(spark, sf_dir, "documents"))
 
 
@@ -215,26 +224,37 @@ def op6_mixing_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     q = [
-        r"""d AS MATERIALIZED (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-        CASE WHEN contains(coalesce(text, ''), '|') THEN 'listing' WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'figures' ELSE '' END AS form FROM documents)""",
-        "t AS MATERIALIZED (SELECT * EXCLUDE (form), CASE WHEN form <> '' THEN form WHEN tokens < 100 THEN 'brief' ELSE 'prose' END AS topic FROM d)",
-        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS w, sum(tokens)::DOUBLE AS f FROM t GROUP BY ALL)",
+        rf"""d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))::BIGINT AS tokens, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+        regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents)""",
+        "n AS MATERIALIZED (SELECT lang, count(*) AS all_docs FROM d GROUP BY 1)",
+        "df AS MATERIALIZED (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(words)) AS word FROM d) GROUP BY ALL)",
+        f"""k AS MATERIALIZED (SELECT lang, word, ln(all_docs / n) AS weight, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM df JOIN n USING (lang)
+        WHERE n BETWEEN {LEAST_SPREAD} * all_docs AND {MOST_SPREAD} * all_docs QUALIFY place <= {TOPICS})""",
+        "own AS MATERIALIZED (SELECT rid, place, count(*) * min(weight) AS score FROM (SELECT rid, lang, unnest(words) AS word FROM d) JOIN k USING (lang, word) GROUP BY ALL)",
+        "best AS MATERIALIZED (SELECT rid, place FROM own QUALIFY row_number() OVER (PARTITION BY rid ORDER BY score DESC, place) = 1)",
+        f"t AS MATERIALIZED (SELECT doc_id, tokens, source, lang, coalesce('t' || place, '{NO_TOPIC}') AS topic FROM d LEFT JOIN best USING (rid))",
+        "c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS w FROM t GROUP BY ALL)",
+        "total AS MATERIALIZED (SELECT sum(w) AS w FROM c)",
     ]
+    for d in DIMS:  # what each value can attain: its share, or all it has
+        q.append(f"s_{d} AS MATERIALIZED (SELECT {d}, sum(w) AS there, pow(sum(w) / (SELECT w FROM total), {TEMPER}) AS s FROM c GROUP BY 1)")
+        q.append(f"v_{d} AS MATERIALIZED (SELECT {d}, there, s / (SELECT sum(s) FROM s_{d}) AS share, there / s AS ratio FROM s_{d} WHERE there > 0)")
+        q.append(
+            f"""z_{d} AS MATERIALIZED (SELECT there, share, row_number() OVER (ORDER BY ratio, {d}) AS k, ({KEEP} * (SELECT w FROM total) - coalesce(sum(there) OVER (ORDER BY ratio, {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(share) OVER (ORDER BY ratio, {d} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM v_{d})"""
+        )
+        q.append(f"t_{d} AS MATERIALIZED (SELECT {d}, least(there, share * (SELECT arg_min(scale, k) FROM z_{d} WHERE scale * share <= there)) AS t_{d} FROM v_{d})")
+    step = "SELECT * REPLACE (least(1.0, m) AS was) FROM r WHERE round < {rounds} AND moved > {still} * (SELECT w FROM total)".format(rounds=MOST_ROUNDS, still=STILL)
     for d in DIMS:
-        q.append(f"s_{d} AS MATERIALIZED (SELECT {d}, pow(sum(w) / (SELECT sum(w) FROM c0), {TEMPER}) AS s FROM c0 GROUP BY 1)")
-        q.append(f"g_{d} AS MATERIALIZED (SELECT {d}, s / (SELECT sum(s) FROM s_{d}) * (SELECT sum(w) FROM c0) AS g FROM s_{d})")
-    n = 0
-    for _ in range(ROUNDS):
-        for d in DIMS:
-            q.append(f"c{n + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.w, c.f * g.g / sum(c.f) OVER (PARTITION BY c.{d}) AS f FROM c{n} c JOIN g_{d} g USING ({d}))")
-            n += 1
-    q += [
-        f"m AS MATERIALIZED (SELECT *, f / w AS m, row_number() OVER (ORDER BY f / w DESC, source, lang, topic) AS k FROM c{n} WHERE w > 0)",
-        f"""z AS MATERIALIZED (SELECT m, k, ({KEEP} * sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-        / sum(w * m) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM m)""",
-        "p AS MATERIALIZED (SELECT source, lang, topic, least(1.0, m * (SELECT arg_min(scale, k) FROM z WHERE scale * m <= 1)) AS p FROM m)",
-    ]
-    return f"""WITH {", ".join(q)} SELECT doc_id, tokens, source, lang, topic, round(coalesce(p, 0), 6) AS probability,
+        sums = f"SELECT *, sum(w * least(1.0, m)) OVER (PARTITION BY {d}) AS kept, sum(CASE WHEN m < 1 THEN w * m ELSE 0 END) OVER (PARTITION BY {d}) AS free FROM ({step})"
+        factor = f"CASE WHEN t_{d} > kept THEN 1 + CASE WHEN free > 0 THEN (t_{d} - kept) / free ELSE 0 END WHEN kept > 0 THEN t_{d} / kept ELSE 0 END"
+        step = f"SELECT * EXCLUDE (kept, free) REPLACE (least(m * {factor}, {MOST_MULTIPLE}) AS m) FROM ({sums})"
+    q.append(
+        f"""r AS (SELECT 0 AS round, 1e300::DOUBLE AS moved, c.*, {KEEP}::DOUBLE AS m, 0.0::DOUBLE AS was, t_source, t_lang, t_topic FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)
+        UNION ALL SELECT * REPLACE (round + 1 AS round, sum(w * abs(least(1.0, m) - was)) OVER () AS moved) FROM ({step}))"""
+    )
+    q.append("p AS MATERIALIZED (SELECT source, lang, topic, least(1.0, m) AS p FROM r WHERE round = (SELECT max(round) FROM r))")
+    return f"""WITH RECURSIVE {", ".join(q)} SELECT doc_id, tokens, source, lang, topic, round(coalesce(p, 0), 6) AS probability,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < coalesce(p, 0) AS kept FROM t LEFT JOIN p USING (source, lang, topic)"""
 
 

@@ -12,7 +12,7 @@ from .fingerprint import op7_document_fingerprints
 from .jaccard import op3_ngram_jaccard
 from .lattice import op8_lattice_lm
 from .lines import op2_line_dedup
-from .mixing import OP6_SQL, op6_mixing, op6_mixing_refit, op6_mixing_residuals
+from .mixing import OP6_SQL, op6_mixing, op6_mixing_residuals
 from .pii import op5_pii
 from .quality import op4_quality_classifier
 from .shards import op9_kd_shards
@@ -22,7 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_byte_bpe, op2_line_dedup, op3_ngram_jaccard, op4_quality_classifier, op5_pii,
         op6_mixing, op7_document_fingerprints, op8_lattice_lm, op9_kd_shards, op10_exact_dedup,
-        op6_mixing_refit, op6_mixing_residuals,
+        op6_mixing_residuals,
     )
     return {f.__name__: f for f in every}
 
