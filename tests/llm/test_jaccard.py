@@ -77,6 +77,8 @@ def test_texts_that_share_an_id(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = sorted((r.doc_id, r.n_links, r.class_id, r.n_copies) for r in jaccard.jaccard_classes(df).collect())
     assert out == [(1, 1, 1, 1), (1, 1, 1, 2), (2, 1, 1, 1), (3, 1, 1, 1), (4, 1, 1, 2)]
+    near = spark.createDataFrame([(1, a), (1, a + " more"), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.stays) for r in jaccard.jaccard_classes(near).collect()) == [(1, False), (1, True), (2, True), (3, False)]
 
 
 def test_prefix_by_set_size():

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import components, mix, ship, small, spans, stored, table, utf8, word_hashes, words
 
@@ -228,16 +228,22 @@ def verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Dat
         yield decide(rest)
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart: 128 bits of SHA-256, in hex; a null text is an empty one."""
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32)
+
+
 def jaccard_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, recall: float = RECALL, block: int = BLOCK
 ) -> DataFrame:
-    """One row per row of docs: doc_id, text_id, class_id, n_copies, n_links, text_key.
+    """One row per row of docs: doc_id, text_id, class_id, n_copies, n_links, text_key, stays.
 
     text_id: the smallest id with the same text. n_copies: rows with that text. n_links: other texts whose sets of
     five-word shingles have a Jaccard similarity of threshold or more with this one's. class_id: the smallest id that
     links and copies lead to. text_key: a 128-bit hash of the text, by which texts are told apart: where different texts
-    share an id, each has its own links and class, and two classes can bear that id. A text of fewer words than a
-    shingle is one shingle; a text without words has no links, and a null text is an empty one. Rows with a null id
+    share an id, each has its own links and class, and two classes can bear that id. stays: the row has the text and the
+    id of its class's first document, the one to keep of its near duplicates. A text of fewer words than a shingle is
+    one shingle; a text without words has no links, and a null text is an empty one. Rows with a null id
     are ignored. Other columns are ignored; an empty table gives an empty result.
 
     Copies collapse first, and texts are numbered in the order of their ids. Each distinct text is a leaf of every trie
@@ -250,7 +256,7 @@ def jaccard_classes(
     ship(docs.sparkSession)
     lengths = prefix_lengths(threshold, trees, DEPTH, recall)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    rows = rows.select("doc_id", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("tk"), "text")
+    rows = rows.select("doc_id", F.unhex(text_key(F.col("text"))).alias("tk"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,12 +303,13 @@ def jaccard_classes(
     classes = judged.groupBy("num").agg(F.sum("links").alias("n_links"), F.min(F.when(F.col("cells") == 1, F.col("root"))).alias("near"))
     classes = classes.join(wide.select(F.col("node").alias("num"), "root"), "num", "left").select("num", "n_links", F.coalesce("near", "root", "num").alias("class"))
     ids = texts.select(F.col("num").alias("class"), F.col("text_id").alias("class_id"))
-    classes = stored(classes.join(ids, "class").select("num", "n_links", "class_id"), "classes")
+    classes = stored(classes.join(ids, "class").select("num", "n_links", "class_id", (F.col("num") == F.col("class")).alias("first")), "classes")
     every = texts.select("num", "tk", "text_id", "n_copies").join(small(classes), "num", "left")
-    every = stored(every.select("tk", "text_id", "n_copies", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    return signed.select("doc_id", "tk").join(every, "tk").select("doc_id", "text_id", "class_id", "n_copies", "n_links", F.lower(F.hex("tk")).alias("text_key"))
+    every = stored(every.select("tk", "text_id", "n_copies", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", F.lit(True)).alias("first")), "known")
+    stays = (F.col("first") & (F.col("doc_id") == F.col("class_id"))).alias("stays")
+    return signed.select("doc_id", "tk").join(every, "tk").select("doc_id", "text_id", "class_id", "n_copies", "n_links", F.lower(F.hex("tk")).alias("text_key"), stays)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jaccard_classes over documents."""
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_key", "stays")

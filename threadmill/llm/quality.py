@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import ship, spans, table, utf8, word_hashes, words
 
-#: Labelled documents that the field is fitted on at most, the first by a hash of their id; and code points of all.
-MOST_LABELLED, EPOCHS, PENALTY = 4000, 300, 1e-3
+#: The field is fitted on so many labelled documents at most, the first by a hash of their id, leaving out those of more
+#: code points than LONGEST: 80 MB of text at the very most, in one task.
+MOST_LABELLED, LONGEST, EPOCHS, PENALTY = 4000, 20_000, 300, 1e-3
 CUT = 0.7
 
 _CLASSES = np.zeros((256, 6), np.float32)  # upper, lower or other letter, digit, sentence mark, bar, other sign
@@ -80,15 +81,17 @@ def _padded(own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.where(there, own[rows][:, None] + steps[None, :], 0), there
 
 
-def marginals(emit: np.ndarray, move: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, move: np.ndarray, own: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward in log space over chains: log marginals of the two labels of each line, the expected moves
-    between labels, and each chain's log partition. emit: lines x 2, move: 2 x 2."""
+    between labels (each chain's times its weight), and each chain's log partition. emit: lines x 2, move: 2 x 2."""
     out, moves = np.zeros_like(emit), np.zeros((2, 2))
     total = np.zeros(len(own) - 1)
     size = np.diff(own)
     level = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
     for at, there in _padded(own):
         n, steps = at.shape
+        chains = np.flatnonzero(level == int(np.ceil(np.log2(max(steps, 1)))))
+        share = np.ones(n) if weight is None else weight[chains]
         e = np.where(there[..., None], emit[at], 0)
         f = np.empty((steps, n, 2))
         f[0] = e[:, 0]
@@ -103,31 +106,38 @@ def marginals(emit: np.ndarray, move: np.ndarray, own: np.ndarray) -> tuple[np.n
             if t:
                 inner = e[:, t] + b
                 pair = np.exp(f[t - 1][:, :, None] + move[None] + inner[:, None, :] - z[:, None, None])
-                moves += pair[ok].sum(0)
+                moves += (pair[ok] * share[ok, None, None]).sum(0)
                 nb = np.logaddexp(move[:, 0] + inner[:, :1], move[:, 1] + inner[:, 1:])
                 b = np.where(ok[:, None], nb, b)
-        total[np.flatnonzero(level == int(np.ceil(np.log2(max(steps, 1)))))] = z
+        total[chains] = z
     return out, moves, total
 
 
+def loss(x: np.ndarray, own: np.ndarray, y: np.ndarray, w: np.ndarray, move: np.ndarray, penalty: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the mean log likelihood of the line labels y, each document's divided by its number of lines so that it
+    counts as one, plus the penalty; and the exact gradient in w and move."""
+    per, n = 1 / np.diff(own), len(own) - 1
+    line = np.repeat(per, np.diff(own))
+    emit = x @ w
+    logp, moves, total = marginals(np.column_stack([np.zeros(len(x)), emit]), move, own, per)
+    inner = np.ones(len(x), bool)
+    inner[own[:-1]] = False
+    at = np.flatnonzero(inner)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[at - 1], y[at]), line[at])
+    value = (per @ total - line @ (emit * y) - (seen * move).sum()) / n + penalty / 2 * (w @ w + 10 * (move**2).sum())
+    return value, x.T @ ((np.exp(logp[:, 1]) - y) * line) / n + penalty * w, (moves - seen) / n + 10 * penalty * move
+
+
 def fit(x: np.ndarray, own: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, penalty: float = PENALTY) -> dict[str, np.ndarray]:
-    """Maximum likelihood of the line labels (each line carries its document's) by Adam on the exact gradient; lines
-    weigh so that each document counts as one."""
+    """Maximum likelihood of the line labels (each line carries its document's) by Adam on the gradient of loss."""
     mean, dev = x[:, :-1].mean(0), x[:, :-1].std(0) + 1e-6
     x = np.column_stack([(x[:, :-1] - mean) / dev, np.ones(len(x))])
     y = np.repeat(label, np.diff(own))
-    per = np.repeat(1 / np.diff(own), np.diff(own))
-    n = len(label)
-    seen = np.zeros((2, 2))
-    inner = np.ones(len(x), bool)
-    inner[own[:-1]] = False
-    np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), per[inner])
     w, move = np.zeros(x.shape[1]), np.zeros((2, 2))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(move), np.zeros_like(move)]
     for step in range(1, epochs + 1):
-        logp, moves, _ = marginals(np.column_stack([np.zeros(len(x)), x @ w]), move, own)
-        gw = x.T @ ((np.exp(logp[:, 1]) - y) * per) / n + penalty * w
-        gm = (moves / max(1, inner.sum()) * seen.sum() - seen) / n + 10 * penalty * move
+        _, gw, gm = loss(x, own, y, w, move, penalty)
         for k, (g, p) in enumerate(((gw, w), (gm, move))):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (g - m)
@@ -146,33 +156,44 @@ def remainder(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 4
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict[str, np.ndarray] | None:
-    """The field, fitted on at most `most` labelled documents that aren't held out: those whose hashed id is smallest.
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, longest: int = LONGEST) -> dict[str, np.ndarray] | None:
+    """The field, fitted on at most `most` labelled documents that aren't held out: those whose hashed id is smallest,
+    but for texts of more than `longest` code points. An id's label is its highest, its text the first in order, so that
+    repeated rows count once. The fit runs in one task over that bounded sample; the driver gets the weights.
     None if there are no labels."""
+    ship(docs.sparkSession)
     known = labels.where(remainder() != 2).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    got = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").toArrow()
-    if not len(got):
-        return None
-    got = got.sort_by("doc_id").combine_chunks()
-    parts, label = [], got["quality"].to_numpy().astype(int)
-    data, at = utf8(got["text"].combine_chunks())
-    for lo, hi in spans(at):
-        parts.append(line_features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
-    own = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
-    return fit(np.concatenate([p[0] for p in parts]), own, label)
-
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.char_length("text") <= longest).join(F.broadcast(known), "doc_id")
+    some = some.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").cast("int").alias("quality"))
 
-def quality_scores(docs: DataFrame, model: dict[str, np.ndarray] | None, keep: list[str]) -> DataFrame:
-    """The columns keep of docs and score (0 to 1) for each row, from its text (null: empty): the marginal chance that a
-    line is good, averaged over lines by length. Without a model every score is 1. Texts are not moved."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        if got.num_rows:
+            got = got.sort_by("doc_id").combine_chunks()
+            data, at = utf8(got["text"].combine_chunks())
+            parts = [line_features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]) for lo, hi in spans(at)]
+            own = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+            model = fit(np.concatenate([p[0] for p in parts]), own, got["quality"].to_numpy().astype(int))
+            yield pa.RecordBatch.from_arrays([pa.array(list(model)), pa.array([v.ravel() for v in model.values()])], ["name", "value"])
+
+    model = {r.name: np.array(r.value) for r in some.coalesce(1).mapInArrow(run, "name string, value array<double>").collect()}
+    return model | {"move": model["move"].reshape(2, 2)} if model else None
+
+
+def scored(docs: DataFrame, model: dict[str, np.ndarray] | None, keep: list[str]) -> DataFrame:
+    """row, a struct of the columns keep of docs, and score (0 to 1), from its text (null: empty): the marginal chance
+    that a line is good, averaged over lines by length. Without a model every score is 1.
+
+    An empty text is one empty line. Repeated rows get equal scores, whatever their ids, which are never read. A very
+    long text is one chain, and is held by its task alone. Other columns are ignored; an empty table gives an empty
+    result. Texts are not moved."""
     ship(docs.sparkSession)
-    fields = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text_for_score"))
-    shape = ", ".join(f"`{k}` {t}" for k, t in docs.select(*keep).dtypes)
+    fields = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = utf8(batch.column("text_for_score"))
+            data, at = utf8(batch.column("text"))
             for lo, hi in spans(at):
                 if model is None:
                     score = np.ones(hi - lo)
@@ -180,9 +201,14 @@ def quality_scores(docs: DataFrame, model: dict[str, np.ndarray] | None, keep: l
                     x, weight, own = line_features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                     good = line_probabilities(model, x, own)
                     score = np.add.reduceat(good * weight, own[:-1]) / np.add.reduceat(weight, own[:-1])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[lo:hi] for k in keep), pa.array(np.clip(score, 0, 1))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row")[lo:hi], pa.array(np.clip(score, 0, 1))], ["row", "score"])
 
-    return fields.mapInArrow(run, f"{shape}, score double")
+    return fields.mapInArrow(run, f"row {fields.schema['row'].dataType.simpleString()}, score double")
+
+
+def quality_scores(docs: DataFrame, model: dict[str, np.ndarray] | None, keep: list[str]) -> DataFrame:
+    """The columns keep of docs, none of them named score, and score."""
+    return scored(docs, model, keep).select("row.*", "score")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
