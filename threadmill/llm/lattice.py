@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,31 @@ from .common import ship, stored, table, utf8
 
 #: A token with at least this share of all training tokens goes to every task: there are at most 1 / HEAD_SHARE.
 HEAD_SHARE = 1 / 150_000
-ROUNDS = 2  # of expectation maximisation over the pieces
+ROUNDS = 3  # of expectation maximisation over the pieces
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORD_START = "▁"
 
 
-def vocabulary(path: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Pieces of a sentencepiece model (text -> id), the ids of its 256 byte pieces, and start log probabilities.
+class Vocabulary(NamedTuple):
+    """Pieces of a sentencepiece model as a trie over code points, and start weights."""
 
-    The model's scores are minus the rank of each piece; a piece's probability falls with its rank by Zipf's law. The
-    last entry is the end of a word."""
+    pieces: dict[str, int]
+    as_byte: np.ndarray  # ids of the 256 byte pieces
+    start: np.ndarray  # log probability by id; the last entry is the end of a text
+    symbol: np.ndarray  # number of each code point; 0: in no piece
+    tables: list[tuple[np.uint64, np.ndarray, np.ndarray]]  # (state, symbol) -> state, in hash tables: factor, keys, states
+    piece: np.ndarray  # the piece that ends in a state, or -1
+
+
+SLOT_BITS = 19
+
+
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a sentencepiece file; read once in each worker.
+
+    The file's scores are minus the rank of each piece, not logarithms; a piece's probability at the start falls with
+    its rank by Zipf's law. Byte pieces have no rank and come last."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -31,124 +48,155 @@ def vocabulary(path: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     pieces = {sp.id_to_piece(i): i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     as_byte = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
     score = np.array([sp.get_score(i) for i in range(n)])
-    logp = np.full(n + 1, -math.log(n + 10.0))
+    start = np.full(n + 1, -math.log(n + 10.0))
     usual = list(pieces.values())
-    logp[usual] = -np.log(-score[usual] + 10.0)
-    logp[n] = math.log(0.3) + np.logaddexp.reduce(logp[:n])
-    return pieces, as_byte, logp - np.logaddexp.reduce(logp)
+    start[usual] = -np.log(-score[usual] + 10.0)
+    return make_vocabulary(pieces, as_byte, start - np.logaddexp.reduce(start))
+
+
+def make_vocabulary(pieces: dict[str, int], as_byte: np.ndarray, start: np.ndarray) -> Vocabulary:
+    number = {c: k + 1 for k, c in enumerate(sorted({c for p in pieces for c in p}))}
+    symbol = np.zeros(0x110000, np.int64)
+    symbol[[ord(c) for c in number]] = list(number.values())
+    states, ends, key, to = {"": 0}, {}, [], []
+    for p, i in pieces.items():
+        at = 0
+        for k, c in enumerate(p):
+            new = states.setdefault(p[: k + 1], len(states))
+            if new == len(states) - 1 and p[: k + 1] not in ends:
+                ends[p[: k + 1]] = -1
+                key.append(at << 24 | number[c])
+                to.append(new)
+            at = new
+        ends[p] = i
+    piece = np.full(len(states), -1, np.int64)
+    for p, i in ends.items():
+        piece[states[p]] = i
+    key, to, tables = np.array(key, np.uint64), np.array(to, np.int64), []
+    for factor in map(np.uint64, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
+        slot = (key * factor >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        here = np.unique(slot, return_index=True)[1]  # keys whose slot is taken go to the next table
+        keys, values = np.full(1 << SLOT_BITS, 2**64 - 1, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
+        keys[slot[here]], values[slot[here]] = key[here], to[here]
+        tables.append((factor, keys, values))
+        rest = np.ones(len(key), bool)
+        rest[here] = False
+        key, to = key[rest], to[rest]
+        if not len(key):
+            break
+    assert not len(key), "states without a slot"
+    return Vocabulary(pieces, as_byte, start, symbol, tables, piece)
 
 
 class Lattice:
-    """All segmentations of words into pieces, many words of one length at a time, in log space."""
-
-    def __init__(self, pieces: dict[str, int], as_byte: np.ndarray, logp: np.ndarray):
-        self.as_byte, self.logp, self.none = as_byte, logp, len(logp)
-        self.reach = max(map(len, pieces))
-        names, number = list(pieces), np.array(list(pieces.values()), np.int32)
-        size, h = np.array(list(map(len, names))), np.zeros(len(names), np.uint64)
-        for n in np.unique(size):
-            own = np.flatnonzero(size == n)
-            h[own] = self._hash(self._codes([names[i] for i in own]))
-        # a table of slots by the hash's high bits; pieces whose slot is taken go to a second table
-        self.slots = []
-        for turn in self.TURNS:
-            slot = ((h * turn) >> np.uint64(43)).astype(np.int64)
-            here = np.unique(slot, return_index=True)[1]
-            key, value = np.zeros(1 << 21, np.uint64), np.full(1 << 21, self.none, np.int32)
-            key[slot[here]], value[slot[here]] = h[here], number[here]
-            self.slots.append((turn, key, value))
-            rest = np.ones(len(h), bool)
-            rest[here] = False
-            h, number = h[rest], number[rest]
-        assert not len(h), "pieces without a slot"
-
-    STEP = np.uint64(0x9E3779B97F4A7C15)
-    TURNS = tuple(map(np.uint64, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
-
-    @staticmethod
-    def _codes(texts: list[str]) -> np.ndarray:
-        """Code points of texts of one length."""
-        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), -1).astype(np.uint64)
-
-    @classmethod
-    def _hash(cls, codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(codes), np.uint64)
-        for k in range(codes.shape[1]):
-            h = (h + codes[:, k] + np.uint64(1)) * cls.STEP
-            h ^= h >> np.uint64(29)
-        return h
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The pieces with these hashes, or none."""
-        out = np.full(h.shape, self.none, np.int32)
-        for turn, key, value in self.slots:
-            slot = (h * turn) >> np.uint64(43)
-            hit = key[slot] == h
-            out[hit] = value[slot[hit]]
+    """All segmentations of words into pieces, many words of one length at a time. A word starts with the mark of its
+    vocabulary, so that pieces tell where words begin and no end of a word is needed."""
+
+    def __init__(self, vocabulary: Vocabulary, logp: np.ndarray | None = None):
+        self.v, self.none = vocabulary, len(vocabulary.start)
+        self.logp = vocabulary.start if logp is None else logp
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after symbol, 0 for none."""
+        key = (state << 24 | symbol).astype(np.uint64)
+        out = np.zeros(len(key), np.int64)
+        left = np.flatnonzero(symbol)
+        for factor, keys, values in self.v.tables:
+            k = key[left]
+            slot = (k * factor >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            hit = keys[slot] == k
+            out[left[hit]] = values[slot[hit]]
+            left = left[~hit]
         return out
 
-    def _arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
-        """ids[w, j, k]: the piece that ends before j and has k + 1 characters, or none; the log probability of each
-        id; and what the ids past the vocabulary stand for: characters without a piece, spelled in bytes."""
-        n = len(words[0]) + 1
-        codes = self._codes([WORD_START + w for w in words])
-        ids = np.full((len(words), n + 1, min(self.reach, n)), self.none, np.int32)
-        h = np.zeros((len(words), n), np.uint64)
-        for k in range(ids.shape[2]):
-            h = (h[:, : n - k] + codes[:, k:] + np.uint64(1)) * self.STEP
-            h ^= h >> np.uint64(29)
-            ids[:, k + 1 :, k] = self._find(h)
+    def _arcs(self, words: list[str]) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """ids[w, j, k]: the piece that ends before j and has k + 1 characters, or none; and what the ids past the
+        vocabulary stand for: characters without a piece, spelled in bytes."""
+        count, n = len(words), len(words[0]) + 1
+        codes = np.frombuffer("".join(WORD_START + w for w in words).encode("utf-32-le"), np.uint32).reshape(count, n)
+        symbol = self.v.symbol[codes].ravel()
+        place = np.arange(count * n)
+        left = n - place % n  # characters from here to the word's end
+        state, found = np.zeros(count * n, np.int64), []
+        for k in range(n):
+            state = self._step(state, symbol[place + k])
+            alive = state > 0
+            place, state, left = place[alive], state[alive], left[alive]
+            piece = self.v.piece[state]
+            here = piece >= 0
+            found.append((place[here], piece[here]))
+            more = left > k + 1
+            place, state, left = place[more], state[more], left[more]
+            if not len(place):
+                break
+        reach = max([k + 1 for k, (p, _) in enumerate(found) if len(p)], default=1)
+        ids = np.full((count, n + 1, reach), self.none, np.int32)
+        for k, (p, piece) in enumerate(found[:reach]):
+            ids[p // n, p % n + k + 1, k] = piece
         w, j = np.nonzero(ids[:, 1:, 0] == self.none)
         extra, at = np.unique(codes[w, j], return_inverse=True)
         ids[w, j + 1, 0] = self.none + 1 + at
-        spelled = {self.none + 1 + x: [int(self.as_byte[b]) for b in chr(int(c)).encode()] for x, c in enumerate(extra)}
-        ids = ids[:, :, : 1 + int(np.flatnonzero((ids != self.none).any((0, 1))).max())]  # as long as the longest piece that occurs
-        table = np.concatenate([self.logp, [-np.inf], [self.logp[v].sum() for v in spelled.values()]])
-        return ids, table, spelled
+        return ids, {self.none + 1 + x: [int(self.v.as_byte[b]) for b in chr(int(c)).encode()] for x, c in enumerate(extra)}
 
-    def _groups(self, words: list[str]) -> Iterator[np.ndarray]:
+    def _weights(self, spelled: dict[int, list[int]]) -> np.ndarray:
+        """Log probability by id; none has none."""
+        return np.concatenate([self.logp, [-np.inf], [self.logp[v].sum() for v in spelled.values()]])
+
+    @staticmethod
+    def _groups(words: list[str]) -> Iterator[np.ndarray]:
         size = np.array([len(w) for w in words])
         order = np.argsort(size, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-            step = max(1, 400_000 // ((size[part[0]] + 2) * self.reach)) if len(part) else 1
+            step = max(1, 30_000 // (size[part[0]] + 2)) if len(part) else 1
             yield from (part[i : i + step] for i in range(0, len(part), step))
 
-    def _forward(self, arc: np.ndarray) -> np.ndarray:
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        """The log probability of each word: the sum over all its segmentations, by the forward recursion in log space."""
+        out = np.empty(len(words))
+        for part in self._groups(words):
+            ids, spelled = self._arcs([words[i] for i in part])
+            out[part] = self._forward(self._weights(spelled)[ids])[:, -1]
+        return out
+
+    @staticmethod
+    def _forward(arc: np.ndarray) -> np.ndarray:
         count, n1, reach = arc.shape
         f = np.full((count, n1), -np.inf)
         f[:, 0] = 0
-        with np.errstate(invalid="ignore"):
-            for j in range(1, n1):
-                k = min(j, reach)
-                f[:, j] = np.logaddexp.reduce(f[:, j - k : j][:, ::-1] + arc[:, j, :k], 1)
+        for j in range(1, n1):
+            k = min(j, reach)
+            x = f[:, j - k : j][:, ::-1] + arc[:, j, :k]
+            top = x.max(1)
+            f[:, j] = top + np.log(np.exp(x - top[:, None]).sum(1))
         return f
 
-    def log_likelihoods(self, words: list[str]) -> np.ndarray:
-        """The log probability of each word: the sum over all its segmentations, and the end of the word."""
-        out = np.empty(len(words))
-        for part in self._groups(words):
-            ids, table, _ = self._arcs([words[i] for i in part])
-            out[part] = self._forward(table[ids])[:, -1]
-        return out + self.logp[-1]
+    def expected(self, words: list[str], weight: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces over the segmentations of words, each word counting with its weight.
 
-    def expected(self, words: list[str]) -> np.ndarray:
-        """Expected counts of the pieces over the segmentations of words, each word counting once."""
+        Forward and backward sums are of probabilities, scaled by the forward sums' maximum at every step."""
         counts = np.zeros(len(self.logp))
         for part in self._groups(words):
-            ids, table, spelled = self._arcs([words[i] for i in part])
-            arc = table[ids]
-            f = self._forward(arc)
+            ids, spelled = self._arcs([words[i] for i in part])
+            logs = self._weights(spelled)
+            count, n1, reach = ids.shape
+            f = self._forward(logs[ids])
             w, j, k = np.nonzero(ids != self.none)  # few of the places hold a piece
-            i, weight = j - k - 1, arc[w, j, k]
-            turned = np.full_like(arc, -np.inf)
-            turned[w, arc.shape[1] - 1 - i, k] = weight
-            b = self._forward(turned)[:, ::-1]
-            share = np.exp(f[w, i] + weight + b[w, j] - f[w, -1])
-            flat = np.bincount(ids[w, j, k], share, len(table))
+            i, own = j - k - 1, ids[w, j, k]
+            # what an arc adds to the forward sum where it ends: backward, these shares pass a word's weight on
+            share = np.exp(f[w, i] + logs[own] - f[w, j])
+            back = np.zeros((count, n1))
+            back[:, -1] = weight[part]
+            order = np.argsort(-j, kind="stable")
+            w, i, j, own, share = w[order], i[order], j[order], own[order], share[order]
+            edge = np.flatnonzero(np.diff(j)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(j)]):
+                mass = back[w[lo:hi], j[lo]] * share[lo:hi]
+                share[lo:hi] = mass
+                np.add.at(back, (w[lo:hi], i[lo:hi]), mass)
+            flat = np.bincount(own, share, len(logs))
             counts += flat[: len(counts)]
             for x, spelling in spelled.items():
                 np.add.at(counts, spelling, flat[x])
-        counts[-1] += len(words)
         return counts
 
 
@@ -185,108 +233,114 @@ def token_counts(rows: DataFrame, most: int = 400_000) -> DataFrame:
     return rows.select("train", "text").mapInArrow(count, "token binary, c long, n long").groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fitted(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces after rounds of expectation maximisation over words (token), each counting once.
-    The driver sees one number for each piece."""
-    pieces, as_byte, logp = vocabulary(path)
+def fitted(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces, and of the end of a text, after rounds of expectation maximisation over words
+    (token, c: how often), from the vocabulary's own weights. The driver sees one number for each piece."""
+    logp = vocabulary(path).start
     for _ in range(rounds):
         sent = words.sparkSession.sparkContext.broadcast(logp)
 
         def expect(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(*vocabulary(path)[:2], sent.value)  # noqa: B023
+            lattice = Lattice(vocabulary(path), sent.value)  # noqa: B023
             total = np.zeros(len(lattice.logp))
             for b in _batches(it):
-                total += lattice.expected([x.decode("utf-8", "replace") for x in b.column("token").to_pylist()])
+                total += lattice.expected([x.decode("utf-8", "replace") for x in b.column("token").to_pylist()], b.column("c").to_numpy().astype(float))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["piece", "x"])
 
-        got = words.select("token").mapInArrow(expect, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
+        got = words.select("token", "c").mapInArrow(expect, "piece int, x double").groupBy("piece").agg(F.sum("x").alias("x")).toArrow()
         x = np.full(len(logp), 0.01)
         x[got["piece"].to_numpy()] += got["x"].to_numpy()
+        x[-1] += ends
         logp = np.log(x / x.sum())
     return logp
 
 
 def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score.
 
     Tokens are words (A-Z lowered) and one end per text. base_score is the smoothed unigram score of the training
-    texts, those whose hashed id leaves no 0 by 10. score is the log10 probability of the text: a token is, with the
-    chance 1 - hapaxes / N, drawn from the training tokens, and else spelled in pieces, of which the lattice sums all
-    segmentations; the end is the empty word. Null texts are empty (one end); a null id is a training text; repeated
-    rows are scored and counted each; other columns are ignored; an empty table gives an empty result. Without training
-    texts every token is spelled.
+    texts, those whose hashed id leaves no 0 by 10. score is the log10 probability of the text under the subword
+    lattice: a text is a sequence of pieces and an end, drawn one by one, and all segmentations of its words are
+    summed. In mixed_score a word is, with the chance 1 - hapaxes / N, drawn whole from the training tokens, and else
+    spelled on the lattice. Null texts are empty (one end); a null id is a training text; repeated rows are scored and
+    counted each; other columns are ignored; an empty table gives an empty result. Very long texts and words are taken
+    whole. Without training texts the vocabulary's own weights are used.
 
     Counts of distinct tokens and their lattice scores are made once per distinct token, over the whole corpus. Texts
-    are read twice and never moved: tokens that are frequent in the whole corpus are scored in place, and a row for
-    each other distinct token of a text meets its counts by a join."""
+    are read twice and never moved: tokens that are frequent in the whole corpus, held-out texts included, are scored
+    in place, and a row for each other distinct token of a text meets its counts by a join. Rows are told apart by
+    their place in docs, so docs must be read in the same order when a task runs again."""
     spark = docs.sparkSession
     ship(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), (~held).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = stored(token_counts(rows), "counts")
     ends = rows.where("train").count()
-    sums = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
-    total, distinct, once = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0), sums.once or 0
+    sums = counts.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
+    total, distinct, once = (sums.c or 0) + ends, (sums.v or 0) + (ends > 0), sums.once or 0
     known = 1 - max(once, 1) / total if total > 1 else 0.0
-    logp = fitted(counts.where("c > 0"), path, rounds)
+    logp = fitted(counts.where("c > 0"), ends, path, rounds)
     sent = spark.sparkContext.broadcast(logp)
 
     def spell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*vocabulary(path)[:2], sent.value)
+        lattice = Lattice(vocabulary(path), sent.value)
         for b in _batches(it):
             c = b.column("c").to_numpy()
-            spelled = lattice.log_likelihoods([x.decode("utf-8", "replace") for x in b.column("token").to_pylist()]) + math.log(1 - known)
+            spelled = lattice.log_likelihoods([x.decode("utf-8", "replace") for x in b.column("token").to_pylist()])
             with np.errstate(divide="ignore"):
-                whole = np.log(known * c / max(total, 1))
-            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), pa.array(np.logaddexp(spelled, whole) / math.log(10))], ["token", "c", "lp"])
+                mixed = np.logaddexp(spelled + math.log(1 - known), np.log(known * c / max(total, 1)))
+            yield pa.RecordBatch.from_arrays([b.column("token"), b.column("c"), b.column("n"), pa.array(spelled / math.log(10)), pa.array(mixed / math.log(10))], ["token", "c", "n", "lp", "mp"])
 
-    words = stored(counts.select("token", "c").mapInArrow(spell, "token binary, c long, lp double"), "words")
-    least = max(1.0, HEAD_SHARE * total)
-    head = words.where(F.col("c") >= least).toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(head["token"].to_pylist(), zip(head["c"].to_pylist(), head["lp"].to_pylist()))))
+    words = stored(counts.mapInArrow(spell, "token binary, c long, n long, lp double, mp double"), "words")
+    least = max(1.0, HEAD_SHARE * (sums.n or 0))
+    head = words.where(F.col("n") >= least).toArrow()
+    frequent = spark.sparkContext.broadcast(dict(zip(head["token"].to_pylist(), zip(head["c"].to_pylist(), head["lp"].to_pylist(), head["mp"].to_pylist()))))
     floor = math.log10(total + 0.1 * (distinct + 1))
     end_base = math.log10(ends + 0.1) - floor
-    end_score = math.log10((1 - known) * math.exp(logp[-1]) + (known * ends / total if total else 0))
+    end_score = logp[-1] / math.log(10)
+    end_mixed = math.log10((1 - known) * math.exp(logp[-1]) + (known * ends / total if total else 0))
 
     def sift(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("token", pa.binary()), ("n", pa.int64())])
+        kind = pa.struct([("token", pa.binary()), ("m", pa.int64())])
         for b in _batches(it, 500):
             data, at = utf8(b.column("text"))
             raw = data.tobytes().translate(LOWER)
             get = frequent.value.get
-            n, seen, base, score, rest = [], [], [], [], []
+            n, seen, rest, sums = [], [], [], []
             for lo, hi in zip(at[:-1], at[1:]):
                 bag = Counter(raw[lo:hi].split())
-                k, x, y, tail = int(ends > 0), end_base, end_score, []
+                k, x, y, z, tail = int(ends > 0), end_base, end_score, end_mixed, []
                 for t, m in bag.items():
                     if h := get(t):
-                        k += m
+                        k += m if h[0] else 0
                         x += m * (math.log10(h[0] + 0.1) - floor)
                         y += m * h[1]
+                        z += m * h[2]
                     else:
-                        tail.append({"token": t, "n": m})
-                n.append(bag.total() + 1), seen.append(k), base.append(x), score.append(y), rest.append(tail)
-            cols = [b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, pa.list_(kind))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"])
+                        tail.append({"token": t, "m": m})
+                n.append(bag.total() + 1), seen.append(k), sums.append((x, y, z)), rest.append(tail)
+            cols = [b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), *(pa.array([x[k] for x in sums], pa.float64()) for k in range(3)), pa.array(rest, pa.list_(kind))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "mixed", "tail"])
 
     id_kind = dict(rows.dtypes)["doc_id"]
-    shape = f"row long, doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<token: binary, n: long>>"
+    shape = f"row long, doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base double, score double, mixed double, tail array<struct<token: binary, m: long>>"
     sifted = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(sift, shape)
-    parts = sifted.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", F.posexplode_outer("tail").alias("k", "t"))
+    parts = sifted.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "mixed", F.posexplode_outer("tail").alias("k", "t"))
     first = F.coalesce(F.col("k") == 0, F.lit(True))
-    own = [F.when(first, F.col(c)).otherwise(0).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
+    own = [F.when(first, F.col(c)).otherwise(0).alias(c) for c in ("n_tokens", "n_known", "base", "score", "mixed")]
     # a text without such tokens gets a token of its own that meets nothing
     token = F.coalesce(F.col("t.token"), F.concat(F.lit(" "), F.col("row").cast("string")).cast("binary")).alias("token")
-    parts = parts.select("row", "doc_id", "held_out", *own, token, F.coalesce("t.n", F.lit(0)).alias("n"))
-    met = parts.join(words.where(F.col("c") < least), "token", "left")
+    parts = parts.select("row", "doc_id", "held_out", *own, token, F.coalesce("t.m", F.lit(0)).alias("m"))
+    met = parts.join(words.where(F.col("n") < least).drop("n"), "token", "left")
     sums = met.groupBy("row", "doc_id", "held_out").agg(
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("c").isNotNull(), F.col("n") * (F.log10(F.col("c") + 0.1) - floor)).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.coalesce(F.col("n") * F.col("lp"), F.lit(0.0))).alias("score"),
+        F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + F.when(F.col("c").isNotNull(), F.col("m") * (F.log10(F.col("c") + 0.1) - floor)).otherwise(0.0)).alias("base_score"),
+        F.sum(F.col("score") + F.coalesce(F.col("m") * F.col("lp"), F.lit(0.0))).alias("score"),
+        F.sum(F.col("mixed") + F.coalesce(F.col("m") * F.col("mp"), F.lit(0.0))).alias("mixed_score"),
     )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "mixed_score")
 
 
 def model_path() -> str:
