@@ -18,7 +18,8 @@ TREES, DEPTH, RECALL = 20, 6, 0.9999
 #: Bits of a label: the tree's number, then the hash of every level. Shorter hashes only add candidates.
 TREE_BITS, LEVEL_BITS = 5, (14, 12, 11, 9, 6, 6)
 #: Texts and bytes of shingles that meet in one task at most, twice; larger components are compared block by block.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Components of over WHOLE texts are cut into up to SQUARES blocks already, so that their squares spread over tasks.
+BLOCK, BLOCK_BYTES, WHOLE, SQUARES = 512, 16 << 20, 192, 16
 #: Texts of up to so many shingles get their own prefix length; the others can have partners at the threshold itself.
 FEW = 40
 
@@ -280,7 +281,8 @@ def jaccard_classes(
     known = found.withColumnRenamed("node", "num").join(texts.select("num", "text_id", "tk", "size"), "num")
     known = stored(known, "candidates")
     blocks = known.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
-    blocks = stored(blocks.select("root", F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb")), "blocks")
+    spread = F.when(F.col("n") > WHOLE, F.least(F.lit(float(SQUARES)), F.col("n") * 3 / WHOLE)).otherwise(1.0)
+    blocks = stored(blocks.select("root", F.ceil(F.greatest(spread, F.col("n") / block, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb")), "blocks")
     member = known.join(small(blocks), "root").select("num", "text_id", "tk", F.col("root").alias("comp"), "nb", F.pmod(F.xxhash64("num"), F.col("nb")).cast("int").alias("block"))
     member = stored(member, "member")
 
