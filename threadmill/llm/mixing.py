@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import BROADCAST_ROWS, small, stored, table
+from .common import BROADCAST_ROWS, ship, small, stored, table
 
 DIMS = ("source", "lang", "topic")
 #: Exponent that tempers the shares of tokens into target shares; share of all tokens to keep.
@@ -18,11 +21,14 @@ STILL, MOST_ROUNDS, MOST_MULTIPLE = 1e-9, 500, 1e200
 #: Topics of a language are its most widespread words of four and more letters, of those in 1 to 10 % of its documents.
 TOPICS, LEAST_SPREAD, MOST_SPREAD, NO_TOPIC = 8, 0.01, 0.1, "none"
 UPPER, LOWER, WORD = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "[a-zà-öø-ÿ]{4,}"
+#: Distinct words that a task adds up before it passes them on.
+MOST_WORDS = 400_000
 CELL = ", ".join(f"{d} string" for d in DIMS) + ", w long, p double, " + ", ".join(f"{d}_target double" for d in DIMS)
 
 
-def content_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def content_words(texts: Iterable[str]) -> Iterator[list[str]]:
+    find, lower = re.compile(WORD).findall, bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    return (find(t.encode().translate(lower).decode()) for t in texts)
 
 
 #: Adds a column topic to rows that have text, source and lang (no nulls).
@@ -33,10 +39,29 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 def themes(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
     """(lang, themes): for each language the words that make its topics, by place, with their weights: the logarithm of
     the language's documents by those that have the word. Counted over all documents."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.array_distinct(content_words(F.col("text"))).alias("words"))
-    counts = rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    of = rows.groupBy("lang").agg(F.count("*").alias("of"))
-    some = counts.join(small(stored(of, "of")), "lang").where(F.col("n").between(LEAST_SPREAD * F.col("of"), MOST_SPREAD * F.col("of")))
+    ship(docs.sparkSession)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = list(seen)
+            found = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
+            seen.clear()
+            return found
+
+        for b in it:
+            for lang, words in zip(b.column("lang").to_pylist(), content_words(b.column("text").to_pylist())):
+                seen.update((lang, w) for w in set(words))
+                seen[lang, ""] += 1  # the documents themselves
+                if len(seen) > MOST_WORDS:
+                    yield out()
+        yield out()
+
+    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "text")))
+    counts = stored(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    of = counts.where("word = ''").select("lang", F.col("n").alias("of"))
+    some = counts.where("word <> ''").join(small(of), "lang").where(F.col("n").between(LEAST_SPREAD * F.col("of"), MOST_SPREAD * F.col("of")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     some = some.withColumn("place", place).where(F.col("place") <= topics)
     theme = F.struct("place", "word", F.log(F.col("of") / F.col("n")).alias("weight"))
@@ -46,17 +71,24 @@ def themes(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
 def by_theme(docs: DataFrame, topics: int = TOPICS) -> Topic:
     """The topic of a text is the place, t1, t2 ..., of the theme of its language that it has most often by weight, the
     first of equal ones; none if it has none. Places, not words, so that a topic is not a language by another name."""
-    found = stored(themes(docs, topics), "themes")
-
-    def add(rows: DataFrame) -> DataFrame:
-        rows = rows.join(small(found), "lang", "left")
-        own = F.filter(content_words(F.col("text")), lambda w: F.array_contains(F.col("themes.word"), w))
-        count = lambda a, x: F.size(F.filter(a, lambda w: w == x))
-        score = lambda a, x: F.struct((count(a, x["word"]) * x["weight"]).alias("score"), (-x["place"]).alias("place"))
-        best = F.transform(F.array(own), lambda a: F.array_max(F.transform("themes", lambda x: score(a, x))))[0]
-        return rows.withColumn("topic", F.when(best["score"] > 0, F.concat(F.lit("t"), (-best["place"]).cast("string"))).otherwise(NO_TOPIC)).drop("themes")
-
-    return add
+    found = themes(docs, topics).select("lang", F.array_join(F.transform("themes", lambda x: F.concat_ws(" ", x["word"], x["weight"])), " ").alias("themes"))
+    found = stored(found, "themes")
+
+    @F.pandas_udf("string")
+    def topic(texts: pd.Series, listed: pd.Series) -> pd.Series:
+        parsed: dict[str, dict[str, tuple[float, int]]] = {"": {}}
+        out = []
+        for words, t in zip(content_words(texts), listed.fillna("")):
+            if t not in parsed:
+                x = t.split()
+                parsed[t] = {w: (float(weight), -k) for k, (w, weight) in enumerate(zip(x[::2], x[1::2]))}
+            own = parsed[t]
+            hits = Counter(w for w in words if w in own)
+            best = max(((n * own[w][0], own[w][1]) for w, n in hits.items()), default=None)
+            out.append(NO_TOPIC if best is None else f"t{1 - best[1]}")
+        return pd.Series(out, dtype=object)
+
+    return lambda rows: rows.join(small(found), "lang", "left").withColumn("topic", topic("text", "themes")).drop("themes")
 
 
 def by_form(rows: DataFrame) -> DataFrame:
@@ -173,10 +205,11 @@ def kept_rows(docs: DataFrame, columns: list[str], targets: dict[str, dict[str,
     """Described rows of docs with p (the probability of their cell), kept, and as a struct `row` the given columns.
 
     A row is kept if a hash of its id, uniform in [0, 1), is below p: repeated ids of one cell fare alike, and a null id
-    counts as an empty one. Texts are not moved."""
-    topic_of = topic_of or by_theme(docs)
-    found = cell_table(described(docs, topic_of, id_col), targets, keep, temper, few)
-    rows = described(docs, topic_of, id_col, columns).join(small(stored(found.select(*DIMS, "p"), "found")), list(DIMS), "left")
+    counts as an empty one. Texts are read once for their topics, with the columns given written beside what is found,
+    and not moved."""
+    rows = stored(described(docs, topic_of or by_theme(docs), id_col, columns), "described")
+    found = cell_table(rows, targets, keep, temper, few)
+    rows = rows.join(small(stored(found.select(*DIMS, "p"), "found")), list(DIMS), "left")
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     return rows.withColumn("p", F.coalesce("p", F.lit(0.0))).withColumn("kept", u < F.col("p"))
 
