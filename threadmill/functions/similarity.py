@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
+
+from ..operators.store import ship
 
 
 def indel(a: str, b: str) -> float:
@@ -58,5 +60,6 @@ def _udf(f, kind):
 
 
 def udfs() -> dict[str, object]:
-    """ratio, partial_ratio, token_set_ratio and node_match as column functions."""
+    """For the active session: ratio, partial_ratio, token_set_ratio and node_match as column functions."""
+    ship(SparkSession.active())
     return {"ratio": _udf(indel, "double"), "partial_ratio": _udf(best_window, "double"), "token_set_ratio": _udf(token_sets, "double"), "node_match": _udf(same_node, "boolean")}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import similarity, text
 from .graph import FACT
+from .store import settled
 
 
 def path_scores(expected: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -18,6 +20,56 @@ def path_scores(expected: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(r + p > 0, 2 * r * p / (r + p)).otherwise(0.0))
 
 
+def matched(expected: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Expected facts (keys, src, relation, dst) with hit: some found fact of the same keys and relation matches both
+    ends, equal or alike as node_match has it. Equal facts meet by a join; only the others are compared."""
+    there = [*keys, *FACT]
+    equal = expected.select(*there).distinct().join(found.select(*there).distinct(), there, "left_semi")
+    rest = expected.select(*there).distinct().join(equal, there, "left_anti")
+    other = found.select(*keys, "relation", F.col("src").alias("found_src"), F.col("dst").alias("found_dst")).distinct()
+    digits = lambda a, b: text.digit_key(F.col(a)) == text.digit_key(F.col(b))
+    pairs = rest.join(other, [*keys, "relation"]).where(((F.col("src") == F.col("found_src")) | digits("src", "found_src")) & ((F.col("dst") == F.col("found_dst")) | digits("dst", "found_dst")))
+    same = similarity.udfs()["node_match"]
+    alike = pairs.where(same("src", "found_src") & same("dst", "found_dst")).select(*there).distinct()
+    return expected.join(equal.unionByName(alike).withColumn("hit", F.lit(True)), there, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def fuzzy_path_scores(questions: DataFrame, expected: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(qid, recall, precision, f1, n_missing) of questions (qid). Recall is the share of expected facts matched,
+    precision the matched ones over all evidence rows; all null where nothing is expected."""
+    n = matched(expected, evidence).groupBy("qid").agg(F.count("*").alias("n"), F.count_if("hit").alias("found"))
+    rows = evidence.groupBy("qid").agg(F.count("*").alias("rows"))
+    out = questions.select("qid").join(n, "qid", "left").join(rows, "qid", "left")
+    recall = F.col("found") / F.col("n")
+    precision = F.when(F.col("n").isNotNull(), F.when(F.col("rows") > 0, F.col("found") / F.col("rows")).otherwise(0.0))
+    out = out.select("qid", recall.alias("recall"), precision.alias("precision"), (F.col("n") - F.col("found")).alias("n_missing"))
+    r, p = F.col("recall"), F.col("precision")
+    return out.withColumn("f1", F.when(r + p > 0, 2 * r * p / (r + p)).when(r.isNotNull(), 0.0))
+
+
+def missing_facts(expected: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The expected facts that no evidence matches."""
+    return matched(expected, evidence).where("not hit").drop("hit")
+
+
+def layers(questions: DataFrame, expected: DataFrame, evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, layer) of questions that something is expected of: index if an expected fact matches none of the
+    graph's, traversal if one matches no evidence, else generation."""
+    qid_of = expected.select("qid", *FACT)
+    indexed = matched(qid_of.select(*FACT).distinct(), edges, keys=()).where("hit").drop("hit")
+    known = qid_of.join(indexed.withColumn("known", F.lit(True)), list(FACT), "left").groupBy("qid").agg(F.every(F.coalesce("known", F.lit(False))).alias("all_indexed"))
+    return failure_layers(fuzzy_path_scores(questions, expected, evidence).where("recall is not null"), known)
+
+
+def failures_by_layer(layered: DataFrame, order: tuple[str, ...] = ("index", "traversal", "generation"), most: int = 1000) -> DataFrame:
+    """(place, layer, n, ids): ids of failed questions by layer, layers in a fixed order with empty ones too; the
+    first `most` ids, and n of all."""
+    names = layered.sparkSession.createDataFrame(list(enumerate(order)), "place int, layer string")
+    rn = F.row_number().over(Window.partitionBy("layer").orderBy("qid"))
+    first = layered.withColumn("rn", rn).groupBy("layer").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.col("qid")))).alias("ids"))
+    return names.join(first, "layer", "left").select("place", "layer", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.array()).alias("ids"))
+
+
 def failure_layers(scores: DataFrame, indexed: DataFrame) -> DataFrame:
     """(qid, layer): index if an expected fact isn't in the graph, else traversal if recall is short, else generation."""
     return scores.join(indexed, "qid", "left").select("qid", F.when(~F.coalesce("all_indexed", F.lit(False)), "index").when(F.col("recall") < 1, "traversal").otherwise("generation").alias("layer"))
@@ -29,7 +81,20 @@ def scoreboard(rows: DataFrame, group: str, ok: str, means: list[str]) -> DataFr
 
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """The value at place n // 2 from 0, found by counting values, not by sorting rows into one task."""
+    """The value at place n // 2 from 0. Values are counted, counts added up by range, and only the range that holds the
+    place is looked into: no task sees all values."""
     counts = rows.groupBy(value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy(value))
-    return counts.withColumn("upto", upto).withColumn("total", F.sum("c").over(Window.partitionBy(F.lit(1)))).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min(value).alias("median"))
+    parts = settled(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranges = parts.groupBy("part").agg(F.sum("c").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    total = ranges.agg(F.floor(F.sum("n") / 2).alias("place"))
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy(value))
+    at = parts.withColumn("upto", upto).join(F.broadcast(ranges), "part").join(F.broadcast(total))
+    return at.where(F.col("before") + F.col("upto") > F.col("place")).agg(F.min(value).alias("median"))
+
+
+def probe_counts(rows: DataFrame, routes: tuple[str, ...] = ("local", "path", "global")) -> DataFrame:
+    """(route, n, n_no_seeds, n_refused) of probe rows (route, seeds, refused), a row for each route."""
+    names = rows.sparkSession.createDataFrame([(r,) for r in routes], "route string")
+    counts = rows.groupBy("route").agg(F.count("*").alias("n"), F.count_if(F.size("seeds") == 0).alias("n_no_seeds"), F.count_if("refused").alias("n_refused"))
+    return names.join(counts, "route", "left").select("route", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "n_no_seeds", "n_refused")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .store import settled
+
 
 def aggregate_facts(triples: DataFrame) -> DataFrame:
     """(h, r, t, origin, sources, n_sources) of triples (ord, h, r, t, origin, src): distinct sources in order of first
@@ -21,16 +23,23 @@ def clean_triples(triples: DataFrame, stopwords: list[str]) -> DataFrame:
 
 
 def normalised(name: Column) -> Column:
-    """Middle dots unified, white space collapsed, quotes stripped."""
+    """Middle dots unified, white space collapsed, corner brackets and quotes stripped at the ends."""
     dots = F.translate(name, "ㆍ・", "··")
-    return F.trim(F.regexp_replace(F.regexp_replace(dots, r"[\"'“”‘’]", ""), r"(?U)\s+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(dots, r"(?U)\s+", " ")), r"^[「」\"']+|[「」\"']+$", "")
 
 
-def grounded(triples: DataFrame, docs: DataFrame) -> DataFrame:
-    """triples (h, r, t, origin, src) with -inferred after the origin where an end doesn't occur in its document (src,
-    body). Nothing is dropped."""
-    has = lambda c: F.contains(F.lower("body"), F.lower(c))
-    return triples.join(docs, "src", "left").withColumn("origin", F.when(has(F.col("h")) & has(F.col("t")), F.col("origin")).otherwise(F.concat("origin", F.lit("-inferred")))).drop("body")
+def grounded(triples: DataFrame, docs: DataFrame, names: DataFrame, code: str = r"[A-H]-[0-9]{1,2}(?:-[0-9])?") -> DataFrame:
+    """triples (h, r, t, origin, src) with -inferred after the origin where an end that is a code stands neither itself nor
+    by its name (names: code, label) in its document (src, body) or that one's title. Other ends aren't tested, and
+    nothing is dropped."""
+    label = names.where("label <> ''").groupBy("code").agg(F.min("label").alias("label"))
+    out = triples.join(docs, "src", "left").withColumn("body", F.concat(F.coalesce("body", F.lit("")), F.lit(" "), F.col("src")))
+    missing = F.lit(False)
+    for end in ("h", "t"):
+        out = out.join(label.select(F.col("code").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+        said = F.contains("body", F.col(end)) | F.coalesce(F.contains("body", F.col(f"{end}_label")), F.lit(False))
+        missing = missing | (F.col(end).rlike(f"^(?:{code})$") & ~said)
+    return out.withColumn("origin", F.when(missing, F.concat("origin", F.lit("-inferred"))).otherwise(F.col("origin"))).drop("body", "h_label", "t_label")
 
 
 def expand_ranges(ranges: DataFrame, order: DataFrame) -> DataFrame:
@@ -59,11 +68,13 @@ def leaders(names: DataFrame, matches: DataFrame) -> DataFrame:
 
     In rank order a name joins the first earlier leader it matches, or leads. That is the lexicographically first
     maximal independent set: round by round, a name all of whose earlier matches are decided is decided."""
-    state = names.select("rank", F.lit(None).cast("boolean").alias("leads")).checkpoint()
+    state = names.select("rank", F.lit(None).cast("boolean").alias("leads"))
+    state = settled(state)
     while not state.where("leads is null").isEmpty():
         early = matches.join(state.select(F.col("rank").alias("early"), F.col("leads").alias("led")), "early")
         seen = early.groupBy(F.col("late").alias("rank")).agg(F.max("led").alias("beaten"), F.max(F.col("led").isNull()).alias("open"))
-        state = state.join(seen, "rank", "left").select("rank", F.coalesce("leads", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)).alias("leads")).checkpoint()
+        state = state.join(seen, "rank", "left").select("rank", F.coalesce("leads", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)).alias("leads"))
+        state = settled(state)
     led = matches.join(state.where("leads").select(F.col("rank").alias("early")), "early").groupBy(F.col("late").alias("rank")).agg(F.min("early").alias("first"))
     return state.join(led, "rank", "left").select("rank", F.when(F.col("leads"), F.col("rank")).otherwise(F.col("first")).alias("leader"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .store import settled, small
+
 FACT = ["src", "relation", "dst"]
 
 
@@ -18,9 +21,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def hubs(edges: DataFrame, blocked: Column, least: int = 12) -> DataFrame:
-    """Nodes that a walk may reach but not pass: blocked ones and those of a high degree (seeds pass anyway)."""
-    return degrees(edges).where(blocked | (F.col("degree") >= least)).select("node")
+def hubs(edges: DataFrame, blocked: Column, least: int = 12, passable: Column | None = None) -> DataFrame:
+    """Nodes that a walk may reach but not pass: blocked ones and those of a high degree that aren't passable, as codes
+    are. Seeds need no exemption: a walk expands them before it meets them."""
+    busy = F.col("degree") >= least
+    return degrees(edges).where(blocked | (busy if passable is None else busy & ~passable)).select("node")
 
 
 def walk(edges: DataFrame, seeds: DataFrame, closed: DataFrame, hops: int) -> DataFrame:
@@ -41,14 +46,68 @@ def walk(edges: DataFrame, seeds: DataFrame, closed: DataFrame, hops: int) -> Da
     return found.groupBy("qid", *FACT).agg(F.min("hop").alias("hop"))
 
 
+def question_words(question: Column) -> Column:
+    """The words of a question, parted at white space and marks, of two characters or more."""
+    return F.filter(F.split(question, r"(?U)[\s,.?!·]+"), lambda w: F.char_length(w) >= 2)
+
+
+def in_question(words: Column, *names: Column) -> Column:
+    """Whether one of the words is part of a name (null or empty names have none)."""
+    return F.exists(words, lambda w: F.greatest(*(F.coalesce(F.contains(n, w), F.lit(False)) for n in names), F.lit(False)))
+
+
+def accepted(walked: DataFrame, seeds: DataFrame, closed: DataFrame, hops: int, per_node: int = 5) -> DataFrame:
+    """(qid, src, relation, dst, hop, score, ord): W2, the facts that a walk accepts, at most per_node new ones at every
+    node it expands, best first.
+
+    walked: (qid, src, relation, dst, base) all facts at nodes that the walk of a question expands, with their relevance
+    but for 3 / hop. seeds: (qid, node, place). closed: nodes that are reached, not passed. Nodes are expanded in the
+    order in which they are found, a node's facts in the order of score, outgoing ones first and by name on ties; a
+    fact left over at one end may be accepted at its other. That order is one over a question, so each question is a
+    task's group: its facts are those of one bounded walk."""
+    ends = walked.join(small(settled(closed.select(F.col("node").alias("src"), F.lit(True).alias("src_closed")).distinct())), "src", "left")
+    ends = ends.join(small(settled(closed.select(F.col("node").alias("dst"), F.lit(True).alias("dst_closed")).distinct())), "dst", "left")
+    listed = seeds.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]).alias("seeds"))
+    ends = ends.join(listed, "qid").select("qid", *FACT, "base", F.coalesce("src_closed", F.lit(False)).alias("src_closed"), F.coalesce("dst_closed", F.lit(False)).alias("dst_closed"), "seeds")
+    kind = dict(walked.dtypes)["qid"]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list] = {}
+        for row in pdf.itertuples(index=False):
+            near.setdefault(row.src, []).append((-row.base, 0, row.src, row.relation, row.dst))
+            if row.src != row.dst:
+                near.setdefault(row.dst, []).append((-row.base, 1, row.src, row.relation, row.dst))
+        shut = set(pdf["src"][pdf["src_closed"]]) | set(pdf["dst"][pdf["dst_closed"]])
+        start = list(pdf["seeds"].iloc[0])
+        queue, visited, seen, out = [(s, 0) for s in start], set(start), set(), []
+        for node, hop in queue:  # grows while it is read
+            if hop >= hops:
+                continue
+            here = 0
+            for minus, _, src, relation, dst in sorted(near.get(node, [])):
+                other = dst if src == node else src
+                if other not in visited and other not in shut:
+                    visited.add(other)
+                    queue.append((other, hop + 1))
+                if here < per_node and (src, relation, dst) not in seen:
+                    seen.add((src, relation, dst))
+                    here += 1
+                    out.append((src, relation, dst, hop + 1, 3.0 / (hop + 1) - minus, len(out)))
+        found = pd.DataFrame(out, columns=[*FACT, "hop", "score", "ord"])
+        found.insert(0, "qid", [pdf["qid"].iloc[0]] * len(found))
+        return found
+
+    return ends.groupBy("qid").applyInPandas(one, f"qid {kind}, src string, relation string, dst string, hop int, score double, ord int")
+
+
 def relevance(hop: Column, relation: Column, at_seed: Column, in_question: Column, spine: list[str]) -> Column:
     return 3.0 / hop + F.when(relation.isin(spine), 2.0).otherwise(0.0) + F.when(at_seed, 1.0).otherwise(0.0) + F.when(in_question, 1.5).otherwise(0.0)
 
 
-def within_budget(scored: DataFrame, budget: dict[str, int], default: int, cap: Column | int) -> DataFrame:
+def within_budget(scored: DataFrame, budget: dict[str, int], default: int, cap: Column | int, ties: list[str] = FACT) -> DataFrame:
     """The best facts of each question: so many per relation, then so many in all. Skipping a fact over its relation's
     budget changes nothing for others, so two ranks are the greedy choice exactly."""
-    order = [F.desc("score"), *FACT]
+    order = [F.desc("score"), *ties]
     most = F.lit(default)
     for r, n in budget.items():
         most = F.when(F.col("relation") == r, n).otherwise(most)
@@ -76,13 +135,13 @@ def node_types(edges: DataFrame, rules: list[tuple[str, str, str]], default: str
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that edges lead to, by label passing with shortcuts to a fixpoint. Every
     round is checkpointed to the shared folder."""
-    both = endpoints(edges).select("node", "other").distinct().checkpoint()
-    labels = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")).checkpoint()
+    both = settled(endpoints(edges).select("node", "other").distinct())
+    labels = settled(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
     for _ in range(most_rounds):
         said = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))
         new = labels.join(said, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("was"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        new = new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("beyond", "component")).alias("component"), "was").checkpoint()
+        new = settled(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("beyond", "component")).alias("component"), "was"))
         if new.where("component <> was").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

@@ -58,11 +58,11 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     have, the smaller on ties, for so many rounds or until nothing changes. Labels are counted before nodes choose, so
     that a hub's neighbours are added up in every task. Every round is checkpointed."""
     both = endpoints(edges).select("node", "other").distinct()
-    both = both.unionByName(both.select("node", F.col("node").alias("other")).distinct()).checkpoint()
-    labels = both.select("node").distinct().withColumn("community", F.col("node")).checkpoint()
+    both = settled(both.unionByName(both.select("node", F.col("node").alias("other")).distinct()))
+    labels = settled(both.select("node").distinct().withColumn("community", F.col("node")))
     for _ in range(rounds):
         said = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
-        new = said.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")).checkpoint()
+        new = settled(said.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")))
         changed = new.join(labels.withColumnRenamed("community", "was"), "node").where("community <> was")
         still = changed.isEmpty()
         labels = new
@@ -76,12 +76,12 @@ def settled_communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     earlier round: then they go round for ever, and of those in turn the last are given. settled is false for a node that
     would still change. Raises an error if neither has happened after most_rounds."""
     both = endpoints(edges).select("node", "other").distinct()
-    both = both.unionByName(both.select("node", F.col("node").alias("other")).distinct()).checkpoint()
-    labels, seen = both.select("node").distinct().withColumn("community", F.col("node")).checkpoint(), set()
+    both = settled(both.unionByName(both.select("node", F.col("node").alias("other")).distinct()))
+    labels, seen = settled(both.select("node").distinct().withColumn("community", F.col("node"))), set()
     for _ in range(most_rounds):
         said = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
         new = said.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
-        new = new.join(labels.withColumnRenamed("community", "was"), "node").checkpoint()
+        new = settled(new.join(labels.withColumnRenamed("community", "was"), "node"))
         changed, *mark = new.agg(F.count_if(F.col("community") != F.col("was")), F.bit_xor(F.xxhash64("node", "community")), F.sum(F.xxhash64("community", "node").cast("decimal(38)"))).first()
         if not changed or tuple(mark) in seen:
             return new.select("node", F.col("was").alias("community"), (F.col("community") == F.col("was")).alias("settled"))

@@ -26,10 +26,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import answering  # noqa: F401  its queries register themselves
+
     return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import answering  # noqa: F401
+
     return {k: sql for k, (_, sql) in FOUND.items() if sql}
 
 
@@ -54,12 +58,6 @@ MORE = EDGES[:-1] + "\nUNION ALL SELECT DISTINCT 'P-' || l_partkey, 'SUPPLIED_BY
 DEGREE = "degree AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)"
 
 
-def own_checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints where the session names none, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
-
-
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("C-"), F.col("c_custkey")).alias("node"))
 
@@ -127,7 +125,7 @@ def scored(spark, sf_dir, hops: int = 2) -> DataFrame:
 
 @query(f"{walk_sql(2)}, {EVIDENCE} SELECT * FROM placed WHERE place <= {CAP}")
 def evidence_selection(spark, sf_dir):
-    """The best facts of every question within relation budgets and a cap."""
+    """The best facts of every question within relation budgets and a cap; with W2 it is question_evidence."""
     return graph.within_budget(scored(spark, sf_dir), BUDGET, DEFAULT, CAP)
 
 
@@ -264,7 +262,7 @@ def block_scan(spark, sf_dir):
     return facts.blocks(rows, "k", F.col("l_returnflag") == "R", F.col("l_returnflag") != "R")
 
 
-TERMS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_-]+'), lambda x: x <> '')"
+TERMS = r"list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_-]+'), lambda x: x <> '')"
 GRAMS = f"list_concat({TERMS}, flatten(list_transform({TERMS}, lambda w: CASE WHEN length(w) = 1 THEN [w] ELSE list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) END)))"
 
 
@@ -283,7 +281,7 @@ def words_and_grams(spark, sf_dir):
     SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc)::INT AS place FROM s QUALIFY place <= 3""")
 def bm25_top3(spark, sf_dir):
     """O1: the three best documents for every benchmark item by words alone; bm25_grams_top3 is E1."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)[^\w-]+"), lambda w: w != "")
+    words = lambda c: F.filter(F.split(c, r"(?U)[^\w-]+"), lambda w: w != "")
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("terms"))
     return retrieve.bm25(d, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")).alias("terms")))
 
@@ -295,11 +293,11 @@ def bm25_grams_top3(spark, sf_dir):
     return retrieve.bm25(d, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.tokens_with_grams(F.col("text")).alias("terms")))
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', chr(10), 'g') AS x FROM pages),
-    b AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM a)
-    SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS body FROM b""")
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>', '', 'g'), '<[^>]+>', chr(10), 'g') AS x FROM pages),
+    b AS (SELECT page_id, replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&nbsp;', ' '), '&quot;', '"') AS x FROM a)
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM b""")
 def html_text(spark, sf_dir):
-    """Visible text of pages."""
+    """visible text of pages."""
     return read(spark, sf_dir, "pages").select("page_id", T.clean_html(F.col("html")).alias("body"))
 
 
@@ -307,7 +305,7 @@ def html_text(spark, sf_dir):
     SELECT count(*) AS n, count(*) FILTER (long) AS n_long, round(avg(coded::INT), 6) AS ratio, count(*) FILTER (long) >= 50 AND avg(coded::INT) >= 0.6 AS passes,
     (SELECT n_chars FROM (SELECT n_chars, row_number() OVER (ORDER BY n_chars) - 1 AS k FROM c) WHERE k = (SELECT count(*) // 2 FROM c)) AS median FROM c""")
 def corpus_gate(spark, sf_dir):
-    """Size and overlap gate, with the upper-middle median."""
+    """How many documents are long enough and how many have a digit, with the upper-middle median; E12 is overlap_gate."""
     d = read(spark, sf_dir, "documents")
     coded = F.col("text").rlike("[0-9]").cast("int")
     long = F.count_if(F.col("n_chars") >= 400)
@@ -327,7 +325,7 @@ def digit_keys(spark, sf_dir):
     h AS (SELECT DISTINCT conv_id, turn, node FROM (SELECT conv_id, turn, unnest(words) AS node FROM w) JOIN n USING (node))
     SELECT conv_id, turn, node, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(node) DESC, node DESC)::INT AS place FROM h QUALIFY place <= 5""")
 def entity_links(spark, sf_dir):
-    """Names that occur in questions, longer first, five at most."""
+    """Names that occur in questions as whole words, longer first, five at most; G1 is question_seeds."""
     words = lambda c: F.filter(F.split(c, "[^A-Za-z]+"), lambda w: w != "")
     q = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), words("text").alias("words"))
     names = read(spark, sf_dir, "benchmark").select(F.explode(F.filter(words("text"), lambda w: F.char_length(w) >= 6)).alias("node")).distinct().select("node", F.col("node").alias("name"))
@@ -360,22 +358,27 @@ def node_view(spark, sf_dir):
 def graph_components(spark, sf_dir):
     """G13 over nations and regions only; star_components has all of the graph."""
     n = read(spark, sf_dir, "nation")
-    own_checkpoints(spark)
     return graph.components(n.select(F.concat(F.lit("N-"), F.col("n_nationkey")).alias("src"), F.lit("PART_OF").alias("relation"), F.concat(F.lit("R-"), F.col("n_regionkey")).alias("dst")))
 
 
-@query("""WITH t AS (SELECT p_partkey AS ord, split_part(p_name, ' ', 1) AS h, 'NAMED' AS r, p_brand AS t, 'rule' AS origin, p_type AS src FROM part)
-    SELECT ord, h, r, t, src, CASE WHEN contains(lower(src), lower(h)) AND contains(lower(src), lower(t)) THEN origin ELSE origin || '-inferred' END AS origin FROM t""")
+@query("""WITH t AS (SELECT s_suppkey AS ord, 'A-' || s_nationkey AS h, 'ALLOWS' AS r, n_name AS t, 'llm' AS origin, r_name AS src FROM supplier JOIN nation ON s_suppkey % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    d AS (SELECT r_name AS src, string_agg('A-' || n_nationkey || ' ' || CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END, ' ') AS body FROM region JOIN nation ON r_regionkey = n_regionkey WHERE n_nationkey % 3 > 0 GROUP BY 1)
+    SELECT ord, h, r, t, src, CASE WHEN contains(coalesce(body, '') || ' ' || src, h) OR contains(coalesce(body, '') || ' ' || src, n_name) THEN origin ELSE origin || '-inferred' END AS origin
+    FROM t LEFT JOIN d USING (src) LEFT JOIN nation ON h = 'A-' || n_nationkey""")
 def grounding(spark, sf_dir):
-    """Triples marked where an end doesn't occur in their document."""
-    p = read(spark, sf_dir, "part")
-    t = p.select(F.col("p_partkey").alias("ord"), F.split("p_name", " ")[0].alias("h"), F.lit("NAMED").alias("r"), F.col("p_brand").alias("t"), F.lit("rule").alias("origin"), F.col("p_type").alias("src"))
-    return facts.grounded(t, p.select(F.col("p_type").alias("src"), F.col("p_type").alias("body")).distinct())
+    """Triples marked where an end that is a code stands neither itself nor by its name in its document."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    code = F.concat(F.lit("A-"), F.col("n_nationkey"))
+    s = read(spark, sf_dir, "supplier").withColumn("n_nationkey", (F.col("s_suppkey") % 25).cast("int"))
+    t = s.join(n, "n_nationkey").join(r, "n_regionkey").select(F.col("s_suppkey").alias("ord"), F.concat(F.lit("A-"), "s_nationkey").alias("h"), F.lit("ALLOWS").alias("r"), F.col("n_name").alias("t"), F.lit("llm").alias("origin"), F.col("r_name").alias("src"))
+    said = F.concat(code, F.lit(" "), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")))
+    docs = n.where("n_nationkey % 3 > 0").join(r, "n_regionkey").groupBy(F.col("r_name").alias("src")).agg(F.array_join(F.array_sort(F.collect_list(said)), " ").alias("body"))
+    return facts.grounded(t, docs, n.select(code.alias("code"), F.col("n_name").alias("label")))
 
 
 @query("""SELECT doc_id, instr(text, ' the ')::INT AS at, CASE WHEN instr(text, ' the ') > 0 THEN trim(regexp_replace(substr(text, greatest(1, instr(text, ' the ') - 120), instr(text, ' the ') + 200 - greatest(1, instr(text, ' the ') - 120)), '\\s+', ' ', 'g')) END AS quote FROM documents""")
 def quotes(spark, sf_dir):
-    """The text around the first occurrence of a term."""
+    """the text around the first occurrence of a term; E4 is evidence_quotes."""
     at = F.instr("text", " the ")
     return read(spark, sf_dir, "documents").select("doc_id", at.alias("at"), F.when(at > 0, T.snippet(F.col("text"), at)).alias("quote"))
 
@@ -404,7 +407,6 @@ def place_edges(spark, sf_dir) -> DataFrame:
 @query(f"{LABELS} SELECT * FROM l{ROUNDS}")
 def graph_communities(spark, sf_dir):
     """G8 cut to customers, nations and regions and to three rounds of label passing; star_communities has the whole."""
-    own_checkpoints(spark)
     return paths.communities(place_edges(spark, sf_dir), ROUNDS)
 
 
@@ -427,14 +429,12 @@ def community_facts(spark, sf_dir):
 @query()
 def star_components(spark, sf_dir):
     """Connected components of all of the graph."""
-    own_checkpoints(spark)
     return graph.components(star_edges(spark, sf_dir))
 
 
 @query()
 def star_communities(spark, sf_dir):
     """Communities of all of the graph by label passing to a fixpoint, with the nodes that never settle."""
-    own_checkpoints(spark)
     return paths.settled_communities(star_edges(spark, sf_dir))
 
 
