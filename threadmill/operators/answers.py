@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from .retrieve import bm25
+from .store import ship
 
 Model = Callable[[list[str]], list[str]]
 REFUSAL = "The sources don't say."
@@ -18,6 +19,7 @@ REFUSAL = "The sources don't say."
 
 def replied(rows: DataFrame, prompt: Column, model: Model, name: str) -> DataFrame:
     """rows with a column `name`: the model's reply to the prompt; a null prompt isn't sent and stays null."""
+    ship(rows.sparkSession)
     asked = rows.withColumn(name, prompt.cast("string"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -33,15 +33,17 @@ def walk(edges: DataFrame, seeds: DataFrame, closed: DataFrame, hops: int) -> Da
 
     Breadth first, both ways. A node is expanded once, at its first discovery; closed nodes are reached, never passed.
     Each round is a join of the frontier, so that a few questions or many share one plan."""
-    near = endpoints(edges)
+    near = settled(endpoints(edges)) if hops > 1 else endpoints(edges)
     frontier = seen = seeds.select("qid", "node").distinct()
     found = None
     for hop in range(1, hops + 1):
         step = frontier.join(near, "node").select("qid", *FACT, "other")
+        if hop < hops:
+            step = settled(step)  # feeds the facts of this hop and the frontier of the next
         now = step.select("qid", *FACT).distinct().withColumn("hop", F.lit(hop))
         found = now if found is None else found.unionByName(now)
         if hop < hops:
-            frontier = step.select("qid", F.col("other").alias("node")).distinct().join(closed, "node", "left_anti").join(seen, ["qid", "node"], "left_anti")
+            frontier = settled(step.select("qid", F.col("other").alias("node")).distinct().join(closed, "node", "left_anti").join(seen, ["qid", "node"], "left_anti"))
             seen = seen.unionByName(frontier)
     return found.groupBy("qid", *FACT).agg(F.min("hop").alias("hop"))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import FACT, degrees, endpoints
+from .store import settled, ship
 
 
 def shortest(facts: list[tuple[str, str, str]], start: str, goals: set[str]) -> set[tuple[str, str, str]]:
@@ -37,6 +38,7 @@ def key_paths(evidence: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFr
     seeds to its goals (qid, node), in their own direction.
 
     evidence has had its cap, and seeds theirs, so that what is known of one question is a short list."""
+    ship(evidence.sparkSession)
     lists = evidence.groupBy("qid").agg(F.collect_list(F.struct(*FACT)).alias("facts"))
     ends = [df.groupBy("qid").agg(F.collect_set("node").alias(n)) for df, n in ((seeds, "seeds"), (goals, "goals"))]
     rows = lists.join(ends[0], "qid").join(ends[1], "qid")

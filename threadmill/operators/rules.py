@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import facts
+from .store import ship
 
 # Patterns and words of the corpus.
 CODE = r"[A-H]-[0-9]{1,2}"
@@ -84,16 +85,19 @@ def tagged(docs: DataFrame) -> DataFrame:
 
 
 def spotted(lines: DataFrame) -> DataFrame:
-    """(doc_ord, title, n, line, kind, start, stop, said): where periods and procedures stand in lines. Spark's own
-    functions tell the text of every match and the place of the first only."""
+    """(doc_ord, title, n, kind, start, stop, said, near, behind): where periods and procedures stand in lines, with the
+    words around each and right behind it. Spark's own functions tell the text of every match and the place of the
+    first only. A line may be very long: what leaves a task is what stands near a match, not the line."""
     kinds = {"period": re.compile(PERIOD), "procedure": re.compile(PROCEDURE)}
 
     def spot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hits = [(*row, kind, m.start(), m.end(), m[0]) for row in b.itertuples(index=False, name=None) for kind, p in kinds.items() for m in p.finditer(row[3])]
-            yield pd.DataFrame(hits, columns=["doc_ord", "title", "n", "line", "kind", "start", "stop", "said"])
+            every = ((row, kind, m) for row in b.itertuples(index=False, name=None) for kind, p in kinds.items() for m in p.finditer(row[3]))
+            hits = [(*row[:3], kind, m.start(), m.end(), m[0], row[3][max(0, m.start() - NEAR) : m.end() + NEAR], row[3][m.end() : m.end() + 8]) for row, kind, m in every]
+            yield pd.DataFrame(hits, columns=["doc_ord", "title", "n", "kind", "start", "stop", "said", "near", "behind"])
 
-    return lines.select("doc_ord", "title", "n", "line").mapInPandas(spot, "doc_ord long, title string, n int, line string, kind string, start int, stop int, said string")
+    ship(lines.sparkSession)
+    return lines.select("doc_ord", "title", "n", "line").mapInPandas(spot, "doc_ord long, title string, n int, kind string, start int, stop int, said string, near string, behind string")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -107,10 +111,7 @@ def periods(docs: DataFrame) -> DataFrame:
     title if it names a procedure, else the longest such title in the line. A period meets procedures by blocks of
     REACH characters, and titles by their first four characters, so that long lines form no pairs far apart."""
     acts = lines_of(docs).where(F.rlike("line", F.lit(ACT)))
-    # a line may be very long: what is joined holds the words around a match, not the line
-    around = F.substr("line", F.greatest(F.lit(1), F.col("start") + 1 - NEAR), F.least("start", F.lit(NEAR)) + F.col("stop") - F.col("start") + NEAR)
-    behind = F.substr("line", F.col("stop") + 1, F.lit(8))
-    hits = spotted(acts).select("doc_ord", "title", "n", "kind", "start", "stop", "said", around.alias("near"), behind.alias("behind"))
+    hits = spotted(acts)
     key = ["doc_ord", "n", "start"]
     asked = hits.where((F.col("kind") == "period") & ~F.rlike("near", F.lit(NO_REQUIREMENT)) & F.rlike("near", F.lit(ACT)))
     block = lambda c: F.floor(F.col(c) / REACH)
