@@ -53,3 +53,37 @@ def test_hot_text_is_dealt(spark, odd, none):
     rows = shards.kd_shards(odd, 3).collect()
     assert len(rows) == odd.count() and {r.shard for r in rows} <= {0, 1, 2}
     assert shards.kd_shards(none).count() == 0
+
+
+def test_splits_against_sorting(docs):
+    """Every node is split along the dimension that is widest by its points, at the weighted quantile of its leaves, as
+    sorting all of its points finds them."""
+    _, points = shards._points(docs, "doc_id", 7)
+    nodes, first = {0: 7}, 1
+    while any(k > 1 for k in nodes.values()):
+        nodes = {n: k for n, k in sorted(nodes.items()) if k > 1}
+        after = shards.stored(shards._split(points, nodes, first), "test")
+        was = {(r.th, r.size, r.slice): r for r in points.collect()}
+        now = [(was[r.th, r.size, r.slice].node, r) for r in after.collect()]
+        top = lambda rs, d: [r.c[d] >> shards.LOW for r in rs]
+        every = [r for _, r in now]
+        bounds = [max(1, max(top(every, d)) - min(top(every, d))) for d in range(3)]
+        children = {}
+        for i, (n, leaves) in enumerate(nodes.items()):
+            mine = [r for old, r in now if old == n]
+            left, right = ([r for r in mine if r.node == first + 2 * i + side] for side in (0, 1))
+            assert len(left) + len(right) == len(mine)
+            d = max(range(3), key=lambda d: ((max(top(mine, d)) - min(top(mine, d))) / bounds[d], -d))
+            assert max(r.c[d] for r in left) < min(r.c[d] for r in right)
+            total = sum(r.bytes for r in mine)
+            assert abs(sum(r.bytes for r in left) - total * (leaves // 2) / leaves) <= max(r.bytes for r in mine) + 1e-4 * total
+            children[first + 2 * i], children[first + 2 * i + 1] = leaves // 2, leaves - leaves // 2
+        points, first, nodes = after, first + 2 * len(nodes), children
+
+
+def test_long_and_repeated_rows(spark):
+    """A very long text, an id with two texts and repeated rows: every row has its own slot."""
+    rows = [(1, "x" * 2_000_000), (2, "a"), (2, "b"), (3, "c"), (3, "c")] + [(i, f"text {i}") for i in range(10, 60)]
+    df = spark.createDataFrame([(*r, "en", None, 7) for r in rows], "doc_id long, text string, lang string, source string, shard int")
+    got = shards.kd_shards(df, 3).collect()
+    assert len(got) == len(rows) and len({(r.shard, r.slot) for r in got}) == len(rows) and max(r["size"] for r in got) == 2_000_008

@@ -58,3 +58,48 @@ def test_fingerprints_of_odd_rows(odd, none):
     assert len(rows) == odd.count()
     assert len({r.fingerprint for r in rows if r.n_chars == 0}) == 1
     assert fingerprint.edited_fingerprints(none).count() == 0
+
+
+def lanes_of(text):
+    """Lanes by hand: Spark's xxhash64 of a number and a string is the string's hash with the number's as seed."""
+    import numpy as np
+    import xxhash
+
+    h = lambda k, x: xxhash.xxh64_intdigest(x.encode(), seed=xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed=42))
+    out = np.zeros(68, object)
+    for p in text.split("\n"):
+        a, b = h(7, p), h(11, p)
+        out[:4] += [a & 0xFFFFFFFF, a >> 32, b & 0xFFFFFFFF, b >> 32]
+        for s in re.split(r"(?<=[.!?|;])\s+", p, flags=re.ASCII):
+            x = h(13, s)
+            out[4:] += [len(s) * (1 - 2 * (x >> i & 1)) for i in range(64)]
+    return [int(v) % (1 << 32) for v in out]
+
+
+def likeness_of(a, b):
+    x, y = ([v - (1 << 32) if v >= 1 << 31 else v for v in lanes[4:]] for lanes in (a, b))
+    norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return 1.0 if a == b else 0.0 if not norm else min(1.0, max(0.0, sum(p * q for p, q in zip(x, y)) / norm))
+
+
+def test_fingerprints_by_hand(docs, texts):
+    rows = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs).collect()}
+    order = sorted(texts, reverse=True)
+    hexed = lambda lanes: "".join(f"{v:08x}" for v in lanes)
+    for k, i in list(enumerate(order))[::17]:
+        a, b = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        h = len(a) // 2
+        own, other, after = lanes_of(a), lanes_of(a[: len(a) - h] + b[:h]), lanes_of(b)
+        r = rows[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (hexed(own), hexed(other))
+        assert abs(r.near_edited - likeness_of(own, other)) < 1e-9 and abs(r.near_next - likeness_of(own, after)) < 1e-9
+
+
+def test_long_texts_and_shared_ids(spark):
+    long = "\n".join(f"line {k} of a very long text. It goes on." for k in range(20_000))
+    rows = [(1, long), (2, long + " "), (3, "a"), (3, "b"), (3, "a"), (None, "c")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, part int, lanes string")
+    out = fingerprint.edited_fingerprints(df, rows_per_range=2).collect()
+    assert len(out) == len(rows) and sorted(r.n_chars for r in out)[-1] == len(long) + 1
+    got = exact_dedup.exact_dedup(df).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True), (3, 3, 2, True), (3, 3, 2, True)]

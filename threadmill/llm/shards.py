@@ -13,7 +13,8 @@ SHARDS = 24
 GROUP_SHARE = 0.1
 #: Bits of a coordinate that come from the dimension itself and from a hash that parts ties; bits found in each pass.
 TOP, LOW, DIGIT = 20, 40, 10
-SLICES = 32  # runs by which slots are numbered inside a shard
+#: Runs by which slots are numbered inside a shard: so many at least, and rows of a run at most, about.
+SLICES, ROWS_PER_RUN = 32, 200_000
 DIMENSIONS = ("size", "lang", "source")
 
 
@@ -101,6 +102,7 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
         total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
     rows, points = _points(docs, id_col, shards)
+    slices = max(SLICES, math.ceil(rows.count() / (shards * ROWS_PER_RUN)))
     nodes, leaves, next_node = {0: shards}, [], 1
     while nodes:
         leaves += [n for n, k in nodes.items() if k == 1]
@@ -114,7 +116,7 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
             nodes = children
     names = docs.sparkSession.createDataFrame([(n, i) for i, n in enumerate(sorted(leaves))], "node int, shard int")
     placed = rows.join(small(stored(points.join(F.broadcast(names), "node").select("th", "size", "slice", "shard"), "placed")), ["th", "size", "slice"])
-    placed = stored(placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLICES)).cast("int").alias("run")), "placed")
+    placed = stored(placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "th"), F.lit(slices)).cast("int").alias("run")), "placed")
     counts = placed.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
