@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
+from ..operators.store import settled, ship
+
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a folder of Markdown files: `# title`, a blank line, a tag line, a blank line, the body. Columns
@@ -46,22 +53,80 @@ def read_items(spark: SparkSession, path: str, field: str, schema: str) -> DataF
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """K5: nodes and edges as Parquet."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """K5: (part, line): a graph as lines of GraphML, in parts that stand one after the other: head, nodes (id, type,
+    label), edges (src, dst, relation, origin, sources), foot. A writer sorts by part alone."""
+    spark = nodes.sparkSession
+    names = {"node": ("type", "label"), "edge": ("relation", "origin", "sources")}
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;"), '"', "&quot;")
+    data = lambda kind: [x for c in names[kind] for x in (F.lit(f'<data key="{c}">'), safe(c), F.lit("</data>"))]
+    keys = [f'<key id="{c}" for="{kind}" attr.name="{c}" attr.type="string"/>' for kind, cs in names.items() for c in cs]
+    head = [(0, "\n".join(["<?xml version='1.0' encoding='utf-8'?>", '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">'])), (3, "</graph>\n</graphml>")]
+    rows = spark.createDataFrame(head, "part int, line string")
+    rows = rows.unionByName(nodes.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), safe("id"), F.lit('">'), *data("node"), F.lit("</node>")).alias("line")))
+    return rows.unionByName(edges.select(F.lit(2).alias("part"), F.concat(F.lit('<edge source="'), safe("src"), F.lit('" target="'), safe("dst"), F.lit('">'), *data("edge"), F.lit("</edge>")).alias("line")))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A result table (manifest, review pairs, facts, scores, probes) as JSON, in place of the last."""
+    rows.write.mode("overwrite").json(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
+    """Rows added to a log of JSON lines."""
     rows.write.mode("append").json(path)
 
 
 def through_cache(todo: DataFrame, cache: DataFrame | None, key: str, compute) -> DataFrame:
-    """Rows of cache for the keys of todo, and compute (DataFrame to DataFrame) over the others only."""
+    """Rows of cache for the keys of todo, and compute (DataFrame to DataFrame) over the others only."""
     if cache is None:
         return compute(todo)
     known = cache.join(todo.select(key).distinct(), key, "left_semi")
     return known.unionByName(compute(todo.join(cache.select(key).distinct(), key, "left_anti")))
 
 
+def kept_in_cache(todo: DataFrame, path: str, key: str, compute, force: bool = False) -> DataFrame:
+    """K3, K6, K9: what compute makes of todo, read from the Parquet table at path as far as it is there, computed and
+    appended to it where not. force computes all and replaces the table."""
+    spark = todo.sparkSession
+    known = None
+    if not force:
+        try:
+            known = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    fresh = compute(todo if known is None else todo.join(known.select(key).distinct(), key, "left_anti"))
+    fresh.write.mode("overwrite" if force or known is None else "append").parquet(path)
+    return spark.read.parquet(path).join(todo.select(key).distinct(), key, "left_semi")
+
+
+def try_items(items: DataFrame, convert: Callable[[bytes], str]) -> tuple[DataFrame, DataFrame]:
+    """(name, text) of items (name, content: binary) that convert can read, and (name, reason) of the others: an item
+    that fails is recorded and doesn't end the run. convert runs in tasks."""
+    ship(items.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, content in b.itertuples(index=False):
+                try:
+                    out.append((name, convert(bytes(content)), None))
+                except Exception as e:  # whatever a converter raises is the item's reason
+                    out.append((name, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["name", "text", "reason"])
+
+    found = settled(items.select("name", "content").mapInPandas(run, "name string, text string, reason string"))
+    return found.where("reason is null").select("name", "text"), found.where("reason is not null").select("name", "reason")
+
+
 def write_corpus(docs: DataFrame, path: str) -> None:
-    """Documents as Parquet, codes in parentheses such as (F5) written (F-5)."""
-    docs.withColumn("body", F.regexp_replace("body", r"\(([A-H])\s?(\d{1,2})\)", "($1-$2)")).write.mode("overwrite").parquet(path)
+    """K1: documents (title, body) as Parquet with a file name that is safe, codes in parentheses such as (F5) written
+    (F-5)."""
+    body = F.regexp_replace("body", r"\(([A-H])\s?(\d{1,2})\)", "($1-$2)")
+    docs.withColumns({"body": body, "file": F.concat(F.replace(T.safe_name(F.col("title")), F.lit(" "), F.lit("_")), F.lit(".md"))}).write.mode("overwrite").parquet(path)
