@@ -51,13 +51,17 @@ def expand_ranges(ranges: DataFrame, order: DataFrame) -> DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, by: str, reach: int, ahead: bool) -> DataFrame:
     """As-of match within reach: for each left row (id, by, at) the last right row (by, at, what) before it, or the
-    first after it. One pass over both sides merged and sorted, so a busy key costs no pairs."""
-    sides = left.select("id", by, "at", F.lit(None).cast("string").alias("what"), F.lit(1).alias("side"))
-    sides = sides.unionByName(right.select(F.lit(None).cast("long").alias("id"), by, "at", "what", F.lit(2).alias("side")))
+    first after it. One pass over both sides merged and sorted, so a busy key costs no pairs; and by blocks of reach, of
+    which a left row sees its own and the one before or after, so that a long history is many groups."""
+    block = F.floor(F.col("at") / reach)
+    left = left.withColumn("block", block)
+    right = right.withColumn("block", F.explode(F.array(block, block + (-1 if ahead else 1))))
+    sides = left.select("id", by, "block", "at", F.lit(None).cast("string").alias("what"), F.lit(1).alias("side"))
+    sides = sides.unionByName(right.select(F.lit(None).cast("long").alias("id"), by, "block", "at", "what", F.lit(2).alias("side")))
     hit = F.when(F.col("side") != 1, F.struct("at", "what"))
     # rows at the same place don't count: left rows come before right ones
     order = [F.col("at") if not ahead else F.col("at").desc(), F.col("side"), "what"]
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(by, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = sides.withColumn("hit", F.last(hit, ignorenulls=True).over(w)).where("side = 1")
     far = F.abs(F.col("hit.at") - F.col("at"))
     return out.select("id", F.when(far <= reach, F.col("hit.what")).alias("what"), F.when(far <= reach, far).alias("distance"))

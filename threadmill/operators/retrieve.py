@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .store import settled, small
+
 
 def bm25(docs: DataFrame, queries: DataFrame, top: int = 3, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """(qid, doc, score, place) of the best documents (doc, terms) for queries (qid, terms).
 
     Okapi BM25: idf = ln((N - df + 0.5) / (df + 0.5)), a negative one replaced by floor times the mean idf of all terms.
-    A query's repeated terms count again; documents that share no term are left out; ties go to the smaller doc. The
-    index is a table of postings joined on terms; only terms of queries reach the join."""
-    postings = docs.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    A query's repeated terms count again; documents that share no term are left out; ties go to the smaller doc. Terms
+    are counted by document within its row for idf; rows of a document and a term are made for asked terms only."""
+    asked = settled(queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times")))
+    wanted = small(settled(asked.select("term").distinct()))
+    postings = docs.select("doc", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "term").agg(F.count("*").alias("tf"))
     size = docs.select("doc", F.size("terms").alias("dl"))
     n = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    held = docs.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = settled(held.join(F.broadcast(n)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    asked = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    idf = idf.join(asked.select("term").distinct(), "term").join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    idf = idf.join(wanted, "term", "left_semi").join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     hits = postings.join(idf, "term").join(size, "doc")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.select("doc", "term", weight.alias("w")).join(asked, "term").groupBy("qid", "doc").agg(F.round(F.sum(F.col("times") * F.col("w")), 6).alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..operators import context, corpus, evaluate, facts, graph, linking, resolve
+from ..operators.store import settled
 from .registry import BUDGET, CAP, DEFAULT, DEGREE, DECLARED, EDGES, SPINE, query, read, seeds, star_edges
 
 WORDS = "regexp_extract_all(text, '[A-Za-z]{8,}')"
@@ -84,8 +85,8 @@ def asked(spark, sf_dir) -> DataFrame:
 
 def candidates(spark, sf_dir, hops: int) -> tuple[DataFrame, DataFrame]:
     """Facts of walks with their relevance but for the hop, and the closed nodes."""
-    edges = star_edges(spark, sf_dir)
-    closed = graph.hubs(edges, F.col("node").startswith("N-"))
+    edges = settled(star_edges(spark, sf_dir))
+    closed = settled(graph.hubs(edges, F.col("node").startswith("N-")))
     at = graph.walk(edges, seeds(spark, sf_dir), closed, hops).join(asked(spark, sf_dir), "qid")
     seed = F.concat(F.lit("C-"), F.col("qid"))
     base = graph.relevance(F.lit(1), F.col("relation"), (F.col("src") == seed) | (F.col("dst") == seed), graph.in_question(F.col("words"), F.col("src"), F.col("dst")), SPINE) - 3.0

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators import evaluate, facts, graph, paths, retrieve, rules
+from ..operators.store import settled
 
 SPINE, BUDGET, DEFAULT, CAP = ["CONTAINS"], {"PLACED_BY": 4, "CONTAINS": 6}, 3, 18
 DECLARED = ["LOCATED_IN", "PART_OF", "PLACED_BY", "CONTAINS", "SUPPLIED_BY", "EXEMPT_FROM"]
@@ -63,7 +64,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walked(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
-    edges = star_edges(spark, sf_dir)
+    edges = settled(star_edges(spark, sf_dir))
     return graph.walk(edges, seeds(spark, sf_dir), graph.hubs(edges, F.col("node").startswith("N-")), hops)
 
 
