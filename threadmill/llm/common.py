@@ -26,7 +26,8 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application, so that no executor needs it installed, and
-    bounds the batches of texts they get."""
+    bounds the batches of texts they get for the rest of the session: the limit is read when a plan is made, not where
+    it is written."""
     sc = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXTS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
@@ -55,9 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage and survives lost executors."""
+    """df written to the shared folder, under the application's id, and read again: cuts lineage and survives lost
+    executors. The result is read later, so nothing here can tell when a table may go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
