@@ -5,10 +5,13 @@ codes A-0, A-1 ... with the nations as labels. The walk is that of the star tabl
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..operators import context, corpus, evaluate, facts, graph, linking, resolve
+from ..operators import asking, context, corpus, evaluate, extraction, facts, graph, linking, resolve
 from ..operators.store import settled
 from .registry import BUDGET, CAP, DEFAULT, DEGREE, DECLARED, EDGES, SPINE, query, read, seeds, star_edges
 
@@ -306,3 +309,43 @@ def edges_by_relation(spark, sf_dir):
     found = e.select(F.col("src").alias("h"), F.col("relation").alias("r"), F.col("dst").alias("t"), F.lit("rule").alias("origin"), F.lit("x").alias("sources"), F.lit(1).alias("n_sources"))
     _, edges = resolve.graph_of(found, spark.createDataFrame([], "code string, label string"))
     return edges.groupBy("relation").agg(F.count("*").alias("n"))
+
+
+def long_words(prompts: list[str]) -> list[str]:
+    """Stands in for a model: the first three words of eight letters or more as facts of the title, Words if their length
+    is even, else of no declared type; every seventh document has a reply that can't be read."""
+    out = []
+    for p in prompts:
+        title, body = p.split("\n\n# ", 1)[1].split("\n", 1)
+        words = re.findall("[A-Za-z]{8,}", body)[:3]
+        rows = [{"head": title, "head_type": "document", "relation": "says", "tail": w, "tail_type": "Other" if len(w) % 2 else "Word"} for w in words]
+        out.append("none found" if int(title.split("-")[1]) % 7 == 0 else json.dumps(rows))
+    return out
+
+
+def model_read(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_ord"), F.concat(F.lit("doc-"), "doc_id").alias("title"), F.col("text").alias("body"))
+    return extraction.extracted(docs, ["Document", "Word"], [("Document", "SAYS", "Word")], long_words)
+
+
+@query("""SELECT 'doc-' || doc_id AS h, 'SAYS' AS r, t, 'llm' AS origin, 'doc-' || doc_id AS src FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{8,}')[1:3]) AS t FROM documents WHERE doc_id % 7 > 0) WHERE length(t) % 2 = 0""")
+def model_triples(spark, sf_dir):
+    """What a stand-in for a model reads from documents, within the schema."""
+    return model_read(spark, sf_dir)[0].drop("ord")
+
+
+@query("SELECT doc_id AS doc_ord, 'doc-' || doc_id AS title FROM documents WHERE doc_id % 7 = 0")
+def model_failures(spark, sf_dir):
+    """Documents whose reply can't be read."""
+    return model_read(spark, sf_dir)[1]
+
+
+@query(f"""WITH {EDGES}, o AS (SELECT DISTINCT e.dst FROM edges e JOIN edges f ON e.src = f.src WHERE e.relation = 'PLACED_BY' AND f.relation = 'CONTAINS')
+    SELECT c_custkey AS qid, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE 2 END AS depth, CASE WHEN c_custkey % 10 = 0 OR 'C-' || c_custkey IN (FROM o) THEN 'build' ELSE 'global' END AS next FROM customer""")
+def walk_depths(spark, sf_dir):
+    """How deep the walk for each customer's parts goes: one hop, then two, and what follows. Every tenth has no seed."""
+    edges = settled(star_edges(spark, sf_dir))
+    closed = settled(graph.hubs(edges, F.col("node").startswith("N-"), passable=F.col("node").startswith("O-")))
+    walk = lambda s, hops: graph.walk(edges, s, closed, hops).where("relation = 'CONTAINS'")
+    every = seeds(spark, sf_dir)
+    return asking.deepened(every, every.where("qid % 10 > 0"), walk, 1, 2)[1]
