@@ -247,7 +247,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, s
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(text).alias("th"), text.alias("text")).where("doc_id is not null").withColumn("k", F.xxhash64(*KEY))
     kind = docs.schema[id_col].dataType.simpleString()
-    once = stored(rows.select("k", "text").mapInArrow(lambda it: minimisers(it, window, size), "k long, minis array<long>"), "minis").groupBy("k").agg(F.first("minis").alias("minis"))
+    once = stored(rows.select("k", "text").mapInArrow(lambda it: minimisers(it, window, size), "k long, minis array<long>"), "minis")  # a repeated row's count twice, which only sends more
     marks = once.select("k", F.explode("minis").alias("mini"))
     often = stored(marks.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1"), "often")
     # a window that repeats has a minimiser that repeats: all others stay where they are
@@ -256,7 +256,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, s
     asked = shared.groupBy("k").agg(F.collect_set(F.struct("mini", F.ceil(F.col("n") / PER_SLICE).cast("long").alias("slices"))).alias("asked"))
     asked = stored(asked.select("k", F.col("asked.mini").alias("minis"), F.col("asked.slices").alias("slices")), "asked")
     some, _ = split_by_map(rows, bit_map(asked.select("k")))
-    some = merged(some, asked, ["k"]).dropDuplicates(KEY).select(*KEY, "text", "minis", "slices")
+    some = merged(some, asked, ["k"]).dropDuplicates(["k", *KEY]).select(*KEY, "text", "minis", "slices")
     travelling = some.mapInArrow(lambda it: packed(it, window, size), f"mini long, slice int, hot boolean, doc_id {kind}, th long, start int, text string")
     order = ["mini", "slice", *KEY, "start"]
     bucket = travelling.repartition("mini", "slice").sortWithinPartitions(*order)
