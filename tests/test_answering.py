@@ -168,6 +168,42 @@ def test_fuzzy_scores(spark):
     assert [(r.layer, r.n, r.ids) for r in sorted(evaluate.failures_by_layer(layered).collect(), key=lambda r: r.place)] == [("index", 1, [2]), ("traversal", 1, [1]), ("generation", 0, [])]
 
 
+def test_batches_of_similarities():
+    """A word for each pair or window, against one pair at a time; long strings, empty ones, all lengths about 64."""
+    rng = random.Random(1)
+    make = lambda n: "".join(rng.choice("abc de1가\U0001f600") for _ in range(n))
+    pairs = [(make(rng.choice([0, 1, 2, 5, 9, 30])), make(rng.choice([0, 1, 3, 8, 40, 200]))) for _ in range(300)]
+    pairs += [(make(n), make(m)) for n in (63, 64, 65, 90) for m in (63, 64, 65, 150)] + [("", ""), ("a b c", "c a")]
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    for fast, slow in ((similarity.ratios, similarity.indel), (similarity.partial_ratios, similarity.best_window), (similarity.token_set_ratios, similarity.token_sets)):
+        assert fast(a, b) == pytest.approx([slow(x, y) for x, y in pairs])
+    assert similarity.node_matches(a + a, b + a).tolist() == [similarity.same_node(x, y) for x, y in zip(a + a, b + a)]
+
+
+def test_nodes_that_match_without_all_pairs(spark):
+    """of random names with few edits, words in other orders, and short or repeating ones, all that match."""
+    rng = random.Random(12)
+    names = made_names(rng) + ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    names += [" ".join(rng.sample(["stay", "permit", "of", "the", "office", "3", "a"], rng.randint(1, 5))) for _ in range(40)]
+    left, right = sorted(set(names[::2])), sorted(set(names[1::2]))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "node string")
+    got = {(r.node, r.other) for r in evaluate.alike_nodes(frame(left), frame(right)).collect()}
+    want = {(x, y) for x in left for y in right if similarity.same_node(x, y)}
+    assert got == want and len(want) > 100
+    for least in (60.0, 85.0, 100.0):
+        sides = [spark.createDataFrame([(x, x) for x in xs], "id string, name string") for xs in (left, right)]
+        pairs = {(r.left_name, r.right_name): r.bound for r in candidates.like_windows(*sides, least).collect()}
+        score = {(x, y): similarity.best_window(x, y) for x in left for y in right}
+        assert all(pairs.get(p, 0) >= s - 1e-6 for p, s in score.items() if s >= least)
+
+
+def test_ids_of_a_large_layer(spark):
+    layered = spark.createDataFrame([(i, "index" if i % 3 else "traversal") for i in range(30)], "qid int, layer string")
+    rows = [(r.layer, r.part, r.n, r.ids) for r in sorted(evaluate.failures_by_layer(layered, per_row=8).collect(), key=lambda r: (r.place, r.part))]
+    index = [i for i in range(30) if i % 3]
+    assert rows == [("index", k, 20, index[8 * k : 8 * k + 8]) for k in range(3)] + [("traversal", k, 10, list(range(0, 30, 3))[8 * k : 8 * k + 8]) for k in range(2)] + [("generation", 0, 0, [])]
+
+
 def test_documents_quotes_and_context(spark):
     docs = spark.createDataFrame([(0, "Guide", "x" * 150 + " F-5 and work permit rules " + "y" * 300), (1, "Guide/Part", "the work permit again"), (2, "Law 10", "no terms"), (3, "", "empty title")], "ord int, title string, body string")
     titles = spark.createDataFrame([("Guide",), ("Guide/Part/Sub",), ("Law",), ("Other",), ("Guide/P",)], "title string")
@@ -233,12 +269,18 @@ def test_order_of_parts(spark):
     assert {r.grounded: r.n for r in resolve.grounding_counts(spark.createDataFrame([("rule",), ("llm-inferred",)], "origin string")).collect()} == {True: 1, False: 1}
 
 
-def test_candidate_joins(spark):
+def test_candidate_joins(spark, monkeypatch):
     rng = random.Random(9)
     texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 12))) for _ in range(40)]
     names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(25)})
     t, n = spark.createDataFrame(list(enumerate(texts)), "id int, x string"), spark.createDataFrame([(v,) for v in names], "name string")
-    got = {(r.id, r.name) for r in candidates.containing(t, "x", n, "name", 2).collect()}
-    assert got == {(k, v) for k, x in enumerate(texts) for v in names if v in x}
+    got = {(r.id, r.name) for r in candidates.containing(t, ["id"], "x", n, "name", 2).collect()}
+    want = {(k, v) for k, x in enumerate(texts) for v in names if v in x}
+    assert got == want
+    for size in (1, 20):  # many sets of names
+        monkeypatch.setattr(candidates, "SET_CHARS", size)
+        more = t.unionByName(spark.createDataFrame([(99, None), (98, "")], "id int, x string"))
+        assert {(r.id, r.name) for r in candidates.containing(more, ["id"], "x", n, "name", 2).collect()} == want
+    assert candidates.containing(t, ["id"], "x", n.where("false"), "name").columns == ["id", "name"]
     odd = evaluate.upper_median(spark.createDataFrame([(v,) for v in [5, 1, 9, 9, 2, 2]], "v int"), "v").first().median
     assert odd == sorted([5, 1, 9, 9, 2, 2])[3]

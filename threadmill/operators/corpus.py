@@ -30,10 +30,13 @@ def overlaps(docs: DataFrame, prefixes: tuple[str, ...] = (), code: str = r"\(([
     """(title, by_title, by_code, n_codes) of documents (title, body): whether the body contains a key term of
     another document's title, or else a code in parentheses that another body has too.
 
-    Terms meet bodies by their first characters, an equi join on grams; codes by how many documents have them."""
+    Terms meet bodies by an automaton that reads each body once for a set of terms; codes by how many documents have them."""
     bodies = settled(docs.select("title", "body", F.array_distinct(F.regexp_extract_all("body", F.lit(code), F.lit(1))).alias("codes")))
     terms = settled(bodies.select(F.col("title").alias("of"), F.explode(F.array_distinct(T.key_terms(F.col("title"), prefixes))).alias("term")))
-    said = candidates.containing(bodies.select("title", "body"), "body", terms, "term", 3).where("of <> title").select("title").distinct()
+    # a term counts if another title has it: of its titles, the least and the greatest tell
+    owners = terms.groupBy("term").agg(F.min("of").alias("least"), F.max("of").alias("most"))
+    said = candidates.containing(bodies, ["title"], "body", terms, "term", 3).join(owners, "term")
+    said = said.where((F.col("least") != F.col("title")) | (F.col("most") != F.col("title"))).select("title").distinct()
     each = bodies.select("title", F.explode("codes").alias("code"))
     shared = each.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
     coded = each.join(small(settled(shared)), "code", "left_semi").select("title").distinct()

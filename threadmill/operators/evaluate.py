@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import similarity, text
+from . import candidates
 from .graph import FACT
 from .store import settled
 
@@ -20,17 +21,33 @@ def path_scores(expected: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(r + p > 0, 2 * r * p / (r + p)).otherwise(0.0))
 
 
+def alike_nodes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(node, other) of the distinct nodes (node) of left and right that match: equal, or of the same digits and alike
+    by their best window or by their words. Only nodes of the same digits that share enough of their rarest parts are
+    compared."""
+    sides = [settled(x.select("node").where("node is not null").distinct().select(F.col("node").alias("id"), F.col("node").alias("name"), text.digit_key(F.col("node")).alias("digits"))) for x in (left, right)]
+    pairs = candidates.like_windows(*sides, similarity.PARTIAL, ["digits"]).select("left_name", "right_name")
+    pairs = pairs.unionByName(candidates.like_words(*sides, similarity.TOKENS, ["digits"]).select("left_name", "right_name")).distinct()
+    pairs = settled(pairs.withColumn("same", similarity.udfs()["node_match"]("left_name", "right_name")))
+    equal = sides[0].select(F.col("name").alias("node"), F.col("name").alias("other")).join(sides[1].select(F.col("name").alias("other")), "other", "left_semi")
+    return pairs.where("same").select(F.col("left_name").alias("node"), F.col("right_name").alias("other")).unionByName(equal).distinct()
+
+
 def matched(expected: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """Expected facts (keys, src, relation, dst) with hit: some found fact of the same keys and relation matches both
-    ends, equal or alike as node_match has it. Equal facts meet by a join; only the others are compared."""
+    ends, equal or alike as node_match has it.
+
+    Equal facts meet by a join. For the others, nodes are matched first, each distinct one once; then a fact meets the
+    found ones by its keys, its relation and both of the nodes that match: no pair shares a relation alone."""
     there = [*keys, *FACT]
     equal = expected.select(*there).distinct().join(found.select(*there).distinct(), there, "left_semi")
-    rest = expected.select(*there).distinct().join(equal, there, "left_anti")
-    other = found.select(*keys, "relation", F.col("src").alias("found_src"), F.col("dst").alias("found_dst")).distinct()
-    digits = lambda a, b: text.digit_key(F.col(a)) == text.digit_key(F.col(b))
-    pairs = rest.join(other, [*keys, "relation"]).where(((F.col("src") == F.col("found_src")) | digits("src", "found_src")) & ((F.col("dst") == F.col("found_dst")) | digits("dst", "found_dst")))
-    same = similarity.udfs()["node_match"]
-    alike = pairs.where(same("src", "found_src") & same("dst", "found_dst")).select(*there).distinct()
+    rest = settled(expected.select(*there).distinct().join(equal, there, "left_anti"))
+    facts = settled(found.select(*there).distinct())
+    ends = lambda rows: rows.select(F.explode(F.array("src", "dst")).alias("node"))
+    same = settled(alike_nodes(ends(rest), ends(facts)))
+    pairs = rest.join(same.select(F.col("node").alias("src"), F.col("other").alias("found_src")), "src").join(same.select(F.col("node").alias("dst"), F.col("other").alias("found_dst")), "dst")
+    there_too = facts.select(*keys, "relation", F.col("src").alias("found_src"), F.col("dst").alias("found_dst"))
+    alike = pairs.join(there_too, [*keys, "relation", "found_src", "found_dst"], "left_semi").select(*there).distinct()
     return expected.join(equal.unionByName(alike).withColumn("hit", F.lit(True)), there, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
@@ -61,13 +78,18 @@ def layers(questions: DataFrame, expected: DataFrame, evidence: DataFrame, edges
     return failure_layers(fuzzy_path_scores(questions, expected, evidence).where("recall is not null"), known)
 
 
-def failures_by_layer(layered: DataFrame, order: tuple[str, ...] = ("index", "traversal", "generation"), most: int = 1000) -> DataFrame:
-    """(place, layer, n, ids): ids of failed questions by layer, layers in a fixed order with empty ones too; the
-    first `most` ids, and n of all."""
+def failures_by_layer(layered: DataFrame, order: tuple[str, ...] = ("index", "traversal", "generation"), per_row: int = 1000) -> DataFrame:
+    """(place, part, layer, n, ids): ids of failed questions by layer, in order, layers in a fixed order with empty
+    ones too. A row has per_row ids at most: a layer of more has several rows, part by part, and n of all in each."""
     names = layered.sparkSession.createDataFrame(list(enumerate(order)), "place int, layer string")
-    rn = F.row_number().over(Window.partitionBy("layer").orderBy("qid"))
-    first = layered.withColumn("rn", rn).groupBy("layer").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.col("qid")))).alias("ids"))
-    return names.join(first, "layer", "left").select("place", "layer", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.array()).alias("ids"))
+    ranges = settled(layered.select("layer", "qid").repartitionByRange("layer", "qid").withColumn("range", F.spark_partition_id()))
+    counts = ranges.groupBy("layer", "range").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("layer").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("n", F.sum("c").over(Window.partitionBy("layer")))
+    rn = F.row_number().over(Window.partitionBy("layer", "range").orderBy("qid")) - 1
+    placed = ranges.withColumn("rn", rn).join(F.broadcast(counts), ["layer", "range"]).withColumn("part", F.floor((F.col("before") + F.col("rn")) / per_row).cast("int"))
+    found = placed.groupBy("layer", "part").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("qid")).alias("ids"))
+    return names.join(found, "layer", "left").select("place", F.coalesce("part", F.lit(0)).alias("part"), "layer", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.array()).alias("ids"))
 
 
 def failure_layers(scores: DataFrame, indexed: DataFrame) -> DataFrame:

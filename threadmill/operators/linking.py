@@ -24,6 +24,23 @@ def _ranked(rows: DataFrame, size: Column, stage: int, most: int | None = None)
     return (out.where(F.col("rank") <= most) if most else out).select("qid", "node", F.lit(stage).alias("stage"), "rank")
 
 
+def best_windows(questions: DataFrame, nodes: DataFrame, least: float = LOOSE) -> DataFrame:
+    """(qid, node, stage, rank): of the nodes (node, ord) that are like some window of a question (id, name) by `least`
+    or more, the one most alike, the first by ord of several.
+
+    Pairs come from the rarest 2-grams that alike strings must share, with the highest ratio that what they share
+    allows. The pair of the highest bound is compared first; then only those that can still beat it."""
+    score = similarity.udfs()["partial_ratio"]
+    pairs = candidates.like_windows(questions, nodes.select(F.col("node").alias("id"), F.col("node").alias("name")), least)
+    pairs = settled(pairs.join(nodes.select(F.col("node").alias("right_id"), "ord"), "right_id"))
+    first = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("bound"), "ord"))
+    high = pairs.withColumn("rn", first).where("rn = 1").select("left_id", score("left_name", "right_name").alias("high"))
+    rest = pairs.join(settled(high), "left_id").where(F.col("bound") >= F.greatest("high", F.lit(least)) - 1e-9)
+    found = settled(rest.select("left_id", "right_id", "ord", score("left_name", "right_name").alias("score"))).where(F.col("score") >= least)
+    best = found.groupBy(F.col("left_id").alias("qid")).agg(F.max_by("right_id", F.struct("score", -F.col("ord"))).alias("node"))
+    return best.select("qid", "node", F.lit(4).alias("stage"), F.lit(1).alias("rank"))
+
+
 def link_entities(questions: DataFrame, nodes: DataFrame, blocked: DataFrame, vocabulary: list[tuple[str, str]] = (), code: str = CODE, most: int = 5, loose: float | None = LOOSE) -> DataFrame:
     """(qid, node, stage, place): the nodes (node, label, ord) that questions (qid, question) name, `most` at most.
 
@@ -34,8 +51,8 @@ def link_entities(questions: DataFrame, nodes: DataFrame, blocked: DataFrame, vo
     out). Only for those still without any: two nodes of four distinct characters or more that the question has all.
     Blocked nodes are else passed over. Official words of the vocabulary are added to the question first.
 
-    Every stage but the partial ratio is an equi join (on codes, first characters or rarest characters); that one
-    compares the questions left with all nodes that have enough characters in common."""
+    Names are found by an automaton that reads each question once for a set of them; every other stage is an equi join,
+    on codes, rarest characters or rarest 2-grams."""
     q = questions.select("qid", expand_words(F.col("question"), list(vocabulary)).alias("q")).withColumn("bare", _bare(F.col("q")))
     q = settled(q.withColumn("chars", candidates.characters(F.col("q"))))
     nodes = settled(nodes.select("node", F.coalesce("label", F.lit("")).alias("label"), "ord"))
@@ -45,11 +62,11 @@ def link_entities(questions: DataFrame, nodes: DataFrame, blocked: DataFrame, vo
     said = said.select("qid", "pos", F.upper(_bare(F.col("said"))).alias("node")).join(nodes.select("node"), "node")
     codes = settled(said.groupBy("qid", "node").agg(F.min("pos").alias("rank")).select("qid", "node", F.lit(1).alias("stage"), "rank"))
 
-    texts = q.select("qid", "q", "bare")
-    named = candidates.containing(texts, "q", free.select("node", "label"), "label", 2).select("qid", "node")
-    named = named.unionByName(candidates.containing(texts, "q", free.select("node"), "node", 3).select("qid", "node"))
+    label = free.select("node", "label")
+    named = candidates.containing(q, ["qid"], "q", label, "label", 2).join(label, "label").select("qid", "node")
+    named = named.unionByName(candidates.containing(q, ["qid"], "q", free, "node", 3))
     long = free.where(F.char_length("node") >= 6).select("node", _bare(F.col("node")).alias("bare_name"))
-    named = named.unionByName(candidates.containing(texts, "bare", long, "bare_name", 1).select("qid", "node"))
+    named = named.unionByName(candidates.containing(q, ["qid"], "bare", long, "bare_name").join(long, "bare_name").select("qid", "node"))
     named = settled(_ranked(named.distinct().join(codes, ["qid", "node"], "left_anti"), F.char_length("node"), 2))
 
     sets = settled(free.select("node", candidates.characters(F.col("node")).alias("items"), F.char_length(_bare(F.col("node"))).alias("size")))
@@ -66,14 +83,8 @@ def link_entities(questions: DataFrame, nodes: DataFrame, blocked: DataFrame, vo
     seeds = settled(seeds.unionByName(_ranked(extra, F.char_length("node"), 3, 2)))
 
     if loose is not None:
-        left = settled(q.join(seeds.select("qid").distinct(), "qid", "left_anti").select("qid", "q", "chars"))
-        every = nodes.select("node", "ord", candidates.characters(F.col("node")).alias("items"))
-        # the best window has all but a few of the shorter side's characters
-        fewer = F.least(F.size("items"), F.size("chars"))
-        score = similarity.udfs()["partial_ratio"]
-        pairs = small(left).join(every, F.size(F.array_intersect("items", "chars")) >= F.ceil(fewer * (1 - 2 * (1 - loose / 100))))
-        best = pairs.withColumn("score", score("node", "q")).where(F.col("score") >= loose).groupBy("qid").agg(F.max_by("node", F.struct("score", -F.col("ord"))).alias("node"))
-        seeds = settled(seeds.unionByName(best.select("qid", "node", F.lit(4).alias("stage"), F.lit(1).alias("rank"))))
+        left = q.join(seeds.select("qid").distinct(), "qid", "left_anti").select(F.col("qid").alias("id"), F.col("q").alias("name"))
+        seeds = settled(seeds.unionByName(best_windows(left, nodes, loose)))
 
     left = q.join(seeds.select("qid").distinct(), "qid", "left_anti").select("qid")
     last = sharing(sets.where(F.size("items") >= 4), F.size("items")).join(left, "qid", "left_semi")

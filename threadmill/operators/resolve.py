@@ -65,7 +65,7 @@ def like_names(ranked: DataFrame, ratio: float = 92.0, inside: int = 6) -> DataF
     earlier (of `inside` characters or more).
 
     Alike names meet by rare 2-grams: every insertion or deletion costs two of them, and the ratio bounds how many there
-    are. Containment meets by the first characters of the contained name."""
+    are. Contained names are found by an automaton."""
     names = settled(ranked.select("rank", "name", T.digit_key(F.col("name")).alias("digits")))
     miss = 1 - ratio / 100  # of both lengths together; the other is at most this much longer
     edits = F.floor(F.char_length("name") * (1 + (1 + miss) / (1 - miss)) * miss)
@@ -73,9 +73,10 @@ def like_names(ranked: DataFrame, ratio: float = 92.0, inside: int = 6) -> DataF
     pairs = candidates.overlapping(sets, "digits", "items", F.greatest(F.size("items") - 2 * F.col("edits"), F.lit(1)))
     side = lambda c: names.select(F.col("rank").alias(c), F.col("name").alias(f"{c}_name"))
     alike = pairs.join(side("early"), "early").join(side("late"), "late").where(similarity.udfs()["ratio"]("early_name", "late_name") >= ratio).select("early", "late")
-    whole = names.select(F.col("rank").alias("late"), F.col("name").alias("late_name"), F.col("digits").alias("late_digits"))
+    whole = names.select(F.col("rank").alias("late"), "name", F.col("digits").alias("late_digits"))
     part = names.select(F.col("rank").alias("early"), F.col("name").alias("early_name"), "digits")
-    held = candidates.containing(whole, "late_name", part, "early_name", inside).where("early < late and digits = late_digits").select("early", "late")
+    held = candidates.containing(whole, ["late", "late_digits"], "name", part, "early_name", inside).join(part, "early_name")
+    held = held.where("early < late and digits = late_digits").select("early", "late")
     return alike.unionByName(held).distinct()
 
 

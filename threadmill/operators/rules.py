@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import facts
+from . import candidates, facts
 from .store import ship
 
 # Patterns and words of the corpus.
@@ -109,7 +109,7 @@ def periods(docs: DataFrame) -> DataFrame:
 
     The subject is the next procedure within REACH if a duty follows it, else the last one before, else the document's
     title if it names a procedure, else the longest such title in the line. A period meets procedures by blocks of
-    REACH characters, and titles by their first four characters, so that long lines form no pairs far apart."""
+    REACH characters, so that long lines form no pairs far apart; titles are found by an automaton that reads a line once."""
     acts = lines_of(docs).where(F.rlike("line", F.lit(ACT)))
     hits = spotted(acts)
     key = ["doc_ord", "n", "start"]
@@ -126,9 +126,8 @@ def periods(docs: DataFrame) -> DataFrame:
     subjects = asked.join(met, key, "left").withColumn("subject", F.coalesce("after", "before", F.when(~statute, F.col("title"))))
 
     open_lines = acts.join(subjects.where("subject is null").select("doc_ord", "n").distinct(), ["doc_ord", "n"])
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("line") - 3), lambda i: F.substr("line", i, F.lit(4))))
-    heads = docs.where(~statute & (F.char_length("title") >= 4)).select(F.col("title").alias("other"), F.substr("title", F.lit(1), F.lit(4)).alias("gram")).distinct()
-    longest = open_lines.where(F.char_length("line") >= 4).select("doc_ord", "n", "line", F.explode(grams).alias("gram")).join(heads, "gram").where(F.contains("line", F.col("other")))
+    heads = docs.where(~statute).select(F.col("title").alias("other"))
+    longest = candidates.containing(open_lines.select("doc_ord", "n", "line"), ["doc_ord", "n"], "line", heads, "other", 4)
     longest = longest.groupBy("doc_ord", "n").agg(F.max_by("other", F.struct(F.char_length("other"), "other")).alias("other"))
     found = subjects.join(longest, ["doc_ord", "n"], "left").withColumn("subject", F.coalesce("subject", "other")).where("subject is not null")
     kept = facts.capped(found.withColumn("own", F.col("subject") == F.col("title")), ["subject"], [F.desc("own"), *key], PER_SUBJECT)
