@@ -1,7 +1,9 @@
 import random
 from itertools import combinations
 
-from threadmill.operators import louvain
+from pyspark.sql import functions as F
+
+from threadmill.operators import graph, louvain, paths, store
 
 
 def frame(spark, pairs):
@@ -40,3 +42,31 @@ def test_bests_and_odd_graphs(spark):
         assert worth(pairs, {n: a if c == b else c for n, c in got.items()}) <= high + 1e-4
     assert louvain.louvain(rows.where("false")).collect() == []
     assert [tuple(r) for r in louvain.louvain(frame(spark, [("x", "x")])).collect()] == [("x", "x")]
+
+
+def test_many_parts_and_a_hub(spark):
+    """The same groups where a task holds few edges: nodes move by halves of the parts, and a hub by itself."""
+    rng = random.Random(4)
+    groups = [[f"{g}{i:02}" for i in range(14)] for g in "abcde"]
+    pairs = [p for g in groups for p in combinations(g, 2) if rng.random() < 0.8]
+    pairs += [(rng.choice(groups[i]), rng.choice(groups[(i + 1) % 5])) for i in range(5) for _ in range(3)]
+    pairs += [("a00", f"leaf{i:03}") for i in range(120)]
+    one, many = ({r.node: r.community for r in louvain.louvain(frame(spark, pairs), per_task=n).collect()} for n in (1 << 20, 150))
+    assert set(one) == set(many) and worth(pairs, many) > 0.97 * worth(pairs, one)
+    found = louvain.louvain(frame(spark, pairs), per_task=150)
+    assert abs(paths.modularity(frame(spark, pairs), found).first().modularity - worth(pairs, many)) < 1e-9
+
+
+def test_stars_in_slices(spark, monkeypatch):
+    """A star of 40,000 leaves and one of few: no task of the joins has much more than its share of the rows."""
+    monkeypatch.setattr(store, "ROWS_PER_SLICE", 2000)
+    e = spark.range(40_000).select(F.lit("hub").alias("src"), F.lit("R").alias("relation"), F.concat(F.lit("leaf"), "id").alias("dst"))
+    e = e.unionByName(frame(spark, [("x", "y"), ("y", "z"), ("a", "a")]))
+    both = store.settled(graph.endpoints(e).select("node", "other"))
+    names = both.groupBy("other").agg(F.count("*").alias("n"))
+    sizes = [r["count"] for r in store.spread_join(both, names.hint("shuffle_hash"), "other", store.heavy_keys(both, "other")).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == both.count() and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+    got = graph.components(e)
+    assert {r.component: r["count"] for r in got.groupBy("component").count().collect()} == {"hub": 40_001, "x": 3, "a": 1}
+    labels = paths.communities(e)
+    assert labels.where("community = 'hub'").count() == 40_001 and labels.where("not settled").count() == 0

@@ -18,7 +18,6 @@ def test_similarities():
 def test_leaders_as_the_greedy_loop(spark):
     import random
 
-    spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
     rng = random.Random(1)
     pairs = sorted({tuple(sorted(rng.sample(range(25), 2))) for _ in range(40)})
     want = {}

@@ -3,6 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from threadmill.functions import text
 from threadmill.operators import answers, graph, paths, rules
 
 DOCS = [
@@ -71,7 +72,6 @@ def test_key_paths(spark):
 
 
 def test_communities_and_modularity(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
     cliques = [(a, "R", b) for g in ("abcd", "wxyz") for a, b in itertools.combinations(g, 2)] + [("d", "R", "w")]
     edges = spark.createDataFrame(cliques, "src string, relation string, dst string")
     m = paths.communities(edges)
@@ -94,9 +94,43 @@ def test_answers(spark):
     assert {r.route for r in answers.routed(rows, lambda ps: ["a PATH"] * len(ps)).collect()} == {"path"}
     judged = answers.judged(rows.withColumn("expected", F.lit("x")).withColumn("answer", F.lit("y")), lambda ps: ["O" if "how" in p else "X" for p in ps])
     assert {(r.qid, r.ok) for r in judged.collect()} == {(1, True), (2, False)}
+    odd = spark.createDataFrame([(k,) for k in ("o\n", "\n\u3000O", " Okay", "x O", "", None)], "answer string").withColumns({"question": F.lit(""), "expected": F.lit("")})
+    echo = answers.judged(odd, lambda ps: [p[2:] for p in ps])
+    assert sorted((r.answer or "", r.ok) for r in echo.collect()) == sorted([("o\n", True), ("\n\u3000O", True), (" Okay", True), ("x O", False), ("", False), ("", False)])
     docs = spark.createDataFrame([(7, ["stay"], "stay long"), (8, ["go"], "go now"), (9, ["eat"], "eat well")], "doc int, terms array<string>, text string")
     basic = answers.basic_answers(docs, rows.withColumn("terms", F.array(F.when(F.col("qid") == 1, "stay").otherwise("none"))), lambda ps: [p[:9] for p in ps])
     assert {r.qid: (r.docs, r.answer) for r in basic.collect()} == {1: ([7], "stay long"), 2: (None, answers.REFUSAL)}
     facts = spark.createDataFrame([(1, 1, "a", "R", "b", ["y", "x"]), (1, 2, "b", "R", "c", ["x"])], "qid int, place int, src string, relation string, dst string, sources array<string>")
     out = {r.qid: r for r in answers.assembled(rows.select("qid"), facts, facts.where("place = 2")).collect()}
     assert out[1].path == ["b R c"] and out[1].sources == ["x", "y"] and out[2].path == []
+
+
+def test_calls_in_a_pool(spark):
+    """Order is kept, failing prompts are tried again and become rows, and a context of blanks isn't sent."""
+    rows = spark.createDataFrame([(k, f"q{k}", " \n\u3000" if k == 3 else f"c{k}") for k in range(20)] + [(20, None, None)], "qid int, question string, context string")
+
+    def model(prompts):
+        assert len(prompts) == 1 and "q3" not in prompts[0]
+        n = int(prompts[0].split("q")[1].split("\n")[0])
+        if n % 5 == 0 and answers.ASK_REPLY in prompts[0]:
+            raise ValueError(f"no {n}")
+        return f'{{"verdict": "v{n}", "steps": ["a", "b"]}}' if n % 2 else f"plain {n}"
+
+    def one(prompts):
+        return [model(prompts)]
+
+    told = F.when(F.col("qid") != 3, F.concat(F.col("question"), F.lit(answers.ASK_REPLY)))
+    got = {r.qid: (r.said, r.why) for r in answers.replied(rows.where("qid < 20"), told, one, "said", failed="why").collect()}
+    assert got[5] == (None, "ValueError: no 5") and got[4] == ("plain 4", None) and got[3] == (None, None) and len(got) == 20
+    out = {r.qid: r for r in answers.synthesised(rows, one, structured=True).collect()}
+    assert out[7].answer == "v7\n\n1. a\n2. b" and out[7].reply.verdict == "v7" and out[7].reply.steps == ["a", "b"]
+    assert out[4].answer == "plain 4" and out[4].reply is None and out[10].answer == "plain 10" and out[3].answer == answers.REFUSAL == out[20].answer
+    with pytest.raises(Exception, match="no 5"):
+        answers.replied(rows.where("qid = 5"), told, one, "said").collect()
+
+
+def test_default_names_and_numbers(spark):
+    items = spark.createDataFrame([(0, "t", 0, "E-7", "work"), (0, "t", 1, "E-7", "later"), (1, "t", 0, "D-2", "")], "doc_ord int, title string, pos int, code string, label string")
+    assert {(r.code, r.label) for r in rules.known_names(items).collect()} == {("E-7", "work"), (rules.SETTLED_CODE, rules.SETTLED)}
+    row = spark.createDataFrame([("stay 5   year, \uff13\u3000month, 2day", "for 2 day")], "a string, c string")
+    assert row.select(text.unsupported_numbers(F.col("a"), F.col("c")).alias("n")).first().n == ["5   year", "\uff13\u3000month"]

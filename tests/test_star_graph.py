@@ -25,16 +25,15 @@ def brute(edges):
 
 
 def test_fixpoint_as_brute_force(spark):
-    spark.sparkContext.setCheckpointDir("/tmp/spark-checkpoints")
     rng = random.Random(5)
     chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)]
     for pairs in (chain, [(f"a{rng.randrange(30):02}", f"b{rng.randrange(30):02}") for _ in range(45)]):
-        got = paths.settled_communities(spark.createDataFrame([(a, "R", b) for a, b in pairs], "src string, relation string, dst string"))
+        got = paths.communities(spark.createDataFrame([(a, "R", b) for a, b in pairs], "src string, relation string, dst string"))
         assert {r.node: (r.community, r.settled) for r in got.collect()} == brute(pairs)
 
 
 def test_whole_graph(spark):
-    edges = [(r.src, r.dst) for r in registry.star_edges(spark, SF).collect()]
+    edges = [(r.src, r.dst) for r in registry.star_edges(spark, SF, supplied=True).collect()]
     assert {r.node: (r.community, r.settled) for r in registry.queries()["star_communities"](spark, SF).collect()} == brute(edges)
     root = {n: n for e in edges for n in e}
 

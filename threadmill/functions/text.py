@@ -88,10 +88,11 @@ def route(reply: Column) -> Column:
 
 
 def unsupported_numbers(answer: Column, context: Column, units: str = "year|month|day|%") -> Column:
-    """Numbers with a unit that the context doesn't have, white space aside."""
-    bare = F.regexp_replace(context, r"\s+", "")
-    found = F.regexp_extract_all(answer, F.lit(rf"([0-9]+ ?(?:{units}))"), F.lit(1))
-    return F.filter(found, lambda n: ~F.contains(bare, F.regexp_replace(n, r"\s+", "")))
+    """Numbers with a unit that the context doesn't have, white space aside. Digits and white space are Unicode's, and any
+    amount of it may stand between number and unit."""
+    bare = F.regexp_replace(context, r"(?U)\s+", "")
+    found = F.regexp_extract_all(answer, F.lit(rf"(?U)(\d+\s*(?:{units}))"), F.lit(1))
+    return F.filter(found, lambda n: ~F.contains(bare, F.regexp_replace(n, r"(?U)\s+", "")))
 
 
 def render(verdict: Column, steps: Column, details: Column, unknown: Column) -> Column:

@@ -4,6 +4,7 @@ the rows that need it, in tasks, so that many questions are one plan."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,26 +12,51 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from .retrieve import bm25
-from .store import ship
+from .store import settled, ship
 
 Model = Callable[[list[str]], list[str]]
 REFUSAL = "The sources don't say."
+#: Calls that a task has open at once, and how often a prompt is tried.
+WORKERS, TRIES = 8, 2
+#: What a structured reply has.
+REPLY = "struct<verdict: string, steps: array<string>, details: string, unknown: string>"
+ASK_REPLY = "\n\nReply as a JSON object with verdict, steps (an array), details and unknown."
 
 
-def replied(rows: DataFrame, prompt: Column, model: Model, name: str) -> DataFrame:
-    """rows with a column `name`: the model's reply to the prompt; a null prompt isn't sent and stays null."""
+def _told(model: Model, prompt: str, tries: int) -> tuple[str | None, str | None]:
+    """A reply, or what went wrong the last time."""
+    wrong = None
+    for _ in range(max(1, tries)):
+        try:
+            return model([prompt])[0], None
+        except Exception as e:  # a model may fail in any way
+            wrong = f"{type(e).__name__}: {e}"
+    return None, wrong
+
+
+def replied(rows: DataFrame, prompt: Column, model: Model, name: str, failed: str | None = None, workers: int = WORKERS, tries: int = TRIES) -> DataFrame:
+    """rows with a column `name`: the model's reply to the prompt; a null prompt isn't sent and stays null.
+
+    Each task has at most `workers` calls open, of one prompt each, and tries each prompt `tries` times; rows keep their
+    order. With `failed`, a prompt that fails is a null reply and a column of that name tells why; else the job fails."""
     ship(rows.sparkSession)
-    asked = rows.withColumn(name, prompt.cast("string"))
+    why = failed or "why_no_reply"
+    asked = rows.withColumn(name, prompt.cast("string")).withColumn(why, F.lit(None).cast("string"))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            some = b[name].notna()
-            out = pd.Series([None] * len(b), index=b.index, dtype=object)
-            if some.any():
-                out[some] = model(b.loc[some, name].tolist())
-            yield b.assign(**{name: out})
+        with ThreadPoolExecutor(workers) as pool:
+            for b in batches:
+                some = b.index[b[name].notna()]
+                got = list(pool.map(lambda p: _told(model, p, tries), b.loc[some, name].tolist()))
+                reply, wrong = (pd.Series([None] * len(b), index=b.index, dtype=object) for _ in range(2))
+                for i, (text, error) in zip(some, got):
+                    reply[i], wrong[i] = text, error
+                if failed is None and wrong.notna().any():
+                    raise RuntimeError(wrong[wrong.notna()].iloc[0])
+                yield b.assign(**{name: reply, why: wrong})
 
-    return asked.mapInPandas(ask, StructType([f if f.name != name else StructField(name, StringType()) for f in asked.schema]))
+    out = asked.mapInPandas(ask, StructType([f if f.name not in (name, why) else StructField(f.name, StringType()) for f in asked.schema]))
+    return out if failed else out.drop(why)
 
 
 def routed(questions: DataFrame, model: Model) -> DataFrame:
@@ -49,11 +75,21 @@ def basic_answers(docs: DataFrame, questions: DataFrame, model: Model, top: int
     return synthesised(questions.select("qid", "question").join(context, "qid", "left"), model).select("qid", "docs", "answer")
 
 
-def synthesised(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (question, context) with answer. Without context it is the refusal, and the model isn't asked."""
-    has = F.coalesce("context", F.lit("")) != ""
-    said = replied(rows, F.when(has, F.concat("context", F.lit("\n\n"), "question")), model, "answer")
-    return said.withColumn("answer", F.coalesce("answer", F.lit(REFUSAL)))
+def synthesised(rows: DataFrame, model: Model, structured: bool = False) -> DataFrame:
+    """Rows (question, context) with answer. A context of white space alone is none: the answer is the refusal, and
+    the model isn't asked. structured adds reply (D14), asked for as JSON, and the answer is its text (F15); where a call
+    fails or its reply can't be read, the model is asked once more for plain text, and reply is null."""
+    has = F.coalesce(F.rlike("context", F.lit(r"(?U)\S")), F.lit(False))
+    told = F.when(has, F.concat("context", F.lit("\n\n"), F.coalesce("question", F.lit(""))))
+    if not structured:
+        said = replied(rows, told, model, "answer")
+        return said.withColumn("answer", F.coalesce("answer", F.lit(REFUSAL)))
+    said = replied(rows, F.concat(told, F.lit(ASK_REPLY)), model, "said", failed="why_no_reply").withColumn("reply", F.from_json("said", REPLY))
+    some = F.coalesce(F.col("reply.verdict"), F.col("reply.details"), F.col("reply.unknown"), F.array_join("reply.steps", "")).isNotNull()
+    said = settled(said.withColumn("reply", F.when(some, F.col("reply"))).drop("said", "why_no_reply"))
+    plain = replied(said, F.when(F.col("reply").isNull(), told), model, "answer")
+    shown = T.render(F.col("reply.verdict"), F.coalesce("reply.steps", F.array().cast("array<string>")), F.col("reply.details"), F.col("reply.unknown"))
+    return plain.withColumn("answer", F.coalesce(F.when(F.col("reply").isNotNull(), shown), F.trim("answer"), F.lit(REFUSAL)))
 
 
 def verified(rows: DataFrame, model: Model, units: str = "year|month|day|%") -> DataFrame:
@@ -65,9 +101,10 @@ def verified(rows: DataFrame, model: Model, units: str = "year|month|day|%") ->
 
 
 def judged(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows (question, expected, answer) with ok: the judge's reply starts with O."""
+    """Rows (question, expected, answer) with ok: the judge's reply starts with O, whatever its case, white space
+    aside."""
     said = replied(rows, F.concat_ws("\n", "question", "expected", "answer"), model, "ok")
-    return said.withColumn("ok", F.coalesce(F.startswith(F.trim("ok"), F.lit("O")), F.lit(False)))
+    return said.withColumn("ok", F.coalesce(F.startswith(F.upper(F.regexp_replace("ok", r"(?U)^\s+", "")), F.lit("O")), F.lit(False)))
 
 
 def assembled(answers: DataFrame, evidence: DataFrame, paths: DataFrame) -> DataFrame:

@@ -51,12 +51,12 @@ def evidence_line(src: Column, relation: Column, dst: Column, hop: Column, sourc
     return F.format_string(form, src, relation, dst, hop, F.array_join(sources, "; "))
 
 
-def contexts(evidence: DataFrame, labels: DataFrame, quoted: DataFrame, before: DataFrame | None = None, heads: tuple[str, str] = ("Facts:", "Quotes:"), most: int = 60) -> DataFrame:
+def contexts(evidence: DataFrame, labels: DataFrame, quoted: DataFrame, before: DataFrame | None = None, heads: tuple[str, str] = ("Facts:", "Quotes:")) -> DataFrame:
     """E5: (qid, context): what was there before (qid, context), the lines of evidence in their order but for summaries,
-    and the quotes. A question without such evidence keeps what was there before. most bounds the lines of a question
-    (evidence has a cap of its own)."""
+    and the quotes. A question without such evidence keeps what was there before. All lines are there: evidence
+    has a cap of its own."""
     named = small(settled(labels.select("node", T.label(F.col("node"), F.col("label")).alias("name"))))
-    rows = evidence.where(F.col("relation") != SUMMARY).where(F.col("place") <= most)
+    rows = evidence.where(F.col("relation") != SUMMARY)
     for c in ("src", "dst"):
         rows = rows.join(named.select(F.col("node").alias(c), F.col("name").alias(f"{c}_name")), c, "left")
     line = evidence_line(F.coalesce("src_name", "src"), F.col("relation"), F.coalesce("dst_name", "dst"), F.col("hop"), F.col("sources"))

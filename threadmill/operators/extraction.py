@@ -21,7 +21,8 @@ def prompt(title: Column, body: Column, types: list[str], relations: list[tuple[
 
 def extracted(docs: DataFrame, types: list[str], relations: list[tuple[str, str, str]], model: Model, rules: str = "", cache: str | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """Triples (ord, h, r, t, origin, src) of documents (doc_ord, title, body), and (doc_ord, title) of those whose
-    reply isn't JSON of that form, null, or empty; an empty array is a reply, of no facts.
+    call failed, or whose reply isn't JSON of that form, null, or empty; an empty array is a reply, of no facts. Calls
+    run several at once in each task; one that fails is a row of these, and is asked again by the next run.
 
     Documents of the same title and body are asked once. cache is a folder for replies, by a hash of the prompt: what is
     there isn't asked again, so a changed document or schema is; force asks for all. Without it replies are checkpointed. Facts outside
@@ -30,9 +31,9 @@ def extracted(docs: DataFrame, types: list[str], relations: list[tuple[str, str,
     told = prompt(F.col("title"), F.col("body"), types, relations, rules)
     asked = docs.withColumn("key", F.sha2(told, 256))
     todo = asked.select("key", told.alias("told")).dropDuplicates(["key"])
-    ask = lambda rows: replied(rows, F.col("told"), model, "reply").select("key", "reply")
+    ask = lambda rows: replied(rows, F.col("told"), model, "reply", failed="why").where("why is null").select("key", "reply")
     replies = settled(ask(todo)) if cache is None else kept_in_cache(todo, cache, "key", ask, force)
-    read = settled(asked.join(replies, "key").select("doc_ord", "title", F.from_json("reply", REPLY).alias("facts")))
+    read = settled(asked.join(replies, "key", "left").select("doc_ord", "title", F.from_json("reply", REPLY).alias("facts")))
     rows = read.select("doc_ord", F.coalesce("title", F.lit("")).alias("src"), F.posexplode("facts").alias("pos", "x")).select("doc_ord", "src", "pos", "x.*")
     name = lambda c: F.upper(F.regexp_replace(F.trim(c), r"\s+", "_"))
     shape = F.concat_ws("\t", name("head_type"), name("relation"), name("tail_type"))

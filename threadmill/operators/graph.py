@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import settled, small
+from .store import heavy_keys, settled, small, spread_join
 
 FACT = ["src", "relation", "dst"]
 
@@ -135,15 +135,17 @@ def node_types(edges: DataFrame, rules: list[tuple[str, str, str]], default: str
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node that edges lead to, by label passing with shortcuts to a fixpoint. Every
-    round is checkpointed to the shared folder."""
+    """(node, component): the smallest node that edges lead to, by label passing with shortcuts to a fixpoint. Labels
+    meet a node's neighbours, and nodes their component's label, in slices where these are many; what a node hears is
+    added up in every task first. Every round is checkpointed to the shared folder."""
     both = settled(endpoints(edges).select("node", "other").distinct())
+    heavy = heavy_keys(both, "other")
     labels = settled(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
     for _ in range(most_rounds):
-        said = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))
-        new = labels.join(said, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("was"))
+        said = spread_join(both, labels.select(F.col("node").alias("other"), "component"), "other", heavy).groupBy("node").agg(F.min("component").alias("heard"))
+        new = settled(labels.join(said, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("was")))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("beyond"))
-        new = settled(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("beyond", "component")).alias("component"), "was"))
+        new = settled(spread_join(new, jump, "component", heavy_keys(new, "component"), "left").select("node", F.least("component", F.coalesce("beyond", "component")).alias("component"), "was"))
         if new.where("component <> was").isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")

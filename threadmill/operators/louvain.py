@@ -1,81 +1,156 @@
-"""Communities by Louvain's method as joins: nodes move to the neighbouring community of the highest gain in modularity,
-then communities become the nodes of the next level."""
+"""Communities by Louvain's method: nodes move to the neighbouring community of the highest gain in modularity, inside
+partitions with all their edges at hand; then communities become the nodes of the next level."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
 
-from .store import settled
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
-WANTS = "more > 1e-9"
+from .store import heavy_keys, settled, ship, spread_join
 
+#: Edges that a task holds, about. A node with more than the share HUB of them is a hub: its edges are added up by
+#: community instead, and it moves by itself.
+EDGES_PER_TASK, HUB = 1 << 20, 0.25
+LEAST = 1e-9
 
-def _scored(near: DataFrame, nodes: DataFrame, twice: int) -> DataFrame:
-    """nodes (node, k, loops, c) with best, the community of the highest gain, more, what it has over staying, and
-    inner, the weight of edges to c."""
-    tot = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
-    links = near.join(nodes.select(F.col("node").alias("other"), "c"), "other").groupBy("node", "c").agg(F.sum("w").alias("w"))
-    own = nodes.select("node", "c", F.lit(0).cast("long").alias("w"))  # a node may have no edge to its own community
-    links = links.unionByName(own).groupBy("node", "c").agg(F.sum("w").alias("w")).join(tot, "c").withColumnRenamed("c", "to")
-    rows = links.join(nodes, "node").withColumn("stays", F.col("to") == F.col("c"))
-    gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("stays"), F.col("k")).otherwise(0)).cast("double") / twice
-    found = rows.withColumn("gain", gain).groupBy("node").agg(
-        F.first("k").alias("k"), F.first("loops").alias("loops"), F.first("c").alias("c"), F.min_by("to", F.struct(-F.col("gain"), "to")).alias("best"),
-        F.max("gain").alias("high"), F.max(F.when(F.col("stays"), F.col("gain"))).alias("low"), F.max(F.when(F.col("stays"), F.col("w"))).alias("inner"),
-    )
-    return found.select("node", "k", "loops", "c", "best", (F.col("high") - F.col("low")).alias("more"), "inner")
 
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """(name, id): distinct names with their place in order, from 0, counted by ranges."""
+    parts = settled(names.select(name).distinct().repartitionByRange(name).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offset = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1
+    return parts.withColumn("place", place).join(F.broadcast(offset), "part").select(name, (F.col("offset") + F.col("place")).alias("id"))
 
 
-def _halves(step: DataFrame, turn: int) -> DataFrame:
-    """Moves of one half of the nodes in each of two turns; halves are drawn anew by another bit of a hash for the next
-    two. If all moved at once, they would change places for ever."""
-    moves = F.expr(WANTS) & (F.shiftright(F.xxhash64("node"), (turn // 2) % 60).bitwiseAND(F.lit(1)) == turn % 2)
-    return step.select("node", "k", "loops", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("c"))
+def moved(rows: pd.DataFrame, twice: int, least_gain: float) -> pd.DataFrame:
+    """One part's rows -> (node, to, inner): the community of each of its nodes after moves one by one, and the weight of
+    its edges to the community it had before.
 
+    rows: a row for each node (other null; its k, community c and that one's tot), and one for each edge of them (node,
+    other, w, and c and tot of other). Communities of other parts' nodes stand still meanwhile. Nodes go in order, round
+    after round, until a round gains less than least_gain in modularity."""
+    own = rows[rows["other"].isna()].sort_values("node")
+    ids, k, c = own["node"].tolist(), own["k"].astype("int64").tolist(), own["c"].tolist()
+    place = {n: i for i, n in enumerate(ids)}
+    tot = dict(zip(rows["c"].tolist(), rows["tot"].tolist()))
+    inside: list[list] = [[] for _ in ids]
+    beyond: list[dict] = [{} for _ in ids]
+    inner = [0] * len(ids)
+    edges = rows[rows["other"].notna()].sort_values(["node", "other"])
+    for node, other, w, at in zip(edges["node"].tolist(), edges["other"].astype("int64").tolist(), edges["w"].astype("int64").tolist(), edges["c"].tolist()):
+        i = place[node]
+        if at == c[i]:
+            inner[i] += w
+        j = place.get(other)
+        if j is None:
+            beyond[i][at] = beyond[i].get(at, 0) + w
+        else:
+            inside[i].append((j, w))
+    while True:
+        won = 0.0
+        for i in range(len(ids)):
+            links = dict(beyond[i])
+            for j, w in inside[i]:
+                links[c[j]] = links.get(c[j], 0) + w
+            now = c[i]
+            best, high = now, links.get(now, 0) - k[i] * (tot[now] - k[i]) / twice
+            low = high
+            for at, w in links.items():
+                gain = w - k[i] * (tot[at] - (k[i] if at == now else 0)) / twice
+                if gain > high + LEAST or (at < best and best != now and abs(gain - high) <= LEAST):
+                    best, high = at, gain
+            if best != now:
+                tot[now] -= k[i]
+                tot[best] += k[i]
+                c[i] = best
+                won += 2 * (high - low) / twice
+        if won < least_gain:
+            return pd.DataFrame({"node": ids, "to": c, "inner": inner})
 
-def _level(near: DataFrame, nodes: DataFrame, twice: int, most_turns: int, least_gain: float, patience: int = 6) -> tuple[DataFrame, float]:
-    """The best division that moves of single nodes lead to, and its modularity. Ends when no node wants to move or when
-    `patience` turns in a row bring less than least_gain each."""
+
+def _hubs_moved(near: DataFrame, lab: DataFrame, hubs: DataFrame, twice: int) -> DataFrame:
+    """(node, to, inner) of hubs: their edges are added up by community in every task before they meet."""
+    links = near.join(F.broadcast(hubs), "node").join(lab.select(F.col("node").alias("other"), F.col("c").alias("at")), "other").groupBy("node", "at").agg(F.sum("w").alias("w"))
+    own = lab.join(F.broadcast(hubs), "node").select("node", "k", F.col("c").alias("now"))
+    links = links.unionByName(own.select("node", F.col("now").alias("at"), F.lit(0).cast("long").alias("w"))).groupBy("node", "at").agg(F.sum("w").alias("w"))
+    links = links.join(lab.groupBy(F.col("c").alias("at")).agg(F.first("tot").alias("tot")), "at").join(F.broadcast(own), "node")
+    stays = F.col("at") == F.col("now")
+    gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0)).cast("double") / twice
+    found = links.withColumn("gain", gain).groupBy("node").agg(
+        F.first("now").alias("now"), F.min_by("at", F.struct(-F.col("gain"), "at")).alias("best"), F.max("gain").alias("high"), F.max(F.when(stays, F.col("gain"))).alias("low"), F.max(F.when(stays, F.col("w"))).alias("inner")
+    )
+    return found.select("node", F.when(F.col("high") > F.col("low") + LEAST, F.col("best")).otherwise(F.col("now")).alias("to"), "inner")
+
+
+def _level(near: DataFrame, nodes: DataFrame, twice: int, most_turns: int, least_gain: float, per_task: int, patience: int = 4) -> tuple[DataFrame, float]:
+    """The best division that moves of single nodes lead to, and its modularity. Ends when no node wants to move, or when
+    `patience` turns in a row bring less than least_gain each. Of several parts one half moves in each turn, drawn anew
+    for every two: neighbours in two parts seldom move at once, and the best division seen is kept."""
+    parts = max(1, math.ceil(near.count() / per_task))
+    of = F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")
+    hubs = settled(near.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB * per_task).select("node")) if parts > 1 else None  # parts / HUB at most
+    loose = near if hubs is None else near.join(F.broadcast(hubs), "node", "left_anti")
+    heavy = heavy_keys(loose, "other") if parts > 1 else None
     best, high, idle = nodes, float("-inf"), 0
     for turn in range(most_turns):
-        step = settled(_scored(near, nodes, twice))
-        parts = step.groupBy("c").agg(F.sum(F.col("inner") + F.col("loops")).alias("inside"), F.sum("k").cast("double").alias("tot"), F.count_if(F.expr(WANTS)).alias("wanting"))
-        inside, squares, wanting = parts.agg(F.sum("inside"), F.sum(F.col("tot") * F.col("tot")), F.sum("wanting")).first()
+        tot = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
+        lab = settled(spread_join(nodes, tot, "c", heavy_keys(nodes, "c") if parts > 1 else None))
+        far = spread_join(loose, lab.select(F.col("node").alias("other"), "c", "tot"), "other", heavy)
+        few = lab if hubs is None else lab.join(F.broadcast(hubs), "node", "left_anti")
+        null = F.lit(None).cast("long")
+        rows = far.select("node", "other", "w", "c", "tot", null.alias("k")).unionByName(few.select("node", null.alias("other"), null.alias("w"), "c", "tot", "k"))
+        step = rows.withColumn("part", of).groupBy("part").applyInPandas(lambda pdf: moved(pdf, twice, least_gain / 10), "node long, to long, inner long")
+        if hubs is not None:
+            step = step.unionByName(_hubs_moved(near, lab, hubs, twice))
+        step = settled(step.join(nodes, "node").withColumn("part", of))
+        sums = step.groupBy("c").agg(F.sum(F.col("inner") + F.col("loops")).alias("inside"), F.sum("k").cast("double").alias("tot"), F.count_if(F.col("to") != F.col("c")).alias("wanting"))
+        inside, squares, wanting = sums.agg(F.sum("inside"), F.sum(F.col("tot") * F.col("tot")), F.sum("wanting")).first()
         now = inside / twice - squares / twice / twice
         idle = 0 if now > high + least_gain else idle + 1
         if now > high:
-            best, high = step, now
+            best, high = step.select("node", "k", "loops", "c"), now
         if not wanting or idle == patience:
             break
-        nodes = _halves(step, turn)
-    return best.select("node", "k", "loops", "c"), high
+        turns = F.lit(True) if parts == 1 else F.shiftright(F.xxhash64("part"), (turn // 2) % 60).bitwiseAND(F.lit(1)) == turn % 2
+        nodes = settled(step.select("node", "k", "loops", F.when(turns, F.col("to")).otherwise(F.col("c")).alias("c")))
+    return best, high
 
 
-def louvain(edges: DataFrame, most_turns: int = 60, least_gain: float = 1e-4) -> DataFrame:
+def louvain(edges: DataFrame, most_turns: int = 60, least_gain: float = 1e-4, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, community) of edges (src, relation, dst), each counting once in either direction; a community is named
     by its smallest node. Facts between the same nodes add up, and a fact from a node to itself is in its community.
 
-    A level ends when no node wants to move, when turns bring less than least_gain in modularity, or after most_turns,
-    with the best division seen; levels end when one brings less than least_gain. The result doesn't depend on partitions. It isn't the division that a loop over nodes one by
-    one finds, but one to the same measure: two nodes that fall into one half in three draws in a row, and would both move
-    to each other, can stay apart. Neighbours are added up by community before they meet a node."""
-    near = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).where("node <> other")
-    near = settled(near.unionByName(near.select(F.col("other").alias("node"), F.col("node").alias("other"))).groupBy("node", "other").agg(F.count("*").alias("w")))
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), (F.col("src") == F.col("dst")).cast("long").alias("loops"))
-    nodes = settled(ends.groupBy("node").agg(F.count("*").alias("k"), F.sum("loops").alias("loops")).withColumn("c", F.col("node")))
+    Nodes get numbers once; edges with them are stored once a level. In a turn, each part of some per_task edges moves
+    its own nodes one by one, with totals and communities of all others as they were; hubs move apart. A graph of one
+    part, as the later levels of a large one are, settles in a turn. A level ends when no node wants to move, when turns
+    bring less than least_gain in modularity, or after most_turns, with the best division seen; levels end when one
+    brings less than least_gain. The result doesn't depend on how the input is partitioned."""
+    ship(edges.sparkSession)
+    ids = settled(numbered(edges.select(F.explode(F.array("src", "dst")).alias("name")), "name"))
+    rows = settled(edges.select("src", "dst"))
+    pairs = settled(spread_join(rows, ids.select(F.col("name").alias("src"), F.col("id").alias("node")), "src", heavy_keys(rows, "src")))
+    pairs = spread_join(pairs, ids.select(F.col("name").alias("dst"), F.col("id").alias("other")), "dst", heavy_keys(pairs, "dst"))
+    pairs = settled(pairs.groupBy("node", "other").agg(F.count("*").alias("w")))
+    near = pairs.where("node <> other")
+    near = settled(near.unionByName(near.select(F.col("other").alias("node"), F.col("node").alias("other"), "w")).groupBy("node", "other").agg(F.sum("w").alias("w")))
+    ends = pairs.select(F.explode(F.array("node", "other")).alias("node"), "w", F.when(F.col("node") == F.col("other"), F.col("w")).otherwise(0).alias("loops"))
+    nodes = settled(ends.groupBy("node").agg(F.sum("w").alias("k"), F.sum("loops").alias("loops")).withColumn("c", F.col("node")))
     found, twice, last = nodes.select("node", F.col("node").alias("at")), nodes.agg(F.sum("k")).first()[0], float("-inf")
     while twice:
-        parts, now = _level(near, nodes, twice, most_turns, least_gain)
-        found = settled(found.join(parts.select(F.col("node").alias("at"), "c"), "at").select("node", F.col("c").alias("at")))
+        level, now = _level(near, nodes, twice, most_turns, least_gain, per_task)
+        found = settled(found.join(level.select(F.col("node").alias("at"), "c"), "at").select("node", F.col("c").alias("at")))
         if now < last + least_gain:
             break
         last = now
-        a, b = (parts.select(F.col("node").alias(n), F.col("c").alias(f"{n}_c")) for n in ("node", "other"))
-        joined = settled(near.join(a, "node").join(b, "other").groupBy(F.col("node_c").alias("node"), F.col("other_c").alias("other")).agg(F.sum("w").alias("w")))
-        sums = parts.groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k"), F.sum("loops").alias("loops"))
+        a, b = (level.select(F.col("node").alias(n), F.col("c").alias(f"{n}_c")) for n in ("node", "other"))
+        joined = settled(spread_join(spread_join(near, a, "node", heavy_keys(near, "node")), b, "other", heavy_keys(near, "other")).groupBy(F.col("node_c").alias("node"), F.col("other_c").alias("other")).agg(F.sum("w").alias("w")))
+        sums = level.groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k"), F.sum("loops").alias("loops"))
         inner = joined.where("node = other").select("node", F.col("w").alias("within"))
         nodes = settled(sums.join(inner, "node", "left").select("node", "k", (F.col("loops") + F.coalesce("within", F.lit(0))).alias("loops"), F.col("node").alias("c")))
-        near = joined.where("node <> other")
-    names = found.groupBy("at").agg(F.min("node").alias("community"))
-    return found.join(names, "at").select("node", "community")
+        near = settled(joined.where("node <> other"))
+    names = found.groupBy("at").agg(F.min("node").alias("id"))
+    named = spread_join(found, names.join(ids.select("id", F.col("name").alias("community")), "id").select("at", "community"), "at", heavy_keys(found, "at"))
+    return named.join(ids.select(F.col("id").alias("node"), F.col("name")), "node").select(F.col("name").alias("node"), "community")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import FACT, degrees, endpoints
-from .store import settled, ship
+from .store import heavy_keys, settled, ship, spread_join
 
 
 def shortest(facts: list[tuple[str, str, str]], start: str, goals: set[str]) -> set[tuple[str, str, str]]:
@@ -55,37 +55,24 @@ def key_paths(evidence: DataFrame, seeds: DataFrame, goals: DataFrame) -> DataFr
     return rows.mapInPandas(find, f"qid {kind}, src string, relation string, dst string")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by label passing, both ways: a node takes the label that most of its neighbours and itself
-    have, the smaller on ties, for so many rounds or until nothing changes. Labels are counted before nodes choose, so
-    that a hub's neighbours are added up in every task. Every round is checkpointed."""
-    both = endpoints(edges).select("node", "other").distinct()
-    both = settled(both.unionByName(both.select("node", F.col("node").alias("other")).distinct()))
-    labels = settled(both.select("node").distinct().withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        said = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
-        new = settled(said.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community")))
-        changed = new.join(labels.withColumnRenamed("community", "was"), "node").where("community <> was")
-        still = changed.isEmpty()
-        labels = new
-        if still:
-            break
-    return labels
-
-
-def settled_communities(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, community, settled) by communities' rule until no label changes, or until the labels are those of an
-    earlier round: then they go round for ever, and of those in turn the last are given. settled is false for a node that
-    would still change. Raises an error if neither has happened after most_rounds."""
+def communities(edges: DataFrame, rounds: int | None = None, most_rounds: int = 100) -> DataFrame:
+    """(node, community, settled) by label passing, both ways: a node takes the label that most of its neighbours and
+    itself have, the smaller on ties, until no label changes, or until the labels are those of an earlier round: then
+    they go round for ever, and of those in turn the last are given. settled is false for a node that would still change.
+    With `rounds`, the labels after so many. Raises an error if labels still change after most_rounds.
+
+    Labels meet a node's neighbours in slices where these are many, and are counted in every task before nodes choose.
+    Every round is checkpointed."""
     both = endpoints(edges).select("node", "other").distinct()
     both = settled(both.unionByName(both.select("node", F.col("node").alias("other")).distinct()))
+    heavy = heavy_keys(both, "other")
     labels, seen = settled(both.select("node").distinct().withColumn("community", F.col("node"))), set()
-    for _ in range(most_rounds):
-        said = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
+    for k in range(most_rounds + 1):
+        said = spread_join(both, labels.select(F.col("node").alias("other"), "community"), "other", heavy).groupBy("node", "community").agg(F.count("*").alias("n"))
         new = said.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), "community")).alias("community"))
         new = settled(new.join(labels.withColumnRenamed("community", "was"), "node"))
         changed, *mark = new.agg(F.count_if(F.col("community") != F.col("was")), F.bit_xor(F.xxhash64("node", "community")), F.sum(F.xxhash64("community", "node").cast("decimal(38)"))).first()
-        if not changed or tuple(mark) in seen:
+        if not changed or tuple(mark) in seen or k == rounds:
             return new.select("node", F.col("was").alias("community"), (F.col("community") == F.col("was")).alias("settled"))
         seen.add(tuple(mark))
         labels = new.select("node", "community")

@@ -57,6 +57,14 @@ def code_names(items: DataFrame) -> DataFrame:
     return triples(first, 1, F.col("code"), "NAMED", F.col("label"))
 
 
+def known_names(items: DataFrame, defaults: list[tuple[str, str]] = ((SETTLED_CODE, SETTLED),)) -> DataFrame:
+    """(code, label): the first label of each code, and defaults for codes that no item names: the settled status has
+    an annex of its own and stands in no list."""
+    first = items.where("label <> ''").groupBy("code").agg(F.min_by("label", F.struct("doc_ord", "pos")).alias("label"))
+    more = items.sparkSession.createDataFrame(list(defaults), "code string, label string")
+    return first.unionByName(more.join(first.select("code"), "code", "left_anti"))
+
+
 def code_order(items: DataFrame) -> DataFrame:
     """(code, pos): the codes of the annex of long stays as they come, which is what a range of codes means."""
     first = items.where(F.contains("title", F.lit(LONG))).groupBy("code").agg(F.min(F.struct("doc_ord", "pos")).alias("at"))

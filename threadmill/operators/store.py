@@ -15,10 +15,14 @@ _shipped: set[str] = set()
 
 def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that spark.checkpoint.dir names: cuts lineage and survives lost executors. Where the
-    session names none, as in local runs, a temporary folder is set."""
+    session names none, a local master gets a temporary folder; on a cluster that is an error, for no folder of one
+    machine is seen by others."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -27,6 +31,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key that meet in one task in a join by spread_join, about.
+ROWS_PER_SLICE = 100_000
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """(key, slices) of the keys that have more than ROWS_PER_SLICE rows, of which there are rows / ROWS_PER_SLICE at
+    most; None where there are no more rows than that in all. rows should be settled or a stored table."""
+    if rows.limit(ROWS_PER_SLICE + 1).count() <= ROWS_PER_SLICE:
+        return None
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_SLICE)
+    return small(settled(counts.select(key, F.ceil(F.col("n") / ROWS_PER_SLICE).cast("int").alias("slices"))))
+
+
+def spread_join(rows: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with right, which has a row for each key at most. Rows of a heavy key (heavy_keys of rows) are dealt
+    into slices by all of their columns, and right's row goes to each slice: no key is one task's."""
+    if heavy is None:
+        return rows.join(right, key, how)
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("slices", F.lit(1))).cast("int")
+    left = rows.join(heavy, key, "left").withColumn("slice", dealt).drop("slices")
+    copies = right.join(heavy, key, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+    return left.join(copies, [key, "slice"], how).drop("slice")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application, so that no executor needs it installed."""
     sc = spark.sparkContext

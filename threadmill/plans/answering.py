@@ -241,7 +241,7 @@ def evidence_quotes(spark, sf_dir):
 
 
 @query(r"""WITH e AS MATERIALIZED (SELECT item_id % 10 AS qid, item_id::INT AS place, coalesce(regexp_extract_all(text, '[A-Za-z]{5,}')[1], 'none') AS src, coalesce(regexp_extract_all(text, '[A-Za-z]{5,}')[2], 'none') AS dst, item_id FROM benchmark)
-    SELECT qid, 'Facts:' || chr(10) || string_agg('(' || src || ') -[SAYS]-> (' || dst || ')   [1 hops, source: doc ' || item_id || '; doc ' || (item_id + 1) || '; doc ' || (item_id + 2) || ']', chr(10) ORDER BY place) AS context FROM e WHERE place <= 60 GROUP BY 1""")
+    SELECT qid, 'Facts:' || chr(10) || string_agg('(' || src || ') -[SAYS]-> (' || dst || ')   [1 hops, source: doc ' || item_id || '; doc ' || (item_id + 1) || '; doc ' || (item_id + 2) || ']', chr(10) ORDER BY place) AS context FROM e GROUP BY 1""")
 def fact_contexts(spark, sf_dir):
     """The lines of evidence as a model is given them, without quotes."""
     rows, docs, labels = cited(spark, sf_dir)
@@ -281,9 +281,8 @@ def skipped_pages(spark, sf_dir):
     named = p.where("page_id % 10 = 0").select("url")
     listed = p.join(named.withColumn("dropped", F.lit(True)).distinct(), "url", "left")
     pages = listed.select(F.when(F.col("dropped"), "dropped").otherwise(F.col("url")).alias("title"), F.col("html").alias("body"), "url")
-    kept, skipped = corpus.screened(pages.select(F.col("title"), "body", "url").withColumn("title", F.col("title")), {"dropped": "no content"})
-    every = pages.join(kept.select("url").withColumn("kept", F.lit(True)), "url", "left").where("kept is null")
-    return every.select(F.col("url").alias("title"), F.when(F.col("title") == "dropped", "no content").otherwise(F.format_string("%d characters", F.char_length("body"))).alias("reason"))
+    _, skipped = corpus.screened(pages, {"dropped": "no content"}, label="url")
+    return skipped
 
 
 @query("""WITH p AS (SELECT page_id, html, instr(html, '<body') AS a FROM pages), q AS (SELECT page_id, a, substr(html, a) AS rest FROM p), r AS (SELECT page_id, a, instr(rest, '>') AS g, substr(rest, instr(rest, '>') + 1) AS inner_ FROM q)

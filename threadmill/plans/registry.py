@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, facts, graph, paths, retrieve, rules
+from ..operators import evaluate, facts, graph, louvain, paths, retrieve, rules
 from ..operators.store import settled
 
 SPINE, BUDGET, DEFAULT, CAP = ["CONTAINS"], {"PLACED_BY": 4, "CONTAINS": 6}, 3, 18
@@ -334,7 +334,7 @@ def entity_links(spark, sf_dir):
 
 
 @query("""SELECT conv_id, turn, CASE WHEN contains(text, 'global') THEN 'global' WHEN contains(text, 'path') THEN 'path' ELSE 'local' END AS route, contains(text, 'sorry') OR contains(text, 'cannot') AS refused,
-    len(list_filter(regexp_extract_all(text, '[0-9]+ ?(year|month|day|%)'), lambda x: NOT contains(regexp_replace(before, '\\s+', '', 'g'), regexp_replace(x, '\\s+', '', 'g'))))::INT AS n_unsupported
+    len(list_filter(regexp_extract_all(text, '[0-9]+\\s*(year|month|day|%)'), lambda x: NOT contains(regexp_replace(before, '\\s+', '', 'g'), regexp_replace(x, '\\s+', '', 'g'))))::INT AS n_unsupported
     FROM (SELECT *, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM conversations)""")
 def answer_checks(spark, sf_dir):
     """Route, refusal and unsupported numbers of each turn, held against the one before."""
@@ -408,7 +408,7 @@ def place_edges(spark, sf_dir) -> DataFrame:
 @query(f"{LABELS} SELECT * FROM l{ROUNDS}")
 def graph_communities(spark, sf_dir):
     """G8 cut to customers, nations and regions and to three rounds of label passing; star_communities has the whole."""
-    return paths.communities(place_edges(spark, sf_dir), ROUNDS)
+    return paths.communities(place_edges(spark, sf_dir), ROUNDS).select("node", "community")
 
 
 @query(f"""{LABELS}, m AS (SELECT count(*)::DOUBLE AS m, count(*) FILTER (s.community = t.community) AS inside FROM e JOIN l{ROUNDS} s ON s.node = a JOIN l{ROUNDS} t ON t.node = b),
@@ -430,25 +430,39 @@ def community_facts(spark, sf_dir):
 @query()
 def star_components(spark, sf_dir):
     """Connected components of all of the graph."""
-    return graph.components(star_edges(spark, sf_dir))
+    return graph.components(star_edges(spark, sf_dir, supplied=True))
 
 
 @query()
 def star_communities(spark, sf_dir):
     """Communities of all of the graph by label passing to a fixpoint, with the nodes that never settle."""
-    return paths.settled_communities(star_edges(spark, sf_dir))
+    return paths.communities(star_edges(spark, sf_dir, supplied=True))
 
 
 @query()
 def star_modularity(spark, sf_dir):
     """How far the communities of all of the graph are from chance."""
-    return paths.modularity(star_edges(spark, sf_dir), star_communities(spark, sf_dir).select("node", "community")).select(F.round("modularity", 6).alias("modularity"))
+    m = paths.modularity(star_edges(spark, sf_dir, supplied=True), star_communities(spark, sf_dir).select("node", "community"))
+    return m.select(F.round("modularity", 6).alias("modularity"))
 
 
 @query()
 def star_community_facts(spark, sf_dir):
     """Sixty facts of each community of all of the graph for its summary."""
-    return paths.community_facts(star_edges(spark, sf_dir), star_communities(spark, sf_dir).select("node", "community"))
+    return paths.community_facts(star_edges(spark, sf_dir, supplied=True), star_communities(spark, sf_dir).select("node", "community"))
+
+
+@query()
+def star_louvain(spark, sf_dir):
+    """Communities of all of the graph by Louvain's method. No SQL: moves go on until none gains."""
+    return louvain.louvain(star_edges(spark, sf_dir, supplied=True))
+
+
+@query()
+def star_louvain_modularity(spark, sf_dir):
+    """How far Louvain's communities of all of the graph are from chance."""
+    m = paths.modularity(star_edges(spark, sf_dir, supplied=True), star_louvain(spark, sf_dir))
+    return m.select(F.round("modularity", 6).alias("modularity"))
 
 
 SIGNATURES = [("Customer", "LOCATED_IN", "Nation"), ("Nation", "PART_OF", "Region"), ("Order", "PLACED_BY", "Customer"), ("Order", "CONTAINS", "Part"), ("Part", "SUPPLIED_BY", "Supplier"), ("Part", "EXEMPT_FROM", "Part")]
