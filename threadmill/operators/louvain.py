@@ -94,6 +94,7 @@ def _level(near: DataFrame, nodes: DataFrame, twice: int, most_turns: int, least
     hubs = settled(near.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB * per_task).select("node")) if parts > 1 else None  # parts / HUB at most
     loose = near if hubs is None else near.join(F.broadcast(hubs), "node", "left_anti")
     heavy = heavy_keys(loose, "other") if parts > 1 else None
+    patience = patience if parts > 1 else 1  # one part has made all its moves in a turn
     best, high, idle = nodes, float("-inf"), 0
     for turn in range(most_turns):
         tot = nodes.groupBy("c").agg(F.sum("k").alias("tot"))

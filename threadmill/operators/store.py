@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,17 +14,28 @@ BROADCAST_ROWS = 200_000
 _shipped: set[str] = set()
 
 
+_own_dir: dict[str, str] = {}
+
+
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir, or a checkpoint folder that was set. Where there is none,
+    a local master gets a temporary folder; on a cluster that is an error, for no folder of one machine is seen by others."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _own_dir.get(sc.applicationId)
+    if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        at = _own_dir.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    return at.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names: cuts lineage and survives lost executors. Where the
-    session names none, a local master gets a temporary folder; on a cluster that is an error, for no folder of one
-    machine is seen by others."""
+    """df written as Parquet to the shared folder, under the application's id, and read again: computed once, cuts
+    lineage, survives lost executors, and later plans read only the columns they need."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    path = f"{_shared_dir(spark)}/{spark.sparkContext.applicationId}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
