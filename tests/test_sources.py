@@ -72,7 +72,7 @@ def test_articles_in_order(spark, tmp_path):
       <art><no>2</no><title>fines</title><own>none</own></art><art><no>3</no><title>stay</title><own>alone</own></art>
       <art><no>4</no><title>stay</own></art></law>"""
     (tmp_path / "law.xml").write_text(text)
-    got, skipped = readers.read_articles(spark, str(tmp_path / "law.xml"), "art", ["no", "title"], "own", [("par", "ptext"), ("item", "itext"), ("sub", "stext")], ("title", "stay"))
+    got, skipped = readers.read_nested_articles(spark, str(tmp_path / "law.xml"), "art", ["no", "title"], "own", [("par", "ptext"), ("item", "itext"), ("sub", "stext")], ("title", "stay"))
     assert sorted(tuple(r) for r in got.collect()) == [("1", "stay", "One says p1 i1 s1 s2 i2 p2 more"), ("3", "stay", "alone")]
     assert [r.reason for r in skipped.collect()] == ["not well formed"]
 

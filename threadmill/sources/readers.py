@@ -26,7 +26,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return out.groupBy("title").agg(F.max_by(F.struct("path", "tags", "body", "raw"), "path").alias("d")).select("d.path", "title", "d.tags", "d.body", "d.raw")
 
 
-def read_articles(spark: SparkSession, path: str, row_tag: str, heads: list[str], own: str, levels: list[tuple[str, str]], wanted: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def read_articles(spark: SparkSession, path: str, row_tag: str, fields: list[str]) -> DataFrame:
+    """Blocks of XML files (row_tag), the text of the fields of each, without tags and with blanks collapsed."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(f"(?s)<{row_tag}[ >](.*?)</{row_tag}>"), F.lit(1))).alias("x"))
+    texts = [F.trim(F.regexp_replace(F.regexp_replace(F.array_join(F.regexp_extract_all("x", F.lit(f"(?s)<{f}>(.*?)</{f}>"), F.lit(1)), " "), r"<!\[CDATA\[|\]\]>|<[^>]+>", " "), r"\s+", " ")).alias(f) for f in fields]
+    return rows.select(*texts)
+
+
+def read_nested_articles(spark: SparkSession, path: str, row_tag: str, heads: list[str], own: str, levels: list[tuple[str, str]], wanted: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Articles (heads, body) of XML files, and skipped (block, reason) of the blocks that aren't well formed.
 
     An article is a row_tag element with the texts `heads`, its `own` text and nested items: levels names each level's
