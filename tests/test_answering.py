@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 from threadmill.functions import similarity, text
-from threadmill.operators import candidates, context, corpus, evaluate, facts, graph, linking, resolve
+from threadmill.operators import candidates, context, corpus, evaluate, facts, graph, linking, resolve, store
 
 
 def brute_links(q, nodes, blocked, vocabulary, loose=85):
@@ -52,9 +52,11 @@ def test_links_as_the_stages_say(spark):
     assert found[0][0] == "E-7" and "체류자격외활동" in found[2] and "F-6" in found[3]
 
 
-def test_accepted_as_the_greedy_walk(spark):
-    """W2 on random graphs with hubs and parallel edges, several seeds."""
-    rng = random.Random(2)
+@pytest.mark.parametrize("seed, slice_rows", [(2, 100_000), (5, 4)])
+def test_accepted_as_the_greedy_walk(spark, monkeypatch, seed, slice_rows):
+    """W2 on random graphs with hubs and parallel edges, several seeds; the second time nodes are joined in slices."""
+    monkeypatch.setattr(store, "ROWS_PER_SLICE", slice_rows)
+    rng = random.Random(seed)
     edges = sorted({(f"n{rng.randrange(14)}", rng.choice("RS"), f"n{rng.randrange(14)}") for _ in range(60)})
     closed = {"n3", "n8"}
     starts = {1: ["n0", "n5"], 2: ["n3"], 3: ["n12", "n1", "n7"]}
@@ -91,6 +93,25 @@ def test_accepted_as_the_greedy_walk(spark):
         assert all(got.get(q, []) == greedy(q, hops, 2) for q in starts)
 
 
+def test_a_seed_of_very_many_facts(spark):
+    """200,000 facts at one seed, each other end with a further one: five of the seed's, then
+    what each leaf accepts at its end, within the budget."""
+    n = 200_000
+    ids = spark.range(n)
+    leaf = F.concat(F.lit("x"), F.lpad(F.col("id").cast("string"), 6, "0"))
+    edges = ids.select(F.lit("hot").alias("src"), F.lit("R").alias("relation"), leaf.alias("dst")).unionByName(ids.select(leaf.alias("src"), F.lit("S").alias("relation"), F.concat(F.lit("y"), F.col("id") % 7).alias("dst")))
+    seeds = spark.createDataFrame([(1, "hot", 0), (2, "x000003", 0), (3, None, 0), (4, "none", 0), (1, "hot", 1)], "qid int, node string, place int")
+    shut = graph.hubs(edges, F.lit(False), 12)
+    edges = store.settled(edges)
+    walked = graph.walk(edges, seeds, shut, 2)
+    weighed = walked.withColumn("base", F.when(F.col("relation") == "S", F.substring("src", 2, 6).cast("double") / n).otherwise(0.0))
+    found = graph.accepted(weighed, seeds, shut, 2)
+    kept = graph.within_budget(found, {"S": 3}, 9, 18, ["ord"]).collect()
+    got = {q: [(r.src, r.relation, r.dst, r.hop) for r in sorted(kept, key=lambda r: r.place) if r.qid == q] for q in (1, 2, 3, 4)}
+    assert got[1] == [("hot", "R", f"x{i:06}", 1) for i in range(5)] + [(f"x{i:06}", "S", f"y{i % 7}", 2) for i in (n - 1, n - 2, n - 3)] + [("hot", "R", f"x{i:06}", 2) for i in range(5, 9)]
+    assert got[2] == [("x000003", "S", "y3", 1), ("hot", "R", "x000003", 1)] and got[3] == got[4] == []
+
+
 def test_hub_exemption(spark):
     e = spark.createDataFrame([("F-5", "R", f"x{i}") for i in range(23)] + [("office", "R", f"x{i}") for i in range(12)] + [("blocked", "R", "x0")], "src string, relation string, dst string")
     assert {r.node for r in graph.hubs(e, F.col("node") == "blocked", passable=F.col("node").rlike(r"^[A-H]-\d+$")).collect()} == {"office", "blocked"}

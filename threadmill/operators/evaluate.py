@@ -13,6 +13,7 @@ from .store import settled
 def path_scores(expected: DataFrame, evidence: DataFrame) -> DataFrame:
     """(qid, recall, precision, f1, missing) of expected and evidence facts (qid, src, relation, dst). Precision is the
     expected facts found, over all evidence. Null without expectation comes from the caller's left join."""
+    evidence = settled(evidence.select("qid", *FACT))  # matched and counted
     hit = expected.join(evidence.select("qid", *FACT).distinct().withColumn("hit", F.lit(1)), ["qid", *FACT], "left")
     n = hit.groupBy("qid").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
     rows = evidence.groupBy("qid").agg(F.count("*").alias("rows"))

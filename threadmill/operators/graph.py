@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .store import heavy_keys, settled, small, spread_join
@@ -32,12 +31,14 @@ def walk(edges: DataFrame, seeds: DataFrame, closed: DataFrame, hops: int) -> Da
     """(qid, src, relation, dst, hop): facts within hops of a question's seeds (qid, node), with their least hop.
 
     Breadth first, both ways. A node is expanded once, at its first discovery; closed nodes are reached, never passed.
-    Each round is a join of the frontier, so that a few questions or many share one plan."""
-    near = settled(endpoints(edges)) if hops > 1 else endpoints(edges)
+    Each round is a join of the frontier, so that a few questions or many share one plan. Nodes with very many facts are
+    joined in slices."""
+    near = settled(endpoints(edges))
+    heavy = heavy_keys(near, "node")
     frontier = seen = seeds.select("qid", "node").distinct()
     found = None
     for hop in range(1, hops + 1):
-        step = frontier.join(near, "node").select("qid", *FACT, "other")
+        step = spread_join(near, frontier, "node", heavy).select("qid", *FACT, "other")
         if hop < hops:
             step = settled(step)  # feeds the facts of this hop and the frontier of the next
         now = step.select("qid", *FACT).distinct().withColumn("hop", F.lit(hop))
@@ -62,44 +63,57 @@ def accepted(walked: DataFrame, seeds: DataFrame, closed: DataFrame, hops: int,
     """(qid, src, relation, dst, hop, score, ord): W2, the facts that a walk accepts, at most per_node new ones at every
     node it expands, best first.
 
-    walked: (qid, src, relation, dst, base) all facts at nodes that the walk of a question expands, with their relevance
-    but for 3 / hop. seeds: (qid, node, place). closed: nodes that are reached, not passed. Nodes are expanded in the
-    order in which they are found, a node's facts in the order of score, outgoing ones first and by name on ties; a
-    fact left over at one end may be accepted at its other. That order is one over a question, so each question is a
-    task's group: its facts are those of one bounded walk."""
-    ends = walked.join(small(settled(closed.select(F.col("node").alias("src"), F.lit(True).alias("src_closed")).distinct())), "src", "left")
-    ends = ends.join(small(settled(closed.select(F.col("node").alias("dst"), F.lit(True).alias("dst_closed")).distinct())), "dst", "left")
-    listed = seeds.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]).alias("seeds"))
-    ends = ends.join(listed, "qid").select("qid", *FACT, "base", F.coalesce("src_closed", F.lit(False)).alias("src_closed"), F.coalesce("dst_closed", F.lit(False)).alias("dst_closed"), "seeds")
-    kind = dict(walked.dtypes)["qid"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list] = {}
-        for row in pdf.itertuples(index=False):
-            near.setdefault(row.src, []).append((-row.base, 0, row.src, row.relation, row.dst))
-            if row.src != row.dst:
-                near.setdefault(row.dst, []).append((-row.base, 1, row.src, row.relation, row.dst))
-        shut = set(pdf["src"][pdf["src_closed"]]) | set(pdf["dst"][pdf["dst_closed"]])
-        start = list(pdf["seeds"].iloc[0])
-        queue, visited, seen, out = [(s, 0) for s in start], set(start), set(), []
-        for node, hop in queue:  # grows while it is read
-            if hop >= hops:
-                continue
-            here = 0
-            for minus, _, src, relation, dst in sorted(near.get(node, [])):
-                other = dst if src == node else src
-                if other not in visited and other not in shut:
-                    visited.add(other)
-                    queue.append((other, hop + 1))
-                if here < per_node and (src, relation, dst) not in seen:
-                    seen.add((src, relation, dst))
-                    here += 1
-                    out.append((src, relation, dst, hop + 1, 3.0 / (hop + 1) - minus, len(out)))
-        found = pd.DataFrame(out, columns=[*FACT, "hop", "score", "ord"])
-        found.insert(0, "qid", [pdf["qid"].iloc[0]] * len(found))
-        return found
-
-    return ends.groupBy("qid").applyInPandas(one, f"qid {kind}, src string, relation string, dst string, hop int, score double, ord int")
+    walked: (qid, src, relation, dst, base) all facts at nodes that the walk of a question expands, each once, with their
+    relevance but for 3 / hop. seeds: (qid, node, place), a repeated node counts once. closed: nodes that are reached,
+    not passed. Nodes are expanded in the order in which they are found, a node's facts in the order of score, outgoing
+    ones first and by name on ties; a fact left over at one end may be accepted at its other.
+
+    ord orders the facts of a question: the hop and then the way to the fact, whose steps sort as the walk takes them, so
+    no question is numbered as a whole. A node's best facts are windows over (qid, node) with a limit that tasks apply
+    before they shuffle. Only a fact between two nodes of one hop ties their choices together: the earlier node has the
+    first say. Such choices are made anew until none changes, which a node's earlier neighbours bound; so a question, or
+    a seed of any degree, is never one task's group."""
+    facts = settled(walked.select("qid", *FACT, "base"))
+    side = lambda df, way, node, other: df.select("qid", F.col(node).alias("node"), F.col(other).alias("other"), F.struct((-F.col("base")).alias("minus"), F.lit(way).alias("way"), *FACT).alias("key"))
+    near = side(facts, 0, "src", "dst").unionByName(side(facts.where("src <> dst"), 1, "dst", "src"))
+    heavy = heavy_keys(near, ["qid", "node"])
+    first = F.struct(F.col("place").cast("double").alias("minus"), F.lit(0).alias("way"), F.col("node").alias("src"), F.lit("").alias("relation"), F.lit("").alias("dst"))
+    frontier = settled(seeds.groupBy("qid", "node").agg(F.min(F.array(first)).alias("at")))
+    shut, visited, taken = settled(closed.select(F.col("node").alias("other")).distinct()), frontier.select("qid", "node"), None
+    fact = ["qid", *FACT]
+
+    def best(rows: DataFrame) -> DataFrame:
+        """The first per_node rows of each node."""
+        ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "node").orderBy("key")))
+        return ranked.where(F.col("rn") <= per_node).drop("rn")
+
+    for hop in range(1, hops + 1):
+        here = settled(spread_join(near, frontier, ["qid", "node"], heavy).select("qid", "node", "at", "other", "key"))
+        ends = frontier.select("qid", F.col("node").alias("other"), F.col("at").alias("other_at"))
+        rows = spread_join(here, ends, ["qid", "other"], heavy_keys(here, ["qid", "other"]), "left").select("*", "key.src", "key.relation", "key.dst")
+        if taken is not None:
+            rows = rows.join(taken.select(*fact), fact, "left_anti")
+        late = F.coalesce((F.col("other") != F.col("node")) & (F.col("other_at") < F.col("at")), F.lit(False))
+        rows = settled(rows.withColumn("late", late).withColumn("tied", F.col("other_at").isNotNull() & (F.col("other") != F.col("node"))))
+        sure, unsure = settled(best(rows.where("not late"))), settled(rows.where("late"))
+        if unsure.isEmpty():
+            mine = sure
+        else:
+            gone = settled(sure.where("tied").select(*fact))
+            while True:
+                mine = settled(best(sure.unionByName(unsure.join(gone, fact, "left_anti"))))
+                said = settled(mine.where("tied and not late").select(*fact))
+                if said.join(gone, fact, "left_anti").isEmpty() and gone.join(said, fact, "left_anti").isEmpty():
+                    break
+                gone = said
+        way = F.concat("at", F.array("key"))
+        now = mine.select(*fact, F.lit(hop).alias("hop"), (3.0 / F.lit(hop) - F.col("key.minus")).alias("score"), F.struct(F.lit(hop).alias("hop"), way.alias("way")).alias("ord"))
+        taken = now if taken is None else taken.unionByName(now)
+        if hop < hops:
+            found = here.join(small(shut), "other", "left_anti").groupBy("qid", "other").agg(F.min(way).alias("at"))
+            frontier = settled(found.withColumnRenamed("other", "node").join(visited, ["qid", "node"], "left_anti"))
+            visited = visited.unionByName(frontier.select("qid", "node"))
+    return taken
 
 
 def relevance(hop: Column, relation: Column, at_seed: Column, in_question: Column, spine: list[str]) -> Column:
@@ -108,12 +122,13 @@ def relevance(hop: Column, relation: Column, at_seed: Column, in_question: Colum
 
 def within_budget(scored: DataFrame, budget: dict[str, int], default: int, cap: Column | int, ties: list[str] = FACT) -> DataFrame:
     """The best facts of each question: so many per relation, then so many in all. Skipping a fact over its relation's
-    budget changes nothing for others, so two ranks are the greedy choice exactly."""
+    budget changes nothing for others, so two ranks are the greedy choice exactly. The largest budget is a limit that
+    tasks apply before they shuffle."""
     order = [F.desc("score"), *ties]
     most = F.lit(default)
     for r, n in budget.items():
         most = F.when(F.col("relation") == r, n).otherwise(most)
-    top = scored.withColumn("in_relation", F.row_number().over(Window.partitionBy("qid", "relation").orderBy(*order))).where(F.col("in_relation") <= most)
+    top = scored.withColumn("in_relation", F.row_number().over(Window.partitionBy("qid", "relation").orderBy(*order))).where((F.col("in_relation") <= max([default, *budget.values()])) & (F.col("in_relation") <= most))
     top = top.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
     return top.where(F.col("place") <= cap).drop("in_relation")
 

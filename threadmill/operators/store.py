@@ -47,24 +47,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 ROWS_PER_SLICE = 100_000
 
 
-def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
-    """(key, slices) of the keys that have more than ROWS_PER_SLICE rows, of which there are rows / ROWS_PER_SLICE at
+def heavy_keys(rows: DataFrame, key: str | list[str]) -> DataFrame | None:
+    """(key, slices) of the keys (a column or several) that have more than ROWS_PER_SLICE rows, of which there are rows / ROWS_PER_SLICE at
     most; None where there are no more rows than that in all. rows should be settled or a stored table."""
     if rows.limit(ROWS_PER_SLICE + 1).count() <= ROWS_PER_SLICE:
         return None
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_SLICE)
-    return small(settled(counts.select(key, F.ceil(F.col("n") / ROWS_PER_SLICE).cast("int").alias("slices"))))
+    keys = [key] if isinstance(key, str) else key
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_SLICE)
+    return small(settled(counts.select(*keys, F.ceil(F.col("n") / ROWS_PER_SLICE).cast("int").alias("slices"))))
 
 
-def spread_join(rows: DataFrame, right: DataFrame, key: str, heavy: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined with right, which has a row for each key at most. Rows of a heavy key (heavy_keys of rows) are dealt
+def spread_join(rows: DataFrame, right: DataFrame, key: str | list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with right, which has few rows for each key. Rows of a heavy key (heavy_keys of rows) are dealt
     into slices by all of their columns, and right's row goes to each slice: no key is one task's."""
     if heavy is None:
         return rows.join(right, key, how)
     dealt = F.pmod(F.xxhash64(*rows.columns), F.coalesce("slices", F.lit(1))).cast("int")
     left = rows.join(heavy, key, "left").withColumn("slice", dealt).drop("slices")
     copies = right.join(heavy, key, "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
-    return left.join(copies, [key, "slice"], how).drop("slice")
+    return left.join(copies, [*([key] if isinstance(key, str) else key), "slice"], how).drop("slice")
 
 
 def ship(spark: SparkSession) -> None:
