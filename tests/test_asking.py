@@ -58,15 +58,20 @@ def test_ask_in_batches(spark):
                 out.append(p.split("\n")[1])
             elif p.startswith("Not in the sources"):
                 out.append("paper within 30 days")
+            elif p.endswith(answers.ASK_REPLY) and "takes 30 days" not in p:
+                out.append(json.dumps({"verdict": "goal", "steps": ["end"]}))
             else:
-                out.append("paper within 99 days" if "takes 30 days" in p else "goal")
+                out.append("paper within 99 days" if "takes 30 days" in p else "asked in vain")
         return out
 
     got = {r.qid: r for r in asking.ask(questions, model, seeds, walk, docs, labels, groups).collect()}
     assert told == [[1, 2, 3, 5, 6]] and len(got) == 6
     assert {q: (r.route, r.depth) for q, r in got.items()} == {1: ("local", 2), 2: ("local", 3), 3: ("local", 0), 4: ("global", 0), 5: ("local", 3), 6: ("local", 0)}
     assert got[1].answer == "paper within 30 days" and got[1].path == ["A-1 NEEDS paper"] and got[1].sources == ["guide"]
-    assert got[2].answer == "goal" and got[2].path == ["end AT goal"]
+    assert got[1].flags == ["99 day"] and got[1].reply is None and got[1].seeds == ["A-1"] and len(got[1].all_path) == len(got[1].evidence) == 1
+    assert got[2].answer == "goal\n\n1. end" and got[2].path == ["end AT goal"] and (got[2].reply.verdict, got[2].reply.steps, got[2].flags) == ("goal", ["end"], [])
+    assert [(x.place, x.src, x.relation, x.dst, x.hop, x.sources) for x in got[2].evidence] == [(1, "end", "AT", "goal", 3, ["guide"])]
+    assert got[3].seeds == got[3].evidence == got[3].all_path == [] and got[4].reply is None
     assert got[3].answer == got[6].answer == answers.REFUSAL and got[3].path == []
     assert got[4].answer == got[5].answer == "overview of papers" and got[5].sources == []
 

@@ -93,10 +93,11 @@ def synthesised(rows: DataFrame, model: Model, structured: bool = False) -> Data
 
 
 def verified(rows: DataFrame, model: Model, units: str = "year|month|day|%") -> DataFrame:
-    """Rows (answer, context) whose numbers the context lacks are rewritten once; unsupported lists what is left."""
+    """Rows (answer, context) whose numbers the context lacks are rewritten once; flags lists these numbers, and
+    unsupported what is left of such in the new answer."""
     bad = T.unsupported_numbers(F.col("answer"), F.coalesce("context", F.lit("")), units)
     ask = F.when(F.size(bad) > 0, F.concat(F.lit("Not in the sources: "), F.array_join(bad, ", "), F.lit("\n"), "context", F.lit("\n\n"), "answer"))
-    again = replied(rows, ask, model, "rewritten").withColumn("answer", F.coalesce("rewritten", "answer")).drop("rewritten")
+    again = replied(rows.withColumn("flags", bad), ask, model, "rewritten").withColumn("answer", F.coalesce("rewritten", "answer")).drop("rewritten")
     return again.withColumn("unsupported", bad)
 
 
@@ -109,9 +110,9 @@ def judged(rows: DataFrame, model: Model) -> DataFrame:
 
 def assembled(answers: DataFrame, evidence: DataFrame, paths: DataFrame) -> DataFrame:
     """Answers (qid, ...) with path, the facts of its key paths or else of all its evidence (qid, place, src,
-    relation, dst, sources), and the distinct sources, sorted."""
+    relation, dst, sources), all_path, which is all of its evidence, and the distinct sources, sorted."""
     order = lambda df: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "src", "relation", "dst"))), lambda x: F.concat_ws(" ", x["src"], x["relation"], x["dst"])).alias("path"))
     sources = evidence.select("qid", F.explode("sources").alias("s")).groupBy("qid").agg(F.array_sort(F.collect_set("s")).alias("sources"))
     none = F.array().cast("array<string>")
     out = answers.join(order(paths), "qid", "left").join(order(evidence).withColumnRenamed("path", "walked"), "qid", "left").join(sources, "qid", "left")
-    return out.withColumn("path", F.coalesce("path", "walked", none)).withColumn("sources", F.coalesce("sources", none)).drop("walked")
+    return out.withColumns({"path": F.coalesce("path", "walked", none), "all_path": F.coalesce("walked", none), "sources": F.coalesce("sources", none)}).drop("walked")

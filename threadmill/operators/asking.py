@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from . import answers, context, paths
+from .graph import FACT
 from .store import settled
 
 Walk = Callable[[DataFrame, int], DataFrame]
@@ -36,12 +37,15 @@ def deepened(questions: DataFrame, seeds: DataFrame, walk: Walk, first: int = 2,
 
 
 def ask(questions: DataFrame, model: answers.Model, seeds: Callable[[DataFrame], DataFrame], walk: Walk, docs: DataFrame, labels: DataFrame, communities: DataFrame, first: int = 2, most: int = 3, again: int = 1) -> DataFrame:
-    """(qid, question, route, depth, answer, unsupported, path, sources) of questions (qid, question), qid being unique.
+    """(qid, question, route, depth, seeds, answer, reply, path, all_path, evidence, sources, flags) of questions (qid,
+    question), qid being unique.
 
     seeds gives (qid, node, place) of questions; walk gives (qid, place, src, relation, dst, hop, sources) from seeds
     and a number of hops. docs: (ord, title, body). labels: (node, label). communities: (id, size, title, summary). A question that the model routes as global, or whose seeds lead to
     nothing, is given the model's reduction of all summaries; the others their evidence with quotes. The path is what
-    leads from seeds to nodes that the answer names, else all evidence. A null question has no seeds."""
+    leads from seeds to nodes that the answer names, else all_path, which is all evidence. reply is the structured one
+    (D14), null where the model gave none that can be read or where the answer was rewritten because of numbers that its
+    context lacks; these are the flags. A null question has no seeds."""
     routed = settled(answers.routed(questions, model))
     here = routed.where("route <> 'global'")
     starts = settled(seeds(here.select("qid", "question")))
@@ -55,9 +59,14 @@ def ask(questions: DataFrame, model: answers.Model, seeds: Callable[[DataFrame],
 
     given = context.contexts(evidence, labels, context.quotes(evidence, docs, labels), before)
     rows = routed.join(depths.select("qid", "depth"), "qid").join(given, "qid", "left")
-    said = settled(answers.verified(settled(answers.synthesised(rows, model)), model))
+    said = settled(answers.verified(settled(answers.synthesised(rows, model, structured=True)), model))
     goals = context.mentioned(evidence, labels, said)
     ways = paths.key_paths(evidence, starts.select("qid", "node"), goals)
     ways = evidence.select("qid", "place", "src", "relation", "dst").join(ways, ["qid", "src", "relation", "dst"], "left_semi")
     out = answers.assembled(said, evidence, ways)
-    return out.select("qid", "question", "route", "depth", "answer", "unsupported", "path", "sources")
+    in_order = lambda *what: F.array_sort(F.collect_list(F.struct("place", *what)))
+    named = starts.groupBy("qid").agg(F.transform(in_order("node"), lambda x: x["node"]).alias("seeds"))
+    shown = evidence.groupBy("qid").agg(in_order(*FACT, "hop", "sources").alias("evidence"))
+    out = out.join(named, "qid", "left").join(shown, "qid", "left")
+    out = out.withColumns({"seeds": F.coalesce("seeds", F.array().cast("array<string>")), "evidence": F.coalesce("evidence", F.array().cast(shown.schema["evidence"].dataType)), "reply": F.when(F.size("flags") == 0, F.col("reply"))})
+    return out.select("qid", "question", "route", "depth", "seeds", "answer", "reply", "path", "all_path", "evidence", "sources", "flags")

@@ -22,6 +22,21 @@ def path_scores(expected: DataFrame, evidence: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(r + p > 0, 2 * r * p / (r + p)).otherwise(0.0))
 
 
+def cap_scores(expected: DataFrame, placed: DataFrame, caps: list[int]) -> DataFrame:
+    """(qid, n, cap, recall, precision, f1) of expected facts (qid, src, relation, dst), n of them, for every
+    cap on evidence (qid, src, relation, dst, place), whose facts are distinct. Facts meet once: a cap only says which
+    places count."""
+    placed = settled(placed.select("qid", *FACT, "place"))  # matched and counted
+    within = lambda c: F.count_if(F.col("place") <= c)
+    found = expected.select("qid", *FACT).join(placed, ["qid", *FACT], "left").groupBy("qid").agg(F.count("*").alias("n"), *(within(c).alias(f"found_{c}") for c in caps))
+    rows = placed.groupBy("qid").agg(*(within(c).alias(f"rows_{c}") for c in caps))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("cap"), F.col(f"found_{c}").alias("found"), F.coalesce(f"rows_{c}", F.lit(0)).alias("rows")) for c in caps)))
+    out = found.join(rows, "qid", "left").select("qid", "n", each.alias("x")).select("qid", "n", "x.*")
+    r, p = F.col("recall"), F.col("precision")
+    out = out.select("qid", "n", "cap", (F.col("found") / F.col("n")).alias("recall"), F.when(F.col("rows") > 0, F.col("found") / F.col("rows")).otherwise(0.0).alias("precision"))
+    return out.withColumn("f1", F.when(r + p > 0, 2 * r * p / (r + p)).otherwise(0.0))
+
+
 def alike_nodes(left: DataFrame, right: DataFrame) -> DataFrame:
     """(node, other) of the distinct nodes (node) of left and right that match: equal, or of the same digits and alike
     by their best window or by their words. Only nodes of the same digits that share enough of their rarest parts are

@@ -11,15 +11,15 @@ import re
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..operators import asking, context, corpus, evaluate, extraction, facts, graph, linking, resolve
+from ..operators import answers, asking, context, corpus, evaluate, extraction, facts, graph, linking, resolve
 from ..operators.store import settled
-from .registry import BUDGET, CAP, DEFAULT, DEGREE, DECLARED, EDGES, SPINE, query, read, seeds, star_edges
+from .registry import BUDGET, CAP, DEFAULT, DEGREE, DECLARED, EDGES, EVIDENCE, SPINE, query, read, seeds, star_edges, walk_sql
 
 WORDS = "regexp_extract_all(text, '[A-Za-z]{8,}')"
 BLOCKED = "BRAZIL"
 NODES = f"""nodes AS MATERIALIZED (SELECT node, min(label) AS label, min(ord) AS ord FROM (SELECT unnest({WORDS}) AS node, '' AS label, 1000 + item_id AS ord FROM benchmark
     UNION ALL SELECT n_name, '', n_nationkey FROM nation UNION ALL SELECT 'A-' || n_nationkey, lower(n_name), 100 + n_nationkey FROM nation) GROUP BY 1)"""
-QUESTIONS = """questions AS MATERIALIZED (SELECT conv_id * 1000 + turn AS qid, CASE WHEN turn % 3 = 0 THEN text || ' a - ' || (conv_id % 30) || ' ' || n_name WHEN turn % 3 = 1 THEN substr(text, 1, 40) ELSE 'xyz, ' || lower(n_name) END AS question
+QUESTIONS = """questions AS MATERIALIZED (SELECT conv_id * 1000 + turn AS qid, CASE WHEN turn % 3 = 0 THEN text || ' a - ' || (conv_id % 30) || ' ' || n_name WHEN turn % 3 = 1 THEN text ELSE 'xyz, ' || lower(n_name) END AS question
     FROM conversations JOIN nation ON (conv_id + turn) % 25 = n_nationkey)"""
 
 
@@ -34,7 +34,7 @@ def nodes(spark, sf_dir) -> DataFrame:
 def questions(spark, sf_dir) -> DataFrame:
     c, n = read(spark, sf_dir, "conversations"), read(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("long"))
     rows = c.withColumn("k", (F.col("conv_id") + F.col("turn")) % 25).join(n, "k")
-    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" a - "), F.col("conv_id") % 30, F.lit(" "), "n_name")).when(F.col("turn") % 3 == 1, F.substring("text", 1, 40)).otherwise(F.concat(F.lit("xyz, "), F.lower("n_name")))
+    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" a - "), F.col("conv_id") % 30, F.lit(" "), "n_name")).when(F.col("turn") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("xyz, "), F.lower("n_name")))
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), said.alias("question"))
 
 
@@ -248,11 +248,12 @@ def fact_contexts(spark, sf_dir):
     return context.contexts(rows, labels, context.quotes(rows, docs, labels).where("false"))
 
 
-@query(rf"""WITH {CITED.split("k AS (")[0].strip().rstrip(",")}, n AS (SELECT DISTINCT qid, unnest([src, dst]) AS node FROM e), a AS (SELECT doc_id AS qid, text FROM documents WHERE doc_id < 10) SELECT qid, node FROM n JOIN a USING (qid) WHERE contains(text, node)""")
+@query(rf"""WITH {CITED.split("k AS (")[0].strip().rstrip(",")}, n AS (SELECT DISTINCT item_id AS qid, unnest([src, dst]) AS node FROM e), a AS (SELECT doc_id AS qid, text FROM documents) SELECT qid, node FROM n JOIN a USING (qid) WHERE contains(text, node)""")
 def answer_mentions(spark, sf_dir):
-    """Nodes of a question's evidence that its answer names."""
+    """Nodes of a question's evidence that its answer names: an item is a question, the document of its number the
+    answer."""
     rows, docs, labels = cited(spark, sf_dir)
-    return context.mentioned(rows, labels, docs.where("ord < 10").select(F.col("ord").alias("qid"), F.col("body").alias("answer")))
+    return context.mentioned(rows.withColumn("qid", F.col("place").cast("long")), labels, docs.select(F.col("ord").alias("qid"), F.col("body").alias("answer")))
 
 
 def titled(spark, sf_dir) -> DataFrame:
@@ -348,3 +349,59 @@ def walk_depths(spark, sf_dir):
     walk = lambda s, hops: graph.walk(edges, s, closed, hops).where("relation = 'CONTAINS'")
     every = seeds(spark, sf_dir)
     return asking.deepened(every, every.where("qid % 10 > 0"), walk, 1, 2)[1]
+
+
+def echo(prompts: list[str]) -> list[str]:
+    """Stands in for a model: questions of everything are global; an overview has the names in the summaries, sorted; an
+    answer is about the first fact of its context, structured for customers of even numbers."""
+    out = []
+    for p in prompts:
+        fact = re.search(r"\((.+?)\) -\[\w+\]-> \((.+?)\)", p)
+        if p.startswith("Is this about"):
+            out.append("global" if "everything" in p else "local")
+        elif p.startswith("One overview"):
+            out.append(", ".join(sorted(re.findall(r"nations of ([A-Z ]*[A-Z])", p))))
+        elif p.startswith("Overview:"):
+            out.append(p.split("\n")[1])
+        elif p.endswith(answers.ASK_REPLY) and int(re.findall(r"orders of C-(\d+)", p)[-1]) % 2 == 0:
+            out.append(json.dumps({"verdict": fact[2], "steps": [fact[1]]}))
+        else:
+            out.append(f"see {fact[2]}")
+    return out
+
+
+ONE_HOP = walk_sql(1).replace(EDGES, f"{EDGES}, told AS (SELECT string_agg(r_name, ', ' ORDER BY r_name) AS overview FROM region)")
+
+
+@query(f"""{ONE_HOP}, {EVIDENCE}, e AS (SELECT *, src || ' ' || relation || ' ' || dst AS line FROM placed WHERE place <= {CAP}),
+    q AS (SELECT c_custkey AS qid, c_custkey % 10 = 0 AS wide, c_custkey % 2 = 0 AS even FROM customer), top AS (SELECT qid, src AS a, dst AS b FROM e WHERE place = 1),
+    s AS (SELECT qid, wide, CASE WHEN wide THEN overview WHEN even THEN b || chr(10) || chr(10) || '1. ' || a ELSE 'see ' || b END AS answer, CASE WHEN even AND NOT wide THEN b END AS verdict FROM q LEFT JOIN top USING (qid), told),
+    f AS (SELECT e.*, contains(answer, CASE WHEN src = 'C-' || qid THEN dst ELSE src END) AS named FROM e JOIN s USING (qid) WHERE NOT wide),
+    p AS (SELECT qid, string_agg(line, '|' ORDER BY place) AS all_path, string_agg(line, '|' ORDER BY place) FILTER (named) AS path, count(*) AS n,
+        CASE WHEN bool_or(relation = 'PLACED_BY') THEN 'customers' || CASE WHEN bool_or(relation <> 'PLACED_BY') THEN '|nations' ELSE '' END || '|orders' ELSE 'nations' END AS sources FROM f GROUP BY 1)
+    SELECT qid, CASE WHEN wide THEN 'global' ELSE 'local' END AS route, CASE WHEN wide THEN 0 ELSE 1 END AS depth, CASE WHEN wide THEN '' ELSE 'C-' || qid END AS seeds, answer, verdict,
+        coalesce(path, all_path, '') AS path, coalesce(all_path, '') AS all_path, coalesce(n, 0)::INT AS n_evidence, coalesce(sources, '') AS sources, 0 AS n_flags FROM s LEFT JOIN p USING (qid)""")
+def asked_questions(spark, sf_dir):
+    """E10 with E3, E6, E9, D14: a question of each customer from its route to the whole result, with a stand-in for a
+    model, over one hop; every tenth asks of everything and is answered from the regions' summaries."""
+    edges = settled(star_edges(spark, sf_dir))
+    closed = settled(graph.hubs(edges, F.col("node").startswith("N-")))
+    key = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select(key.alias("qid"), F.when(key % 10 == 0, "everything").otherwise(F.concat(F.lit("orders of C-"), key)).alias("question"))
+    starts = lambda qs: qs.select("qid", F.regexp_extract("question", r"C-\d+", 0).alias("node"), F.lit(0).alias("place"))
+
+    def walk(some, hops):
+        seed = F.concat(F.lit("C-"), F.col("qid"))
+        said = F.contains("src", F.lit("7")) | F.contains("dst", F.lit("7"))
+        at = graph.walk(edges, some, closed, hops)
+        at = at.withColumn("score", graph.relevance(F.col("hop"), F.col("relation"), (F.col("src") == seed) | (F.col("dst") == seed), said, SPINE))
+        kept = graph.within_budget(at, BUDGET, DEFAULT, CAP)
+        return kept.withColumn("sources", F.when(F.col("relation") == "PLACED_BY", F.array(F.lit("orders"), F.lit("customers"))).otherwise(F.array(F.lit("nations"))))
+
+    n = F.concat(F.lit("N-"), "n_nationkey", F.lit(" is "), "n_name")
+    docs = read(spark, sf_dir, "nation").groupBy(F.lit("nations").alias("title")).agg(F.lit(0).alias("ord"), F.array_join(F.array_sort(F.collect_list(n)), "\n").alias("body"))
+    groups = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.lit(5).alias("size"), F.col("r_name").alias("title"), F.concat(F.lit("nations of "), "r_name").alias("summary"))
+    labels = spark.createDataFrame([], "node string, label string")
+    got = asking.ask(rows, echo, starts, walk, docs, labels, groups, first=1, most=1, again=0)
+    listed = lambda c: F.array_join(c, "|").alias(c)
+    return got.select("qid", "route", "depth", listed("seeds"), "answer", "reply.verdict", listed("path"), listed("all_path"), F.size("evidence").alias("n_evidence"), listed("sources"), F.size("flags").alias("n_flags"))

@@ -168,26 +168,35 @@ def failure_layers(spark, sf_dir):
 CAPS = [4, 8, 12, 18, 30]
 
 
-@query(f"""{walk_sql(2)}, {EVIDENCE}, {EXPECTED}, caps AS (SELECT unnest({CAPS})::INT AS cap),
+SWEEP = f"""{walk_sql(2)}, {EVIDENCE}, {EXPECTED}, caps AS (SELECT unnest({CAPS})::INT AS cap),
     n AS (SELECT cap, e.qid, count(*) AS n, count(p.qid) AS found FROM expected e CROSS JOIN caps LEFT JOIN placed p ON p.qid = e.qid AND p.src = e.src AND p.relation = e.relation AND p.dst = e.dst AND p.place <= cap GROUP BY ALL),
     m AS (SELECT cap, qid, count(*) AS m FROM placed JOIN caps ON place <= cap GROUP BY ALL),
-    r AS (SELECT cap, found / n AS recall, coalesce(found / m, 0.0) AS precision FROM n LEFT JOIN m USING (cap, qid)),
-    f AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0.0 END AS f1 FROM r),
-    g AS (SELECT cap, count(*) AS n, round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, round(avg(f1), 6) AS mean_f1 FROM f GROUP BY 1)
+    r AS (SELECT cap, n, found / n AS recall, coalesce(found / m, 0.0) AS precision FROM n LEFT JOIN m USING (cap, qid)),
+    f AS (SELECT *, CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0.0 END AS f1 FROM r)"""
+
+
+def capped(spark, sf_dir) -> DataFrame:
+    """The scores of every question under every cap."""
+    placed = graph.within_budget(scored(spark, sf_dir), BUDGET, DEFAULT, max(CAPS))
+    return evaluate.cap_scores(expected_facts(spark, sf_dir), placed, CAPS)
+
+
+@query(f"""{SWEEP}, g AS (SELECT cap, count(*) AS n, round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, round(avg(f1), 6) AS mean_f1 FROM f GROUP BY 1)
     SELECT *, cap = (SELECT cap FROM g ORDER BY mean_f1 DESC, cap LIMIT 1) AS best FROM g""")
 def cap_sweep(spark, sf_dir):
     """One plan for every evidence cap; the best by mean F1, the smaller on ties."""
-    placed = graph.within_budget(scored(spark, sf_dir), BUDGET, DEFAULT, max(CAPS))
-    caps = F.broadcast(spark.createDataFrame([(c,) for c in CAPS], "cap int"))
-    exp = expected_facts(spark, sf_dir)
-    key = F.struct("cap", "qid")
-    at = lambda df: df.select(key.alias("qid"), *graph.FACT)
-    s = evaluate.path_scores(at(exp.crossJoin(caps)), at(placed.join(caps, F.col("place") <= F.col("cap"))))
-    g = s.select("qid.cap", "recall", "precision", "f1").groupBy("cap").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("recall", "precision", "f1")))
+    g = capped(spark, sf_dir).groupBy("cap").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("recall", "precision", "f1")))
     best = F.min_by("cap", F.struct(-F.col("mean_f1"), "cap")).over(Window.partitionBy(F.lit(1)))  # a row per cap
     return g.withColumn("best", F.col("cap") == best)
 
 
+@query(f"{SWEEP} SELECT cap, least(n, 3)::BIGINT AS hops, count(*) AS n, round(avg(recall), 6) AS mean_recall, round(avg(f1), 6) AS mean_f1 FROM f GROUP BY 1, 2")
+def hop_sweep(spark, sf_dir):
+    """Means by cap and by hops of a question, which are the facts expected of it, three for more."""
+    by = capped(spark, sf_dir).groupBy("cap", F.least("n", F.lit(3)).cast("long").alias("hops"))
+    return by.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("recall", "f1")))
+
+
 @query("""WITH j AS (SELECT lang, quality, toxic, n_chars::DOUBLE AS x FROM labels JOIN documents USING (doc_id))
     SELECT lang, count(*) AS n, sum(quality)::BIGINT AS n_ok, round(avg(x), 6) AS mean_n_chars, round(avg(toxic), 6) AS mean_toxic FROM j GROUP BY ROLLUP (lang)""")
 def scoreboard(spark, sf_dir):
