@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
@@ -20,6 +21,8 @@ from .store import settled, ship
 
 #: Names of one automaton have so many characters together, about: its nodes take some hundred bytes each at most.
 SET_CHARS = 1 << 20
+#: Names whose characters go to the tasks at once, and are compared at once.
+NAMES_AT_ONCE, NAMES_A_STEP = 1 << 16, 512
 #: Plans of several automata that are joined before the result is stored.
 SETS_AT_ONCE = 8
 
@@ -81,6 +84,59 @@ def containing(texts: DataFrame, keys: list[str], text: str, names: DataFrame, n
     return found
 
 
+def _covered(batches: Iterator[pa.RecordBatch], names: Broadcast, most: int) -> Iterator[pa.RecordBatch]:
+    """(qid, chars, had) -> (qid, node): see first_covered."""
+    nodes, items, need = names.value
+    places = {c: k for k, c in enumerate(sorted({c for x in items for c in x}))}
+
+    def bits(chars: list[str] | None) -> np.ndarray:
+        out = np.zeros(len(places) // 64 + 1, np.uint64)
+        for c in chars or ():
+            if (k := places.get(c)) is not None:
+                out[k >> 6] |= np.uint64(1 << (k & 63))
+        return out
+
+    table, need = np.array([bits(x) for x in items]), np.array(need)
+    for batch in batches:
+        rows, found = [], []
+        for i, (chars, had) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2)))):
+            own, known, left = bits(chars), set(had or ()), most
+            for at in range(0, len(nodes), NAMES_A_STEP):
+                part = slice(at, at + NAMES_A_STEP)
+                hits = np.flatnonzero(np.bitwise_count(table[part] & own).sum(axis=1) >= need[part])
+                new = [n for k in hits if (n := nodes[at + int(k)]) not in known][:left]
+                rows += [i] * len(new)
+                found += new
+                left -= len(new)
+                if not left:
+                    break
+        yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], names=["qid", "node"])
+
+
+def first_covered(questions: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """(qid, node): names (node, items, need, size) of whose distinct characters a question (qid, chars, had) has `need` or
+    more, without those in had: the `most` first by size, then by name, both descending, of every set of names.
+
+    Characters are few, so that as keys of a join they would make almost all pairs. Names are dealt by a hash into sets
+    of NAMES_AT_ONCE; a task has a set's characters as bits in that order and stops at a question's last name. Only what
+    is found leaves it. The driver holds the names of one set at a time."""
+    spark = questions.sparkSession
+    ship(spark)
+    names = settled(names.select("node", "items", F.col("need").cast("int").alias("need"), F.col("size").cast("int").alias("size")).where("node is not null"))
+    sets = math.ceil(names.count() / NAMES_AT_ONCE)
+    rows = questions.select("qid", "chars", "had")
+    schema = StructType([rows.schema["qid"], StructField("node", StringType())])
+    found = spark.createDataFrame([], schema)
+    for k in range(sets):
+        own = sorted(((r["size"], r["node"], r["items"], r["need"]) for r in names.where(F.pmod(F.xxhash64("node"), F.lit(sets)) == k).collect()), reverse=True)
+        if own:
+            _, nodes, items, need = zip(*own)
+            found = found.unionByName(rows.mapInArrow(partial(_covered, names=spark.sparkContext.broadcast((nodes, items, need)), most=most), schema))
+        if k % SETS_AT_ONCE == SETS_AT_ONCE - 1:
+            found = settled(found)
+    return found
+
+
 def numbered_items(items: Column) -> Column:
     """Items of an array with how often each stood before, so that repeats are items of their own."""
     return F.transform(items, lambda x, i: F.concat(x, F.lit("\u0001"), F.size(F.filter(F.slice(items, 1, i), lambda y: y == x)).cast("string")))

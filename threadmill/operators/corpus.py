@@ -12,16 +12,13 @@ from .store import settled, small
 
 def screened(pages: DataFrame, dropped: dict[str, str] | list[str], least: int = 400, wanted: str | None = None, label: str = "title", anchor: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents kept of pages (title, body), and (title, reason) of the others: named in the drop
-    list (its reason, if it has one), without a wanted word in the title or an anchor in the body (where either is
-    asked for, one of them is enough), or shorter than `least`. What is skipped is named by the column `label`."""
+    list (its reason, if it has one), without a wanted word in the title, shorter than `least`, or without an anchor in
+    the body. What is skipped is named by the column `label`."""
     reasons = dropped if isinstance(dropped, dict) else dict.fromkeys(dropped, "on the drop list")
     listed = F.create_map(*(F.lit(x) for kv in reasons.items() for x in kv)) if reasons else F.lit(None).cast("map<string,string>")
     size = F.char_length(F.coalesce("body", F.lit("")))
-    on_topic = F.lit(False)
-    for column, pattern in (("title", wanted), ("body", anchor)):
-        if pattern:
-            on_topic = on_topic | F.coalesce(F.rlike(column, F.lit(pattern)), F.lit(False))
-    why = F.coalesce(F.element_at(listed, F.col("title")), F.when(~on_topic, "title off topic") if wanted or anchor else F.lit(None).cast("string"), F.when(size < least, F.format_string("%d characters", size)))
+    lacks = lambda column, pattern: ~F.coalesce(F.rlike(column, F.lit(pattern or "")), F.lit(not pattern))
+    why = F.coalesce(F.element_at(listed, F.col("title")), F.when(lacks("title", wanted), "title off topic"), F.when(size < least, F.format_string("%d characters", size)), F.when(lacks("body", anchor), "no anchor in the body"))
     rows = pages.withColumn("reason", why)
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select(F.col(label).alias("title"), "reason")
 

@@ -51,8 +51,8 @@ def link_entities(questions: DataFrame, nodes: DataFrame, blocked: DataFrame, vo
     out). Only for those still without any: two nodes of four distinct characters or more that the question has all.
     Blocked nodes are else passed over. Official words of the vocabulary are added to the question first.
 
-    Names are found by an automaton that reads each question once for a set of them; every other stage is an equi join,
-    on codes, rarest characters or rarest 2-grams."""
+    Names are found by an automaton that reads each question once for a set of them, shares of characters by bits in the
+    order of the names; codes and loose matches are equi joins, on codes and rarest 2-grams."""
     q = questions.select("qid", expand_words(F.col("question"), list(vocabulary)).alias("q")).withColumn("bare", _bare(F.col("q")))
     q = settled(q.withColumn("chars", candidates.characters(F.col("q"))))
     nodes = settled(nodes.select("node", F.coalesce("label", F.lit("")).alias("label"), "ord"))
@@ -70,24 +70,19 @@ def link_entities(questions: DataFrame, nodes: DataFrame, blocked: DataFrame, vo
     named = settled(_ranked(named.distinct().join(codes, ["qid", "node"], "left_anti"), F.char_length("node"), 2))
 
     sets = settled(free.select("node", candidates.characters(F.col("node")).alias("items"), F.char_length(_bare(F.col("node"))).alias("size")))
-    asked = q.select("qid", F.explode("chars").alias("item"))
-
-    def sharing(some: DataFrame, need: Column) -> DataFrame:
-        keys = candidates.rarest(some, ["node"], "items", F.size("items") - need + 1)
-        met = asked.join(keys, "item").select("qid", "node").distinct()
-        return met.join(some.select("node", "items"), "node").join(q.select("qid", "chars"), "qid").where(F.size(F.array_intersect("items", "chars")) >= need)
-
-    need = F.ceil(F.size("items") * COVERAGE)
-    seeds = codes.unionByName(named)
-    extra = sharing(sets.where("size >= 8"), need).join(seeds, ["qid", "node"], "left_anti")
+    seeds = settled(codes.unionByName(named))
+    had = seeds.groupBy("qid").agg(F.collect_set("node").alias("had"))
+    long = sets.where("size >= 8").select("node", "items", F.ceil(F.size("items") * COVERAGE).alias("need"), F.char_length("node").alias("size"))
+    extra = candidates.first_covered(q.select("qid", "chars").join(had, "qid", "left"), long, 2)
     seeds = settled(seeds.unionByName(_ranked(extra, F.char_length("node"), 3, 2)))
 
     if loose is not None:
         left = q.join(seeds.select("qid").distinct(), "qid", "left_anti").select(F.col("qid").alias("id"), F.col("q").alias("name"))
         seeds = settled(seeds.unionByName(best_windows(left, nodes, loose)))
 
-    left = q.join(seeds.select("qid").distinct(), "qid", "left_anti").select("qid")
-    last = sharing(sets.where(F.size("items") >= 4), F.size("items")).join(left, "qid", "left_semi")
+    left = q.join(seeds.select("qid").distinct(), "qid", "left_anti").select("qid", "chars", F.array().cast("array<string>").alias("had"))
+    whole = sets.where(F.size("items") >= 4).select("node", "items", F.size("items").alias("need"), F.size("items").alias("size"))
+    last = candidates.first_covered(left, whole, 2).join(sets.select("node", "items"), "node")
     seeds = seeds.unionByName(_ranked(last, F.size("items"), 5, 2))
 
     first = seeds.groupBy("qid", "node").agg(F.min(F.struct("stage", "rank")).alias("at"))

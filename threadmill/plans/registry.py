@@ -363,6 +363,23 @@ def node_view(spark, sf_dir):
     return graph.node_types(edges, rules).join(graph.degrees(edges), "node").select("node", "type", (11 + F.least("degree", F.lit(14))).alias("size"))
 
 
+@query(f"""WITH {MORE}, h AS (SELECT node, list(DISTINCT has) AS has FROM (SELECT src AS node, 'out ' || relation AS has FROM edges UNION ALL SELECT dst, 'in ' || relation FROM edges) GROUP BY 1),
+    s AS (SELECT 'S-' || s_suppkey AS node, CASE s_suppkey % 3 WHEN 0 THEN 'Vendor' WHEN 1 THEN 'Unheard' END AS own FROM supplier)
+    SELECT node, CASE WHEN own = 'Vendor' THEN own WHEN regexp_full_match(node, 'P-[0-9]{{1,2}}') THEN 'Code' WHEN list_contains(has, 'out PLACED_BY') THEN 'Order' WHEN list_contains(has, 'in CONTAINS') THEN 'Part' ELSE 'Other' END AS type FROM h FULL JOIN s USING (node)""")
+def typed_nodes(spark, sf_dir):
+    """G10 in all its branches: a stored type if it is a known one, the pattern of a code, then relations."""
+    key = F.col("s_suppkey")
+    stored = read(spark, sf_dir, "supplier").select(F.concat(F.lit("S-"), key).alias("node"), F.when(key % 3 == 0, "Vendor").when(key % 3 == 1, "Unheard").alias("type"))
+    rules = [("Order", "out", "PLACED_BY"), ("Part", "in", "CONTAINS")]
+    return graph.node_types(star_edges(spark, sf_dir, supplied=True), rules, stored=stored, known=["Vendor", "Part"], codes={"P-[0-9]{1,2}": "Code"})
+
+
+@query(f"WITH {MORE} SELECT *, CASE WHEN relation = 'CONTAINS' THEN 2.5 ELSE 1.0 END::DOUBLE AS width FROM edges")
+def edge_view(spark, sf_dir):
+    """How wide each edge is drawn."""
+    return graph.drawn(star_edges(spark, sf_dir, supplied=True), SPINE)
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'N-' || n_nationkey AS a, 'R-' || n_regionkey AS b FROM nation), x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(node, reach) AS (SELECT a, a FROM x UNION SELECT r.node, x.b FROM r JOIN x ON r.reach = x.a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
 def graph_components(spark, sf_dir):
