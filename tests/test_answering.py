@@ -265,6 +265,9 @@ def test_corpus_stages(spark):
     kept, skipped = corpus.screened(pages, ["Drop"], wanted="A|B|C|Drop")
     assert [r.title for r in kept.collect()] == ["A"]
     assert {r.title: r.reason for r in skipped.collect()} == {"B": "5 characters", "Drop": "on the drop list", "Off": "title off topic", "C": "0 characters"}
+    both = spark.createDataFrame([("A visa", "visa " * 100), ("A visa", "other " * 100), ("B", "visa " * 100), ("A visa", None), (None, "visa " * 100)], "title string, body string")
+    kept, skipped = corpus.screened(both, [], wanted="^A", anchor="visa")
+    assert [r.body[:4] for r in kept.collect()] == ["visa"] and sorted(r.reason for r in skipped.collect()) == ["0 characters", "no anchor in the body", "title off topic", "title off topic"]
     m = corpus.manifest(spark.createDataFrame([("T", "see (F-5) and E-7, (F-5)")], "title string, body string"), F.lit("Law"), F.lit("u")).first()
     assert (m.title, m.type, m.chars, m.source, m.categories) == ("T", "Law", 24, "u", ["E-7", "F-5"])
     docs = [("출입국관리법 제10조의2 영주자격(요건)", "체류자격 변경 (F-5)"), ("별표 체류자격/근무처", "영주자격 신청"), ("국적법 귀화", "아무것도 (E-7) (F-5)"), ("셋", "none")]

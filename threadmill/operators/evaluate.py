@@ -13,7 +13,6 @@ from .store import settled
 def path_scores(expected: DataFrame, evidence: DataFrame) -> DataFrame:
     """(qid, recall, precision, f1, missing) of expected and evidence facts (qid, src, relation, dst). Precision is the
     expected facts found, over all evidence. Null without expectation comes from the caller's left join."""
-    evidence = settled(evidence.select("qid", *FACT))  # matched and counted
     hit = expected.join(evidence.select("qid", *FACT).distinct().withColumn("hit", F.lit(1)), ["qid", *FACT], "left")
     n = hit.groupBy("qid").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
     rows = evidence.groupBy("qid").agg(F.count("*").alias("rows"))
@@ -26,7 +25,7 @@ def cap_scores(expected: DataFrame, placed: DataFrame, caps: list[int]) -> DataF
     """(qid, n, cap, recall, precision, f1) of expected facts (qid, src, relation, dst), n of them, for every
     cap on evidence (qid, src, relation, dst, place), whose facts are distinct. Facts meet once: a cap only says which
     places count."""
-    placed = settled(placed.select("qid", *FACT, "place"))  # matched and counted
+    placed = placed.select("qid", *FACT, "place")
     within = lambda c: F.count_if(F.col("place") <= c)
     found = expected.select("qid", *FACT).join(placed, ["qid", *FACT], "left").groupBy("qid").agg(F.count("*").alias("n"), *(within(c).alias(f"found_{c}") for c in caps))
     rows = placed.groupBy("qid").agg(*(within(c).alias(f"rows_{c}") for c in caps))

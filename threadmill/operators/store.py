@@ -54,7 +54,8 @@ def heavy_keys(rows: DataFrame, key: str | list[str]) -> DataFrame | None:
         return None
     keys = [key] if isinstance(key, str) else key
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_SLICE)
-    return small(settled(counts.select(*keys, F.ceil(F.col("n") / ROWS_PER_SLICE).cast("int").alias("slices"))))
+    found = settled(counts.select(*keys, F.ceil(F.col("n") / ROWS_PER_SLICE).cast("int").alias("slices")))
+    return None if found.isEmpty() else small(found)
 
 
 def spread_join(rows: DataFrame, right: DataFrame, key: str | list[str], heavy: DataFrame | None, how: str = "inner") -> DataFrame:
