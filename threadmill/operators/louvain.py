@@ -6,8 +6,9 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .graph import numbered
 from .store import heavy_keys, settled, ship, spread_join
 
 #: Edges that a task holds, about. A node with more than the share HUB of them is a hub: its edges are added up by
@@ -16,15 +17,6 @@ EDGES_PER_TASK, HUB = 1 << 20, 0.25
 LEAST = 1e-9
 
 
-def numbered(names: DataFrame, name: str) -> DataFrame:
-    """(name, id): distinct names with their place in order, from 0, counted by ranges."""
-    parts = settled(names.select(name).distinct().repartitionByRange(name).withColumn("part", F.spark_partition_id()))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    offset = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(name)) - 1
-    return parts.withColumn("place", place).join(F.broadcast(offset), "part").select(name, (F.col("offset") + F.col("place")).alias("id"))
-
-
 def moved(rows: pd.DataFrame, twice: int, least_gain: float) -> pd.DataFrame:
     """One part's rows -> (node, to, inner): the community of each of its nodes after moves one by one, and the weight of
     its edges to the community it had before.
