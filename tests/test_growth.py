@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from threadmill.operators import graph
+from threadmill.operators import graph, paths
 
+from .test_star_graph import brute
 
 
 def frame(spark, pairs):
@@ -33,3 +34,14 @@ def test_components_of_chains(spark):
     got = {r.node: r.component for r in graph.components(frame(spark, pairs)).collect()}
     assert got == {n: f"{n[0]}n000" if n != "loop" else n for p in pairs for n in p}
     assert {r.node: r.component for r in graph.components(frame(spark, [("x", "x")])).collect()} == {"x": "x"}
+
+
+def test_labels_of_many_nodes_and_hubs(spark, monkeypatch):
+    """The same labels where nodes are heavy and joined in slices."""
+    from threadmill.operators import store
+
+    monkeypatch.setattr(store, "ROWS_PER_SLICE", 20)
+    rng = random.Random(9)
+    pairs = [(f"h{rng.randrange(3)}", f"n{rng.randrange(90):02}") for _ in range(160)] + [(f"n{rng.randrange(90):02}", f"n{rng.randrange(90):02}") for _ in range(60)]
+    got = paths.communities(frame(spark, pairs))
+    assert {r.node: (r.community, r.settled) for r in got.collect()} == brute(pairs)
