@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from threadmill.operators import graph, paths
+from threadmill.plans import registry
 
+from .compare import assert_same
 from .test_star_graph import brute
 
 
@@ -45,3 +48,10 @@ def test_labels_of_many_nodes_and_hubs(spark, monkeypatch):
     pairs = [(f"h{rng.randrange(3)}", f"n{rng.randrange(90):02}") for _ in range(160)] + [(f"n{rng.randrange(90):02}", f"n{rng.randrange(90):02}") for _ in range(60)]
     got = paths.communities(frame(spark, pairs))
     assert {r.node: (r.community, r.settled) for r in got.collect()} == brute(pairs)
+
+
+def test_pages_of_one_url(spark, tmp_path):
+    """Pages are left out by their number, whatever their url; those without a text are not short."""
+    duckdb.sql(f"""COPY (SELECT * FROM (VALUES (10, 'u', repeat('x', 500)), (11, 'u', repeat('x', 500)), (12, 'u', 'short'), (13, 'v', NULL), (20, 'v', NULL), (14, 'dropped', repeat('x', 500)))
+        t(page_id, url, html)) TO '{tmp_path}/pages.parquet' (FORMAT parquet)""")
+    assert_same(registry.queries()["skipped_pages"](spark, str(tmp_path)), registry.oracle_sql()["skipped_pages"], str(tmp_path))
