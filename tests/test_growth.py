@@ -5,7 +5,8 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
-from threadmill.operators import graph, paths
+from threadmill.functions import similarity
+from threadmill.operators import candidates, evaluate, graph, paths
 from threadmill.plans import registry
 
 from .compare import assert_same
@@ -55,3 +56,12 @@ def test_pages_of_one_url(spark, tmp_path):
     duckdb.sql(f"""COPY (SELECT * FROM (VALUES (10, 'u', repeat('x', 500)), (11, 'u', repeat('x', 500)), (12, 'u', 'short'), (13, 'v', NULL), (20, 'v', NULL), (14, 'dropped', repeat('x', 500)))
         t(page_id, url, html)) TO '{tmp_path}/pages.parquet' (FORMAT parquet)""")
     assert_same(registry.queries()["skipped_pages"](spark, str(tmp_path)), registry.oracle_sql()["skipped_pages"], str(tmp_path))
+def test_small_blocks_are_compared_at_once(spark, monkeypatch):
+    """Few nodes of the same digits take no join on parts of names."""
+    monkeypatch.setattr(candidates, "like_windows", None)
+    monkeypatch.setattr(candidates, "like_words", None)
+    left = spark.createDataFrame([(f"customer C-{k}",) for k in range(50)] + [(f"in N-{k}",) for k in range(50)], "node string")
+    right = spark.createDataFrame([(f"{c}-{k}",) for k in range(50) for c in "CNO"], "node string")
+    got = {tuple(r) for r in evaluate.alike_nodes(left, right).select("node", "other").collect()}
+    names = [[r.node for r in x.collect()] for x in (left, right)]
+    assert got == {(a, b) for a in names[0] for b in names[1] if similarity.same_node(a, b)} and len(got) >= 100
