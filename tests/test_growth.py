@@ -65,3 +65,16 @@ def test_small_blocks_are_compared_at_once(spark, monkeypatch):
     got = {tuple(r) for r in evaluate.alike_nodes(left, right).select("node", "other").collect()}
     names = [[r.node for r in x.collect()] for x in (left, right)]
     assert got == {(a, b) for a in names[0] for b in names[1] if similarity.same_node(a, b)} and len(got) >= 100
+
+
+def test_a_walk_stores_only_frontiers(spark, monkeypatch):
+    """One hop stores nothing; facts from both ends and loops have their direction and their least hop."""
+    kept = []
+    real = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: kept.append(df) or real(df))
+    edges = frame(spark, [("a", "b"), ("c", "a"), ("a", "a"), ("b", "c"), ("b", "d"), ("a", "b")])
+    seeds, closed = spark.createDataFrame([(1, "a")], "qid long, node string"), spark.createDataFrame([("b",)], "node string")
+    one = graph.walk(edges, seeds, closed, 1)
+    assert not kept and sorted(tuple(r) for r in one.collect()) == [(1, "a", "R", "a", 1), (1, "a", "R", "b", 1), (1, "c", "R", "a", 1)]
+    two = graph.walk(edges, seeds, closed, 2)
+    assert sorted(tuple(r)[1::2] + (r.hop,) for r in two.select("qid", "src", "relation", "dst", "hop").collect()) == [("a", "a", 1), ("a", "b", 1), ("b", "c", 2), ("c", "a", 1)]
