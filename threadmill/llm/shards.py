@@ -131,12 +131,14 @@ def _evened(points: DataFrame, shards: int) -> DataFrame:
             break
         pairs = [(order[-1 - i], order[i], (load[order[-1 - i]] - load[order[i]]) / 2) for i in range(shards // 2)]
         pairs = [p for p in pairs if p[2] > allowed / 4]
-        plan = F.broadcast(spark.createDataFrame(pairs, "shard int, to int, half double"))
+        if not pairs:
+            break
+        lookup = F.create_map(*(F.lit(x) for a, b, half in pairs for x in (a, F.struct(F.lit(b).alias("to"), F.lit(half).alias("half")))))
         now = points
         if moved:
             where = F.broadcast(spark.createDataFrame([(*k, v) for k, v in moved.items()], "th long, size long, slice int, now int"))
             now = points.join(where, key, "left").withColumn("shard", F.coalesce("now", "shard"))
-        fit = now.join(plan, "shard").where(F.col("bytes") < 2 * F.col("half"))
+        fit = now.withColumn("plan", F.element_at(lookup, F.col("shard"))).where(F.col("bytes") < 2 * F.col("plan.half")).select(*key, "bytes", "shard", "plan.to", "plan.half")
         found = fit.groupBy("shard", "to").agg(F.min_by(F.struct(*key, "bytes"), F.struct(F.abs(F.col("bytes") - F.col("half")), *key)).alias("x")).select("shard", "to", "x.*").collect()
         if not found:
             break
