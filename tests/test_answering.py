@@ -308,3 +308,27 @@ def test_candidate_joins(spark, monkeypatch):
     assert candidates.containing(t, ["id"], "x", n.where("false"), "name").columns == ["id", "name"]
     odd = evaluate.upper_median(spark.createDataFrame([(v,) for v in [5, 1, 9, 9, 2, 2]], "v int"), "v").first().median
     assert odd == sorted([5, 1, 9, 9, 2, 2])[3]
+
+
+def test_prompts_are_texts_a_few_at_a_time():
+    """A batch of many prompts is asked in slices, whose replies leave before the next is read; columns beside the prompt
+    stay as they are."""
+    import pyarrow as pa
+
+    from threadmill.operators import answers
+
+    asked = []
+
+    def model(prompts):
+        asked.extend(prompts)
+        if prompts[0] == "p3":
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+
+    n = 5000
+    batch = pa.RecordBatch.from_arrays([pa.array([[k] for k in range(n)]), pa.array([None if k == 1 else f"p{k}" for k in range(n)]), pa.nulls(n, pa.string())], ["k", "reply", "why"])
+    got = answers._asked(iter([batch]), (1, 2), model, False, 1, 1)
+    first = next(got)
+    assert first.num_rows == answers.ROWS_AT_ONCE >= len(asked)
+    rows = [r for b in (first, *got) for r in b.to_pylist()]
+    assert rows == [{"k": [k], "reply": None if k in (1, 3) else f"P{k}", "why": "ValueError: no" if k == 3 else None} for k in range(n)]

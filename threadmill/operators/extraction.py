@@ -31,7 +31,8 @@ def extracted(docs: DataFrame, types: list[str], relations: list[tuple[str, str,
     told = prompt(F.col("title"), F.col("body"), types, relations, rules)
     asked = docs.withColumn("key", F.sha2(told, 256))
     todo = asked.select("key", told.alias("told")).dropDuplicates(["key"])
-    ask = lambda rows: replied(rows, F.col("told"), model, "reply", failed="why").where("why is null").select("key", "reply")
+    # the reply takes the prompt's place, so that a prompt goes to Python once and doesn't come back
+    ask = lambda rows: replied(rows.select("key", F.col("told").alias("reply")), F.col("reply"), model, "reply", failed="why").where("why is null").select("key", "reply")
     replies = settled(ask(todo)) if cache is None else kept_in_cache(todo, cache, "key", ask, force)
     read = settled(asked.join(replies, "key", "left").select("doc_ord", "title", F.from_json("reply", REPLY).alias("facts")))
     rows = read.select("doc_ord", F.coalesce("title", F.lit("")).alias("src"), F.posexplode("facts").alias("pos", "x")).select("doc_ord", "src", "pos", "x.*")
