@@ -332,3 +332,17 @@ def test_prompts_are_texts_a_few_at_a_time():
     assert first.num_rows == answers.ROWS_AT_ONCE >= len(asked)
     rows = [r for b in (first, *got) for r in b.to_pylist()]
     assert rows == [{"k": [k], "reply": None if k in (1, 3) else f"P{k}", "why": "ValueError: no" if k == 3 else None} for k in range(n)]
+
+
+def test_texts_are_searched_a_few_at_a_time():
+    import pyarrow as pa
+
+    from threadmill.operators import candidates
+
+    class Names:
+        value = ["ab", "b1"]
+
+    texts = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([f"ab{k}" for k in range(3000)])], ["k", "text"])
+    got = list(candidates._named(iter([texts]), "few", Names))
+    assert len(got) == -(-3000 // candidates.TEXTS_AT_ONCE)
+    assert sorted((r["k"], r["name"]) for b in got for r in b.to_pylist()) == sorted([(k, "ab") for k in range(3000)] + [(k, "b1") for k in range(3000) if str(k)[0] == "1"])

@@ -23,6 +23,8 @@ from .store import settled, ship
 SET_CHARS = 1 << 20
 #: Names whose characters go to the tasks at once, and are compared at once.
 NAMES_AT_ONCE, NAMES_A_STEP = 1 << 16, 512
+#: Texts that a task holds as strings at once, with the names in them.
+TEXTS_AT_ONCE = 256
 #: Plans of several automata that are joined before the result is stored.
 SETS_AT_ONCE = 8
 
@@ -50,7 +52,7 @@ def _automaton(mark: str, names: list[str]) -> ahocorasick.Automaton:
 def _named(batches: Iterator[pa.RecordBatch], mark: str, names: Broadcast) -> Iterator[pa.RecordBatch]:
     """(keys, text) -> (keys, name): the names that each text contains."""
     find = _automaton(mark, names.value).iter
-    for batch in batches:
+    for batch in (whole.slice(lo, TEXTS_AT_ONCE) for whole in batches for lo in range(0, whole.num_rows, TEXTS_AT_ONCE)):
         rows, found = [], []
         for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
             hits = {k for _, k in find(text)} if text else ()
