@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from threadmill.functions import similarity, text
-from threadmill.operators import facts, retrieve
+from threadmill.operators import facts, graph, retrieve
+from threadmill.plans import registry
 from threadmill.sources import readers
 
 
@@ -58,3 +59,12 @@ def test_entry_without_the_subpackage():
 
     code = "import sys; sys.modules['threadmill.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 20 and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_types_and_degrees_in_one_pass(spark):
+    """A node's type and degree come from one aggregation; loops and parallel edges count at each end."""
+    edges = spark.createDataFrame([("a", "R", "b"), ("a", "R", "b"), ("b", "S", "b"), ("c", "S", None)], "src string, relation string, dst string")
+    got = graph.node_types(edges, [("Head", "out", "R"), ("Loop", "in", "S")], sized=True)
+    assert {tuple(r) for r in got.collect()} == {("a", "Head", 2), ("b", "Loop", 4), ("c", "Other", 1), (None, "Loop", 1)}
+    plan = registry.queries()["node_view"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
