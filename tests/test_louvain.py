@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadmill.operators import graph, louvain, paths, store
@@ -70,3 +71,29 @@ def test_stars_in_slices(spark, monkeypatch):
     assert {r.component: r["count"] for r in got.groupBy("component").count().collect()} == {"hub": 40_001, "x": 3, "a": 1}
     labels = paths.communities(e)
     assert labels.where("community = 'hub'").count() == 40_001 and labels.where("not settled").count() == 0
+
+
+def test_wishes_by_definition():
+    """Each node of a part wishes for a community of the highest gain, and its slack is what the gain allows."""
+    rng = random.Random(5)
+    w, c = {}, [rng.randrange(6) for _ in range(20)]
+    for _ in range(50):
+        a, b = rng.sample(range(19), 2)  # node 19 has no edges to others
+        w[a, b] = w[b, a] = w.get((a, b), 0) + rng.randrange(1, 4)
+    k = [sum(x for (a, _), x in w.items() if a == i) + (i == 19) * 2 for i in range(20)]
+    tot, twice = [sum(k[i] for i in range(20) if c[i] == a) for a in range(6)], sum(k)
+    own = [i for i in range(20) if i % 3 == 1]
+    seen = sorted({*own, *(b for a, b in w if a in own)}, key=lambda i: -i)
+    need = pa.table({"node": seen, "own": [i in own for i in seen], "c": [c[i] for i in seen], "tot": [tot[c[i]] for i in seen], "k": [k[i] for i in seen], "loops": [0] * len(seen)})
+    near = {i: [(b, x) for (a, b), x in w.items() if a == i] for i in own if i != 19}
+    lists = pa.table({"node": list(near), "others": pa.array([[b for b, _ in x] for x in near.values()], pa.list_(pa.int64())), "ws": pa.array([[y for _, y in x] for x in near.values()], pa.list_(pa.int64()))})
+    got = louvain.wishes(need, lists, twice).to_pylist()
+    assert sorted(r["node"] for r in got) == own
+    for r in got:
+        i = r["node"]
+        links = {a: sum(x for b, x in near.get(i, []) if c[b] == a) for a in {c[i], *(c[b] for b, _ in near.get(i, []))}}
+        gain = {a: x - k[i] * (tot[a] - (k[i] if a == c[i] else 0)) / twice for a, x in links.items()}
+        high = max(gain.values())
+        assert r["inner"] == links[c[i]] and r["c"] == c[i] and r["k"] == k[i]
+        assert abs(gain[r["to"]] - high) < 1e-6 and (r["to"] == c[i]) == (high <= gain[c[i]] + 1e-9)
+        assert abs(r["slack"] - (high - gain[c[i]]) * twice / k[i]) < 1e-6

@@ -1,20 +1,26 @@
-"""Communities by Louvain's method: nodes move to the neighbouring community of the highest gain in modularity, inside
-partitions with all their edges at hand; then communities become the nodes of the next level."""
+"""Communities by Louvain's method: nodes move to the neighbouring community of the highest gain in modularity, which
+partitions with all their edges at hand find; then communities become the nodes of the next level."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import numbered
-from .store import heavy_keys, settled, ship, spread_join
+from .store import ROWS_PER_SLICE, heavy_keys, settled, ship, small, spread_join
 
 #: Edges that a task holds, about. A node with more than the share HUB of them is a hub: its edges are added up by
 #: community instead, and it moves by itself.
 EDGES_PER_TASK, HUB = 1 << 20, 0.25
-LEAST = 1e-9
+#: The chance that a wish has at most, and gains that count as none.
+MOST, LEAST = 0.75, 1e-9
+#: Multiplies a number to an order like a random one, without two alike.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def moved(rows: pd.DataFrame, twice: int, least_gain: float) -> pd.DataFrame:
@@ -63,52 +69,124 @@ def moved(rows: pd.DataFrame, twice: int, least_gain: float) -> pd.DataFrame:
             return pd.DataFrame({"node": ids, "to": c, "inner": inner})
 
 
-def _hubs_moved(near: DataFrame, lab: DataFrame, hubs: DataFrame, twice: int) -> DataFrame:
-    """(node, to, inner) of hubs: their edges are added up by community in every task before they meet."""
-    links = near.join(F.broadcast(hubs), "node").join(lab.select(F.col("node").alias("other"), F.col("c").alias("at")), "other").groupBy("node", "at").agg(F.sum("w").alias("w"))
-    own = lab.join(F.broadcast(hubs), "node").select("node", "k", F.col("c").alias("now"))
-    links = links.unionByName(own.select("node", F.col("now").alias("at"), F.lit(0).cast("long").alias("w"))).groupBy("node", "at").agg(F.sum("w").alias("w"))
+def wishes(need: pa.Table, lists: pa.Table, twice: int) -> pa.Table:
+    """One part's rows -> (node, to, inner, slack, k, loops, c) of its own nodes: the neighbouring community of the highest
+    gain in modularity (the smallest of equal ones; its own if none gains), the weight of a node's edges to its own, and
+    by how much more the totals of the two could change before the move gains nothing.
+
+    need: (node, own, c, tot, k, loops) of the part's nodes and their neighbours. lists: (node, others, ws)."""
+    of = {n: need.column(n).to_numpy() for n in ("node", "own", "c", "k", "loops", "tot")}
+    order = np.argsort(of["node"])
+    of = {n: x[order] for n, x in of.items()}
+    ids, k = of["node"], of["k"].astype(float)
+    labels, at = np.unique(of["c"].astype("uint64") * MIX, return_inverse=True)
+    tot = np.zeros(len(labels))
+    tot[at] = of["tot"]
+    others = lists.column("others").combine_chunks()
+    row = np.repeat(np.searchsorted(ids, lists.column("node").to_numpy()), pc.list_value_length(others).to_numpy())
+    key = row * len(labels) + at[np.searchsorted(ids, others.flatten().to_numpy())]
+    order = np.argsort(key)
+    key = key[order]
+    low, high, best, inner = -k * (tot[at] - k) / twice, np.full(len(ids), -np.inf), at.copy(), np.zeros(len(ids), "int64")
+    if len(key):
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        w = np.add.reduceat(lists.column("ws").combine_chunks().flatten().to_numpy()[order], starts)
+        r, to = np.divmod(key[starts], len(labels))
+        stays = to == at[r]
+        inner[r[stays]] = w[stays]
+        low += inner
+        gain = np.where(stays, low[r], w - k[r] * tot[to] / twice)
+        starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        high[r[starts]] = np.maximum.reduceat(gain, starts)
+        best[r[starts]] = np.minimum.reduceat(np.where(gain >= high[r] - LEAST, to, len(labels)), starts)
+    moves = high > low + LEAST
+    named = np.zeros(len(labels), "int64")
+    named[at] = of["c"]
+    best[~moves] = at[~moves]
+    slack = np.where(moves, high - low, 0) * twice / np.maximum(k, 1)
+    own = of["own"]
+    out = {"node": ids, "to": named[best], "inner": inner, "slack": slack, "k": of["k"], "loops": of["loops"], "c": of["c"]}
+    return pa.table({n: x[own] for n, x in out.items()})
+
+
+def _hubs_wishes(near: DataFrame, lab: DataFrame, hubs: DataFrame, twice: int) -> DataFrame:
+    """What wishes tells, of hubs, from their edges: these are added up by community in every task before they meet."""
+    links = near.join(lab.select(F.col("node").alias("other"), F.col("c").alias("at")), "other").groupBy("node", "at").agg(F.sum("w").alias("w"))
+    own = lab.join(F.broadcast(hubs), "node").select("node", "k", "loops", "c")
+    links = links.unionByName(own.select("node", F.col("c").alias("at"), F.lit(0).cast("long").alias("w"))).groupBy("node", "at").agg(F.sum("w").alias("w"))
     links = links.join(lab.groupBy(F.col("c").alias("at")).agg(F.first("tot").alias("tot")), "at").join(F.broadcast(own), "node")
-    stays = F.col("at") == F.col("now")
+    stays = F.col("at") == F.col("c")
     gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0)).cast("double") / twice
-    found = links.withColumn("gain", gain).groupBy("node").agg(
-        F.first("now").alias("now"), F.min_by("at", F.struct(-F.col("gain"), "at")).alias("best"), F.max("gain").alias("high"), F.max(F.when(stays, F.col("gain"))).alias("low"), F.max(F.when(stays, F.col("w"))).alias("inner")
+    found = links.withColumn("gain", gain).groupBy("node", "k", "loops", "c").agg(
+        F.min_by("at", F.struct(-F.col("gain"), F.xxhash64("at"), "at")).alias("best"), F.max("gain").alias("high"), F.max(F.when(stays, F.col("gain"))).alias("low"), F.max(F.when(stays, F.col("w"))).alias("inner")
     )
-    return found.select("node", F.when(F.col("high") > F.col("low") + LEAST, F.col("best")).otherwise(F.col("now")).alias("to"), "inner")
+    moves = F.col("high") > F.col("low") + LEAST
+    slack = F.when(moves, (F.col("high") - F.col("low")) * twice / F.col("k")).otherwise(0.0)
+    return found.select("node", F.when(moves, F.col("best")).otherwise(F.col("c")).alias("to"), "inner", slack.alias("slack"), "k", "loops", "c")
 
 
-def _level(near: DataFrame, nodes: DataFrame, twice: int, most_turns: int, least_gain: float, per_task: int, patience: int = 4) -> tuple[DataFrame, float]:
+def _worth(rows: DataFrame, twice: int) -> tuple[DataFrame, float, int, int]:
+    """Of rows (node, to, inner, k, loops, c): communities (c, joins, leaves, the weights of nodes that would; n, its rows
+    in a join), modularity, the number of nodes that want to move, and the largest n."""
+    wants, none = F.col("to") != F.col("c"), F.lit(0).cast("long")
+    stay = F.struct("c", (F.col("inner") + F.col("loops")).alias("inside"), F.col("k").alias("tot"), F.when(wants, F.col("k")).otherwise(none).alias("leaves"), none.alias("joins"), wants.cast("long").alias("wanting"))
+    join = F.struct(F.col("to").alias("c"), none.alias("inside"), none.alias("tot"), none.alias("leaves"), F.col("k").alias("joins"), none.alias("wanting"))
+    ends = rows.select(F.explode(F.when(wants, F.array(stay, join)).otherwise(F.array(stay))).alias("x")).select("x.*")
+    sums = settled(ends.groupBy("c").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in ("inside", "tot", "leaves", "joins", "wanting"))))
+    square = F.col("tot").cast("double") * F.col("tot")
+    inside, squares, wanting, most = sums.agg(F.sum("inside"), F.sum(square), F.sum("wanting"), F.max("n")).first()
+    return sums, inside / twice - squares / twice / twice, wanting, most
+
+
+def _level(near: DataFrame, nodes: DataFrame, twice: int, most_turns: int, least_gain: float, per_task: int, patience: int = 2) -> tuple[DataFrame, float]:
     """The best division that moves of single nodes lead to, and its modularity. Ends when no node wants to move, or when
-    `patience` turns in a row bring less than least_gain each. Of several parts one half moves in each turn, drawn anew
-    for every two: neighbours in two parts seldom move at once, and the best division seen is kept."""
+    `patience` turns in a row bring less than least_gain each. A graph of one part makes all its moves in a turn.
+
+    Of several parts, all nodes wish at once, and each gets its wish with a chance (by its hash and the turn) of MOST at
+    most, and of its slack over the weight of all others that would join the same community or leave its own: so wishes
+    that fit together come true and communities aren't overrun."""
     parts = max(1, math.ceil(near.count() / per_task))
-    of = F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")
-    hubs = settled(near.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB * per_task).select("node")) if parts > 1 else None  # parts / HUB at most
-    loose = near if hubs is None else near.join(F.broadcast(hubs), "node", "left_anti")
-    heavy = heavy_keys(loose, "other") if parts > 1 else None
-    patience = patience if parts > 1 else 1  # one part has made all its moves in a turn
-    best, high, idle = nodes, float("-inf"), 0
+    if parts == 1:
+        lab = nodes.join(nodes.groupBy("c").agg(F.sum("k").alias("tot")), "c")
+        far, null = near.join(lab.select(F.col("node").alias("other"), "c", "tot"), "other"), F.lit(None).cast("long")
+        rows = far.select("node", "other", "w", "c", "tot", null.alias("k")).unionByName(lab.select("node", null.alias("other"), null.alias("w"), "c", "tot", "k"))
+        step = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(lambda pdf: moved(pdf, twice, least_gain / 10), "node long, to long, inner long")
+        level = settled(step.select("node", F.col("to").alias("c")).join(nodes.drop("c"), "node").select("node", "k", "loops", "c"))
+        at = level.select(F.col("node").alias("other"), F.col("c").alias("to"))
+        inner = near.join(level.select("node", "c"), "node").join(at, "other").where("c = to").agg(F.sum("w")).first()[0] or 0
+        loops, squares = level.groupBy("c").agg(F.sum("loops").alias("loops"), F.sum("k").cast("double").alias("tot")).agg(F.sum("loops"), F.sum(F.col("tot") * F.col("tot"))).first()
+        return level, (inner + loops) / twice - squares / twice / twice
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("part")
+    hubs = settled(near.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB * per_task).select("node"))  # parts / HUB at most
+    if hubs.isEmpty():
+        hubs, loose, few = None, near, nodes
+    else:
+        loose, few = (x.join(F.broadcast(hubs), "node", "left_anti") for x in (near, nodes))
+        busy = settled(near.join(F.broadcast(hubs), "node"))
+    lists = settled(loose.groupBy("node").agg(F.collect_list(F.struct("other", "w")).alias("x")).select(of("node"), "node", F.col("x.other").alias("others"), F.col("x.w").alias("ws")))
+    needs = few.select(of("node"), "node", F.lit(True).alias("own")).unionByName(loose.select(of("node"), F.col("other").alias("node"), F.lit(False).alias("own")))
+    needs = settled(needs.groupBy("part", "node").agg(F.max("own").alias("own")))  # so a label travels to each part once
+    lists = lists.groupBy("part")
+    best, high, idle, heavy = nodes, float("-inf"), 0, None  # at first each node is a community, or few are one
     for turn in range(most_turns):
-        tot = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
-        lab = settled(spread_join(nodes, tot, "c", heavy_keys(nodes, "c") if parts > 1 else None))
-        far = spread_join(loose, lab.select(F.col("node").alias("other"), "c", "tot"), "other", heavy)
-        few = lab if hubs is None else lab.join(F.broadcast(hubs), "node", "left_anti")
-        null = F.lit(None).cast("long")
-        rows = far.select("node", "other", "w", "c", "tot", null.alias("k")).unionByName(few.select("node", null.alias("other"), null.alias("w"), "c", "tot", "k"))
-        step = rows.withColumn("part", of).groupBy("part").applyInPandas(lambda pdf: moved(pdf, twice, least_gain / 10), "node long, to long, inner long")
+        lab = spread_join(nodes, nodes.groupBy("c").agg(F.sum("k").alias("tot")), "c", heavy)
         if hubs is not None:
-            step = step.unionByName(_hubs_moved(near, lab, hubs, twice))
-        step = settled(step.join(nodes, "node").withColumn("part", of))
-        sums = step.groupBy("c").agg(F.sum(F.col("inner") + F.col("loops")).alias("inside"), F.sum("k").cast("double").alias("tot"), F.count_if(F.col("to") != F.col("c")).alias("wanting"))
-        inside, squares, wanting = sums.agg(F.sum("inside"), F.sum(F.col("tot") * F.col("tot")), F.sum("wanting")).first()
-        now = inside / twice - squares / twice / twice
+            lab = settled(lab)
+        step = needs.join(lab, "node").groupBy("part").cogroup(lists).applyInArrow(lambda a, b: wishes(a, b, twice), "node long, to long, inner long, slack double, k long, loops long, c long")
+        step = settled(step if hubs is None else step.unionByName(_hubs_wishes(busy, lab, hubs, twice)))
+        sums, now, wanting, most = _worth(step, twice)
         idle = 0 if now > high + least_gain else idle + 1
         if now > high:
             best, high = step.select("node", "k", "loops", "c"), now
         if not wanting or idle == patience:
             break
-        turns = F.lit(True) if parts == 1 else F.shiftright(F.xxhash64("part"), (turn // 2) % 60).bitwiseAND(F.lit(1)) == turn % 2
-        nodes = settled(step.select("node", "k", "loops", F.when(turns, F.col("to")).otherwise(F.col("c")).alias("c")))
+        heavy = small(sums.where(F.col("n") > ROWS_PER_SLICE).select("c", F.ceil(F.col("n") / ROWS_PER_SLICE).cast("int").alias("slices"))) if most > ROWS_PER_SLICE else None
+        asked = spread_join(step.where("to <> c"), sums.select("c", "leaves"), "c", heavy).withColumnsRenamed({"c": "was", "to": "c"})
+        asked = spread_join(asked, sums.select("c", "joins"), "c", heavy)
+        chance = F.least(F.lit(MOST), F.col("slack") / F.greatest(F.col("joins") + F.col("leaves") - 2 * F.col("k"), F.lit(1)))
+        drawn = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 33) / (1 << 31)
+        went = asked.select("node", "k", "loops", F.when(drawn < chance, F.col("c")).otherwise(F.col("was")).alias("c"))
+        nodes = settled(step.where("to = c").select("node", "k", "loops", "c").unionByName(went))
     return best, high
 
 
@@ -116,14 +194,14 @@ def louvain(edges: DataFrame, most_turns: int = 60, least_gain: float = 1e-4, pe
     """(node, community) of edges (src, relation, dst), each counting once in either direction; a community is named
     by its smallest node. Facts between the same nodes add up, and a fact from a node to itself is in its community.
 
-    Nodes get numbers once; edges with them are stored once a level. In a turn, each part of some per_task edges moves
-    its own nodes one by one, with totals and communities of all others as they were; hubs move apart. A graph of one
-    part, as the later levels of a large one are, settles in a turn. A level ends when no node wants to move, when turns
+    Nodes get numbers once; lists of neighbours are stored once a level. In a turn, each part of some per_task
+    edges tells what its nodes wish, hubs apart, and a share of the wishes that fit together comes true. A graph of one
+    part, as the later levels of a large one are, moves its nodes one by one and settles in a turn. A level ends when no node wants to move, when turns
     bring less than least_gain in modularity, or after most_turns, with the best division seen; levels end when one
     brings less than least_gain. The result doesn't depend on how the input is partitioned."""
     ship(edges.sparkSession)
-    ids = settled(numbered(edges.select(F.explode(F.array("src", "dst")).alias("name")), "name"))
     rows = settled(edges.select("src", "dst"))
+    ids = settled(numbered(rows.select(F.explode(F.array("src", "dst")).alias("name")), "name"))
     pairs = settled(spread_join(rows, ids.select(F.col("name").alias("src"), F.col("id").alias("node")), "src", heavy_keys(rows, "src")))
     pairs = spread_join(pairs, ids.select(F.col("name").alias("dst"), F.col("id").alias("other")), "dst", heavy_keys(pairs, "dst"))
     pairs = settled(pairs.groupBy("node", "other").agg(F.count("*").alias("w")))
