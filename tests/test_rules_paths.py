@@ -134,3 +134,11 @@ def test_default_names_and_numbers(spark):
     assert {(r.code, r.label) for r in rules.known_names(items).collect()} == {("E-7", "work"), (rules.SETTLED_CODE, rules.SETTLED)}
     row = spark.createDataFrame([("stay 5   year, \uff13\u3000month, 2day", "for 2 day")], "a string, c string")
     assert row.select(text.unsupported_numbers(F.col("a"), F.col("c")).alias("n")).first().n == ["5   year", "\uff13\u3000month"]
+
+
+def test_lines_are_searched_once(spark):
+    """The places that are found in lines are kept, so later steps don't search the lines again."""
+    docs = spark.createDataFrame([(1, "체류지변경신고", "변경한 날부터 14일 이내에 신고하여야 한다", [])], "doc_ord long, title string, body string, tags array<string>")
+    found = rules.periods(docs)
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.h for r in found.collect()] == ["체류지변경신고"]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import candidates, facts
-from .store import ship
+from .store import settled, ship
 
 # Patterns and words of the corpus.
 CODE = r"[A-H]-[0-9]{1,2}"
@@ -119,7 +119,7 @@ def periods(docs: DataFrame) -> DataFrame:
     title if it names a procedure, else the longest such title in the line. A period meets procedures by blocks of
     REACH characters, so that long lines form no pairs far apart; titles are found by an automaton that reads a line once."""
     acts = lines_of(docs).where(F.rlike("line", F.lit(ACT)))
-    hits = spotted(acts)
+    hits = settled(spotted(acts))  # read thrice, and lines are searched once
     key = ["doc_ord", "n", "start"]
     asked = hits.where((F.col("kind") == "period") & ~F.rlike("near", F.lit(NO_REQUIREMENT)) & F.rlike("near", F.lit(ACT)))
     block = lambda c: F.floor(F.col(c) / REACH)
@@ -131,7 +131,7 @@ def periods(docs: DataFrame) -> DataFrame:
     before = (F.col("start") - F.col("at")).between(1, REACH)
     met = met.groupBy(*key).agg(F.min_by("name", F.when(ahead, F.col("at"))).alias("after"), F.max_by("name", F.when(before, F.col("at"))).alias("before"))
     statute = F.rlike("title", F.lit(ARTICLE)) | F.contains("title", F.lit(ANNEX))
-    subjects = asked.join(met, key, "left").withColumn("subject", F.coalesce("after", "before", F.when(~statute, F.col("title"))))
+    subjects = settled(asked.join(met, key, "left").withColumn("subject", F.coalesce("after", "before", F.when(~statute, F.col("title")))))
 
     open_lines = acts.join(subjects.where("subject is null").select("doc_ord", "n").distinct(), ["doc_ord", "n"])
     heads = docs.where(~statute).select(F.col("title").alias("other"))
