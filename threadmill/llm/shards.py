@@ -119,12 +119,14 @@ def _evened(points: DataFrame, shards: int) -> DataFrame:
     """points (th, size, slice, bytes, shard) with some moved from full to empty shards.
 
     In a round the fullest shard meets the emptiest, the second fullest the second emptiest and so on; each passes on
-    the point nearest to half of what it has more. The driver sees a row for each shard and round."""
+    the point nearest to half of what it has more. The driver sees a row for each shard and round, and keeps the points
+    that moved, a few for each round: in later rounds it looks through these itself, and tasks through all others."""
     spark = points.sparkSession
     key = ["th", "size", "slice"]
     load = dict.fromkeys(range(shards), 0) | {r.shard: r.w for r in points.groupBy("shard").agg(F.sum("bytes").alias("w")).collect()}
     allowed = EVEN * sum(load.values()) / shards
-    moved: dict[tuple, int] = {}
+    moved: dict[tuple, tuple[int, int]] = {}  # (th, size, slice): bytes and the shard now
+    has_moved = lambda: F.concat_ws(":", *key).isin([":".join(map(str, k)) for k in moved])
     for _ in range(MOST_ROUNDS):
         order = sorted(load, key=lambda k: (load[k], k))
         if load[order[-1]] - load[order[0]] <= allowed:
@@ -134,22 +136,28 @@ def _evened(points: DataFrame, shards: int) -> DataFrame:
         if not pairs:
             break
         lookup = F.create_map(*(F.lit(x) for a, b, half in pairs for x in (a, F.struct(F.lit(b).alias("to"), F.lit(half).alias("half")))))
-        now = points
+        fit = points.withColumn("plan", F.element_at(lookup, F.col("shard"))).where(F.col("bytes") < 2 * F.col("plan.half"))
         if moved:
-            where = F.broadcast(spark.createDataFrame([(*k, v) for k, v in moved.items()], "th long, size long, slice int, now int"))
-            now = points.join(where, key, "left").withColumn("shard", F.coalesce("now", "shard"))
-        fit = now.withColumn("plan", F.element_at(lookup, F.col("shard"))).where(F.col("bytes") < 2 * F.col("plan.half")).select(*key, "bytes", "shard", "plan.to", "plan.half")
-        found = fit.groupBy("shard", "to").agg(F.min_by(F.struct(*key, "bytes"), F.struct(F.abs(F.col("bytes") - F.col("half")), *key)).alias("x")).select("shard", "to", "x.*").collect()
-        if not found:
+            fit = fit.where(~has_moved())
+        fit = fit.select(*key, "bytes", "shard", "plan.to", "plan.half")
+        found = fit.groupBy("shard", "to").agg(F.min_by(F.struct(*key, "bytes"), F.struct(F.abs(F.col("bytes") - F.col("half")), *key)).alias("x")).select("shard", "x.*").collect()
+        fits = {r.shard: [(r.th, r["size"], r.slice, r.bytes)] for r in found}
+        for k, (w, at) in moved.items():
+            fits.setdefault(at, []).append((*k, w))
+        passed = False
+        for full, empty, half in pairs:
+            if best := min((x for x in fits.get(full, []) if x[3] < 2 * half), key=lambda x: (abs(x[3] - half), *x[:3]), default=None):
+                moved[best[:3]] = best[3], empty
+                load[full] -= best[3]
+                load[empty] += best[3]
+                passed = True
+        if not passed:
             break
-        for r in found:
-            moved[r.th, r["size"], r.slice] = r.to
-            load[r.shard] -= r.bytes
-            load[r.to] += r.bytes
     if not moved:
         return points
-    where = spark.createDataFrame([(*k, v) for k, v in moved.items()], "th long, size long, slice int, now int")
-    return stored(points.join(F.broadcast(where), key, "left").withColumn("shard", F.coalesce("now", "shard")).drop("now"), "evened")
+    where = spark.createDataFrame([(*k, at) for k, (_, at) in moved.items()], "th long, size long, slice int, now int")
+    there = points.where(has_moved()).join(F.broadcast(where), key).withColumn("shard", F.col("now")).drop("now")
+    return stored(points.where(~has_moved()).unionByName(there), "evened")
 
 
 def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, id_col: str = "doc_id") -> DataFrame:
