@@ -114,3 +114,23 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and all(r.score < 0 and r.base_score < 0 for r in rows)
     assert next(r for r in rows if r.doc_id == 2).n_tokens == 1
     assert lattice.lm_scores(none, lattice.model_path()).count() == 0
+
+
+def test_small_batches_are_put_together(spark, monkeypatch):
+    """Batches as small as texts need reach the lattice as large ones, bounded in rows and bytes; nothing is lost or moved."""
+    batch = lambda lo, hi, size=5: lattice.pa.RecordBatch.from_arrays([lattice.pa.array([b"x" * size] * (hi - lo)), lattice.pa.array(range(lo, hi))], ["token", "c"])
+    got = list(lattice._together(iter([batch(k, k + 1000) for k in range(0, 45_000, 1000)])))
+    assert [b.num_rows for b in got] == [20_000, 20_000, 5_000] and [x for b in got for x in b.column("c").to_pylist()] == list(range(45_000))
+    assert len(list(lattice._together(iter([batch(k, k + 1, 5 << 20) for k in range(3)])))) == 3
+    assert list(lattice._together(iter([]))) == [] and list(lattice._together(iter([batch(0, 0)]))) == []
+    sizes = []
+    real = lattice._together
+    rows = spark.range(9_000).selectExpr("cast(concat('w', id) as binary) AS token", "id + 1 AS c").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        seen = rows.mapInArrow(lambda it: (lattice.pa.RecordBatch.from_arrays([lattice.pa.array([b.num_rows])], ["n"]) for b in real(it)), "n long")
+        sizes = [r.n for r in seen.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sizes == [9_000]

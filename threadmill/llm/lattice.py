@@ -206,6 +206,20 @@ def _batches(it: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Re
             yield b.slice(lo, rows)
 
 
+def _together(it: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows or bytes: the lattice takes words of one length at a time, of
+    which a batch as small as texts need has few."""
+    held, n, weight = [], 0, 0
+    for b in it:
+        held.append(b)
+        n, weight = n + b.num_rows, weight + b.nbytes
+        if n >= rows or weight >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, weight = [], 0, 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def token_counts(rows: DataFrame, most: int = 400_000) -> DataFrame:
     """(token, c, n): every distinct token of rows (train boolean, text), how often it occurs in training texts and in
     all. Tasks add up what they see, and pass it on whenever they hold `most` tokens."""
@@ -243,7 +257,7 @@ def fitted(words: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> np.n
         def expect(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(vocabulary(path), sent.value)  # noqa: B023
             total = np.zeros(len(lattice.logp))
-            for b in _batches(it):
+            for b in _batches(_together(it)):
                 total += lattice.expected([x.decode("utf-8", "replace") for x in b.column("token").to_pylist()], b.column("c").to_numpy().astype(float))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["piece", "x"])
@@ -285,7 +299,7 @@ def lm_scores(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def spell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(path), sent.value)
-        for b in _batches(it):
+        for b in _batches(_together(it)):
             c = b.column("c").to_numpy()
             spelled = lattice.log_likelihoods([x.decode("utf-8", "replace") for x in b.column("token").to_pylist()])
             with np.errstate(divide="ignore"):
