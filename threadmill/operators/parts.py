@@ -25,12 +25,13 @@ HELD = "part int, slot int, own binary, counts binary, near binary, w binary, bo
 
 
 class Parts(NamedTuple):
-    """n parts, the key of each (hashed to a partition of its own), their lists, and the hubs' numbers."""
+    """n parts, the key of each (hashed to a partition of its own), their lists, the hubs' numbers, and how many rows there were."""
 
     n: int
     keys: list[int]
     held: DataFrame
     hubs: list[int]
+    size: int
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -88,9 +89,9 @@ def once(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def lay(rows: pa.Table, n: int, keys: list[int], hubs: list[int]) -> pa.Table:
+def lay(rows: pa.Table, n: int, keys: list[int], hubs: list[int], flagged: bool = True) -> pa.Table:
     """One part's rows (part, node, other, w) -> its lists, each node among its own neighbours with a weight of 0 more, and
-    for each other part which of its nodes that one needs. Of a weight, what is above ONCE counts as one however often."""
+    for each other part which of its nodes that one needs. flagged: of a weight, what is above ONCE counts as one however often."""
     p, hubs, size = keys.index(rows.column("part")[0].as_py()), np.array(hubs, "int64"), len(rows)
     own, row = ranked(rows.column("node").to_numpy())
     need, place = ranked(np.concatenate([rows.column("other").to_numpy(), own, hubs]))
@@ -105,7 +106,7 @@ def lay(rows: pa.Table, n: int, keys: list[int], hubs: list[int]) -> pa.Table:
     key = key[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     w, key = np.add.reduceat(w[order], starts), key[starts]
-    w = (w & (ONCE - 1)) + (w >= ONCE)
+    w = (w & (ONCE - 1)) + (w >= ONCE) if flagged else w
     row, near = key >> 32, key & 0xFFFFFFFF
     back = slice(None)  # neighbours that have the node in their lists too: hubs do so with hubs alone
     if len(hubs):
@@ -126,7 +127,7 @@ def table(rows: list[dict], schema: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in names], names=[c for c, _ in names])
 
 
-def deal(pairs: DataFrame, per_part: int | None = None) -> tuple[Parts, DataFrame | None]:
+def deal(pairs: DataFrame, per_part: int | None = None, flagged: bool = True) -> tuple[Parts, DataFrame | None]:
     """Pairs (node, other, w) of longs, each in both directions -> parts, and the rows of the hubs or None. The lists are
     kept on the executors' disks by parts, so that they don't move again; held.unpersist() ends that."""
     spark, per_part = pairs.sparkSession, per_part or PER_PART
@@ -154,10 +155,10 @@ def deal(pairs: DataFrame, per_part: int | None = None) -> tuple[Parts, DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b for b in batches if len(b)]
         if own:  # a partition is a part, as keys are chosen
-            yield from lay(pa.Table.from_batches(own), n, keys, hubs).to_batches()
+            yield from lay(pa.Table.from_batches(own), n, keys, hubs, flagged).to_batches()
 
     held = rows.repartition(n, "part").mapInArrow(run, HELD).repartition(n, "part").persist(StorageLevel.DISK_ONLY)
-    return Parts(n, keys, held, hubs), own
+    return Parts(n, keys, held, hubs, size), own
 
 
 class Lists:
@@ -185,6 +186,16 @@ class Lists:
             out[self.bounds[s] : self.bounds[s + 1]] = x
         return out
 
+    def rows(self) -> np.ndarray:
+        """The row of each entry of near."""
+        return np.repeat(np.arange(len(self.own)), self.counts)
+
+    def at_hubs(self) -> np.ndarray:
+        """Which entries lead from another node to a hub; the hub has none for them."""
+        busy = np.zeros(self.bounds[-1], "bool")
+        busy[self.busy] = True
+        return busy[self.near] & ~busy[self.mine][self.rows()]
+
     def chunks(self, entries: int = 1 << 21):
         """(first, last) rows of about so many entries."""
         i = 0
@@ -224,3 +235,29 @@ def nodes(parts: Parts) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(unpacked(own))], names=["node"])
 
     return parts.held.where("slot = -1").select("own").mapInArrow(run, "node long")
+
+
+def each(parts: Parts) -> DataFrame:
+    """(part): a row for each part."""
+    return parts.held.sparkSession.createDataFrame([(k,) for k in parts.keys], "part int")
+
+
+def offsets(parts: Parts) -> list[int]:
+    """How many nodes the parts before each have, and all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int.from_bytes(x[1:9], "little") for x in b.column(1).to_pylist()], pa.int64())], names=["part", "n"])
+
+    sizes = {r.part: r.n for r in parts.held.where("slot = -1").select("part", "own").mapInArrow(run, "part int, n long").collect()}
+    return [0, *np.cumsum([sizes.get(k, 0) for k in parts.keys]).tolist()]
+
+
+def weight(parts: Parts) -> int:
+    """The weight of all nodes' edges, each at both ends."""
+
+    def run(rows: pa.Table, lists: Lists) -> pa.Table:
+        w = lists.w.astype("int64")
+        return pa.table({"w": [int(w.sum() + w[lists.at_hubs()].sum())]})
+
+    return turn(parts, each(parts), run, "w long").agg(F.sum("w")).first()[0] or 0
